@@ -1,8 +1,9 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
-Fit, on a bounded sample: centre, principal axes, and rotations that bring signs near the projections
-(iterative quantisation), each with the medians as thresholds so that bits are balanced. Every vector gets
-codes of all rotations, 256 bits or so. Retrieval: `tables` disjoint substrings of `bits` bits are
+Fit, on a bounded sample: principal axes, and rotations of them that bring signs near the projections
+(iterative quantisation), which spreads the variance evenly over the bits. Vectors are not centred: bits
+then differ in proportion to the angle that the cosine means, also where all vectors lie to one side.
+Every vector gets codes of all rotations, 256 bits or so. Retrieval: `tables` disjoint substrings of `bits` bits are
 indexed; every code is entered under its own substring and under those one flip away, so codes
 that differ in up to two bits of any substring meet, and a meeting counts if the whole codes are
 within `reach`. Met codes form candidate groups, given by spanning forests. Rerank: inside a candidate
@@ -20,6 +21,7 @@ labels too, are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,25 +36,21 @@ SAMPLE_ROWS = 8192
 
 @dataclass
 class Quantiser:
-    """Sign codes of (x / |x| - centre) @ axes - middle, a column a bit."""
+    """Codes are the signs of x / |x| @ axes, a column a bit."""
 
-    centre: np.ndarray
     axes: np.ndarray
-    middle: np.ndarray
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """Rows of 64-bit words."""
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        bits = (x - self.centre) @ self.axes > self.middle
+        bits = x / np.linalg.norm(x, axis=1, keepdims=True) @ self.axes > 0
         bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
 def fit(sample: np.ndarray, bits: int = 256, rounds: int = 30, seed: int = 5) -> Quantiser:
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    centre = x.mean(axis=0)
-    _, axes = np.linalg.eigh((x - centre).T @ (x - centre))
-    v = (x - centre) @ axes
+    _, axes = np.linalg.eigh(x.T @ x)
+    v = x @ axes
     rng, turns = np.random.default_rng(seed), []
     for _ in range(max(1, -(-bits // x.shape[1]))):
         r = np.linalg.qr(rng.standard_normal((x.shape[1],) * 2))[0]
@@ -60,8 +58,7 @@ def fit(sample: np.ndarray, bits: int = 256, rounds: int = 30, seed: int = 5) ->
             u, _, w = np.linalg.svd(v.T @ np.where(v @ r > 0, 1.0, -1.0))
             r = u @ w
         turns.append(axes @ r)
-    axes = np.concatenate(turns, axis=1)
-    return Quantiser(centre, axes, np.median((x - centre) @ axes, axis=0))
+    return Quantiser(np.concatenate(turns, axis=1))
 
 
 def nodes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
@@ -79,8 +76,8 @@ def _coded(model: Quantiser):
     def run(batches):
         for batch in batches:
             items = batch.column(1).to_pylist()
-            fits = np.array([len(x) == len(model.centre) for x in items], bool)
-            x = np.array([x for x, ok in zip(items, fits, strict=True) if ok], float).reshape(-1, len(model.centre))
+            fits = np.array([len(x) == len(model.axes) for x in items], bool)
+            x = np.array([x for x, ok in zip(items, fits, strict=True) if ok], float).reshape(-1, len(model.axes))
             words = model.codes(x).view(np.int64) if len(x) else np.empty((0, -(-model.axes.shape[1] // 64)), np.int64)
             node = batch.column(0).filter(pa.array(fits))
             yield pa.RecordBatch.from_arrays([node, *(pa.array(np.ascontiguousarray(w)) for w in words.T)], names=["node", *(f"w{i}" for i in range(words.shape[1]))])
@@ -122,11 +119,11 @@ def near_vectors(
     """One row a vector: vec_id, n_links, component_id, kept. reach is a share of the code's bits."""
     spark = vectors.sparkSession
     rows, distinct = nodes(vectors, id_col, vec_col)
-    sample = np.array([r.x for r in distinct.select("x").withColumn("h", F.xxhash64("x")).orderBy("h").limit(SAMPLE_ROWS).collect()], dtype=object)
-    width = max(map(len, sample), key=[len(s) for s in sample].count) if len(sample) else 0
-    sample = np.array([s for s in sample if len(s) == width], float).reshape(-1, width)
-    if not len(sample):
+    taken = [r.x for r in distinct.select("x", F.xxhash64("x").alias("h")).orderBy("h").limit(SAMPLE_ROWS).collect()]
+    if not taken:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    width = Counter(map(len, taken)).most_common(1)[0][0]
+    sample = np.array([x for x in taken if len(x) == width], float)
     model = fit(sample, code_bits)
     words = -(-model.axes.shape[1] // 64)
     names = [f"w{i}" for i in range(words)]

@@ -30,11 +30,11 @@ BUCKETS = 10_000
 
 
 def ngrams(data: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, bucket) of every one- and two-word n-gram of a block of documents."""
+    """(document index, bucket) of every one- and two-word n-gram of a block; all pairs of one word twice share a bucket."""
     at, h = token_hashes(data)
     doc = np.searchsorted(starts, at, side="right") - 1
     same = doc[1:] == doc[:-1]
-    pair = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[same]
+    pair = np.where(h[:-1] == h[1:], np.uint64(0), mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]))[same]
     return np.concatenate((doc, doc[:-1][same])), np.concatenate((h, pair)) % np.uint64(buckets)
 
 
@@ -96,7 +96,7 @@ def _weigh(raw: np.ndarray, target: np.ndarray, good: np.ndarray, temper: int):
     return run
 
 
-def level(labelled: DataFrame, good_matters: float = 4.0, steps: int = 4096) -> float | None:
+def level(labelled: DataFrame, good_matters: float = 20.0, steps: int = 4096) -> float | None:
     """labelled(log_weight, good) -> the weight that best separates good from bad; None without both kinds.
 
     Losing a share of the good counts good_matters times as much as keeping that share of the bad.

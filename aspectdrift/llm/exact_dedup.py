@@ -1,9 +1,10 @@
 """Exact deduplication by content sort.
 
-Normalised texts are range-partitioned by sampled splitters over (bytes, id) and sorted externally in
-every partition, so equal texts are neighbours and a large group of copies simply spans several
-partitions. Neighbours are compared in full. Only the first and last run of a partition can go on in
-another one; those runs, two rows a partition, are joined by their whole text.
+Normalised texts are range-partitioned by sampled splitters and sorted externally in every partition, so
+equal texts are neighbours and a large group of copies simply spans several partitions. A splitter is
+the first HEAD characters, a hash of the whole text and the id: the sample that the driver sees stays small
+however long the texts are. Neighbours are compared in full. Only runs that share the hash of a
+partition's first or last row can go on in another one; those, two a partition, are joined by their whole text.
 
 Defined results: null text counts as empty; a null id sorts first and never becomes keep_id while the
 group has another; repeated rows of the smallest id: the first one is kept; an empty table gives no
@@ -23,6 +24,7 @@ from aspectdrift.llm.common import staged, text_or_empty
 
 #: White space that normalisation folds.
 BLANKS = r"[\x20\x09-\x0D]+"
+HEAD = 32
 
 
 def normalised(text: str | Column) -> Column:
@@ -33,17 +35,26 @@ def _runs(batches):
     """Rows (id, run, run_min, run_n, lead, edge, sha, edge_text) of a sorted partition, in order.
 
     A run is held back as ids only until it ends. lead marks its first row with the smallest id (its
-    first row if all ids are null); edge the runs that touch an end of the partition, whose lead
+    first row if all ids are null); edge the runs that may go on in another partition, whose lead
     carries the text.
     """
     part = TaskContext.get().partitionId()
     names = ["id", "run", "run_min", "run_n", "lead", "edge", "sha", "edge_text"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string()]
     held: list[list] = [[] for _ in names]
-    text, ids, number = None, [], 0
+    text, ids, number, mark, first, pending = None, [], 0, None, None, []
 
-    def close(last: bool) -> None:
-        edge, n = last or number == 0, len(ids)
+    def close() -> None:
+        pending.append((text, ids, number))
+
+    def settle(last: bool) -> None:
+        """Put out the runs of one hash, which is mark."""
+        for run in pending:
+            put(*run, last or mark == first)
+        pending.clear()
+
+    def put(text: str, ids: list, number: int, edge: bool) -> None:
+        n = len(ids)
         lead = next((k for k, x in enumerate(ids) if x is not None), 0)
         sha = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
         marks, texts = [False] * n, [None] * n
@@ -58,18 +69,24 @@ def _runs(batches):
         return out
 
     for batch in batches:
-        for norm, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for norm, i, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if norm == text:
                 ids.append(i)
                 continue
-            if text is not None:
-                close(False)
+            if text is None:
+                first = mark = h
+            else:
+                close()
                 number += 1
+            if h != mark:
+                settle(False)
+                mark = h
                 if len(held[0]) >= 8192:
                     yield flush()
             text, ids = norm, [i]
     if text is not None:
-        close(True)
+        close()
+        settle(True)
         yield flush()
 
 
@@ -78,8 +95,9 @@ def groups_of_equals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(normalised(text_col).alias("norm"), F.col(id_col).cast("long").alias("id"))
-    placed = source.repartitionByRange(n, "norm", "id").sortWithinPartitions("norm", "id")
-    rows = staged(placed.mapInArrow(_runs, "id long, run long, run_min long, run_n long, lead boolean, edge boolean, sha string, edge_text string"))
+    source = source.select("norm", "id", F.xxhash64("norm").alias("h"), F.substring("norm", 1, HEAD).alias("head"))
+    placed = source.repartitionByRange(n, "head", "h", "id").sortWithinPartitions("head", "h", "norm", "id")
+    rows = staged(placed.select("norm", "id", "h").mapInArrow(_runs, "id long, run long, run_min long, run_n long, lead boolean, edge boolean, sha string, edge_text string"))
     heads = rows.where("edge AND lead").select("edge_text", "run", "run_min", "run_n")
     whole = heads.groupBy("edge_text").agg(F.min("run_min").alias("g_min"), F.sum("run_n").alias("g_n"))
     both = heads.join(whole, "edge_text").select("edge_text", F.col("run").alias("e_run"), F.col("run_min").eqNullSafe(F.col("g_min")).alias("e_best"), "g_min", "g_n")

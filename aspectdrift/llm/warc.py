@@ -200,8 +200,9 @@ def _reader(batches):
 
 def records(index: DataFrame) -> DataFrame:
     """Every record of the index's bundles, read back frame by frame by their seek tables."""
-    bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, offset long")
+    bundles = staged(index.select("bundle").distinct())
+    # A task a bundle: their names are too short for the planner to see how much reading they mean.
+    return bundles.repartition(max(1, bundles.count())).mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, offset long")
 
 
 def read_record(bundle: str, frame_at: int, frame_size: int, offset: int) -> tuple[dict[str, str], bytes]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectdrift.llm.common import mix, text_blocks, token_hashes
+from aspectdrift.llm.common import hash_key, mix, smallest, text_blocks, token_hashes
 
 WINDOW, STRIDE, BUCKETS, SAMPLE_DOCS = 48, 24, 1 << 16, 400
 LIKELY, SURE, CONFIRM = 0.5, 0.6, 0.5
@@ -188,8 +188,9 @@ def _noisy(text: str, rng: np.random.Generator, filler: list[str]) -> str:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies: int = 24, seed: int = 3) -> Scanner:
     """Train on noisy templates against lines of the SAMPLE_DOCS documents with the smallest id hash."""
-    sample = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"), F.slice(F.split(F.col(text_col), "\n"), 1, 6).alias("lines"))
-    lines = [x for r in sample.orderBy("h", "lines").limit(SAMPLE_DOCS).collect() for x in r.lines if x.strip()]
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sample = smallest(texts, hash_key("id", seed), SAMPLE_DOCS, "text").select(F.slice(F.split("text", "\n"), 1, 6).alias("lines"))
+    lines = [x for r in sample.collect() for x in r.lines if x.strip()]
     plain = [" ".join(x.split()[:WINDOW]) for x in lines if not re.search("licen[cs]e|copyright|spdx", x, re.I)]
     rng, names = np.random.default_rng(seed), sorted(TEMPLATES)
     known = [(_noisy(t, rng, plain), k) for k, n in enumerate(names) for t in TEMPLATES[n] for _ in range(copies)] + [(t, k) for k, n in enumerate(names) for t in TEMPLATES[n]]

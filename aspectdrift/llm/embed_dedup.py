@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectdrift.llm.common import Labels, cell_edges, components, staged
+from aspectdrift.llm.common import Labels, cell_edges, components, hash_key, smallest, staged
 
 SAMPLE_ROWS = 8192
 
@@ -119,7 +119,7 @@ def near_vectors(
     """One row a vector: vec_id, n_links, component_id, kept. reach is a share of the code's bits."""
     spark = vectors.sparkSession
     rows, distinct = nodes(vectors, id_col, vec_col)
-    taken = [r.x for r in distinct.select("x", F.xxhash64("x").alias("h")).orderBy("h").limit(SAMPLE_ROWS).collect()]
+    taken = [r.x for r in smallest(distinct.select("x"), hash_key("x", 0), SAMPLE_ROWS).collect()]
     if not taken:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     width = Counter(map(len, taken)).most_common(1)[0][0]

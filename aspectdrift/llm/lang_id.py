@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aspectdrift.llm.common import KEYS, hash_key
+
 UNKNOWN = "und"
 SEGMENT = 512
 BLOCK_CHARS = 2 << 20
-_KEYS = 1 << 40
 
 
 @dataclass
@@ -113,10 +114,10 @@ def fit(
 ) -> Parser:
     """Learn from a bounded sample: of each language the rows_per_lang rows with the smallest id hash, one
     piece of piece_chars characters from a hashed place of each. Rows without language or letter don't count."""
-    key = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("lang-id")), F.lit(_KEYS))
+    key = hash_key(F.col(id_col).cast("string"), "lang-id")
     lang = F.col(lang_col).cast("string")
     # The smallest keys of a language lie under a bound that its size gives, so few rows are ever ranked.
-    bounds = [F.when(lang == r[0], min(_KEYS, 1 + 4 * rows_per_lang * _KEYS // r[1])) for r in docs.where(lang.isNotNull()).groupBy(lang).count().collect()]
+    bounds = [F.when(lang == r[0], min(KEYS, 1 + 4 * rows_per_lang * KEYS // r[1])) for r in docs.where(lang.isNotNull()).groupBy(lang).count().collect()]
     near = docs.where(key < F.coalesce(*bounds, F.lit(0))) if bounds else docs.limit(0)
     rows = near.where(F.col(text_col).rlike(r"\p{L}")).select(
         lang.alias("lang"), key.alias("k"),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectdrift.llm.common import mix, staged, text_blocks, token_hashes
+from aspectdrift.llm.common import hash_key, mix, smallest, staged, text_blocks, token_hashes
 
 BUCKETS = 10_000
 
@@ -141,8 +141,7 @@ def selected(
     list of ids is sent out; the raw model counts every document and the level is set on every labelled one.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(good_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("l_id")).agg((F.min(good_col) > 0).alias("good"))
-    order = F.xxhash64("l_id", F.lit(seed + 1))
-    good = np.sort(np.array([r.l_id for r in known.where("good").orderBy(order, "l_id").limit(target_docs).collect()], np.int64))
+    good = np.sort(np.array([r.l_id for r in smallest(known.where("good"), hash_key("l_id", seed + 1), target_docs, "l_id").collect()], np.int64))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     raw, target = models(rows, good, buckets)
     hashed = rows.select("id", "text", F.xxhash64("id", F.lit(seed)).alias("h"))

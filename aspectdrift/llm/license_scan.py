@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from aspectdrift.llm.common import hash_key, mix, smallest, text_blocks, token_hashes
 
 WINDOW, STRIDE, BUCKETS, SAMPLE_DOCS = 48, 24, 1 << 16, 400
-LIKELY, SURE, CONFIRM = 0.5, 0.6, 0.5
+LIKELY, SURE, CONFIRM = 0.75, 0.6, 0.5
 UNKNOWN = "unknown"
 
 # Usual notices of each family.

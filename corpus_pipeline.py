@@ -23,10 +23,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def exact_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal normalised texts; rows that repeat an id and text are one."""
-    kept = exact_dedup.groups_of_equals(docs).where("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__own", F.sha2(exact_dedup.normalised("text"), 256))
-    alone = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return alone.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    groups = exact_dedup.groups_of_equals(docs)
+    kept = groups.where("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    mark = {"__own": F.sha2(exact_dedup.normalised("text"), 256)}
+    alone = docs.withColumns(mark).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
+    # Rows that repeat an id and text all match here. They are rare, so texts are only shuffled again where there are any.
+    again = groups.where("id <=> keep_id").groupBy(F.col("text_sha256").alias("__sha")).count().where("count > 1").select("__sha")
+    if not again.isEmpty():
+        repeated = F.col("__own") == F.col("__sha")
+        alone = alone.join(again, repeated, "left_anti").unionByName(alone.join(again, repeated, "left_semi").dropDuplicates(["doc_id", "__own"]))
+    return alone.select(*docs.columns)
 
 
 def near_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Every query of the engine by name, with the SQL that gives the same rows."""
+"""Every query of the engine by name, with the SQL that gives the same rows in DuckDB."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from aspectdrift.plans import core_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(core_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(core_queries.ORACLE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return core_queries.ols_trend(spark, sf_dir)

@@ -21,9 +21,13 @@ def _normaliser(form: str):
     return run
 
 
+#: Characters that are their own NFC and NFKC and don't combine: ASCII, and Latin letters as most European and Vietnamese texts have them.
+STABLE = r"\x00-\x7F\u00A1\u00A7\u00AB\u00B0\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u1EA0-\u1EF9"
+
+
 def unicode_form(text: Column, form: str) -> Column:
-    """NFC or NFKC. ASCII text is its own form, so only other rows leave the JVM's expressions with work to do."""
-    rest = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    """NFC or NFKC. Text of STABLE characters is its own form; only other texts are sent to Python."""
+    rest = F.when(text.rlike(f"[^{STABLE}]"), text)
     return F.coalesce(_normaliser(form)(rest), text)
 
 

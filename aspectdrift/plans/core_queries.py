@@ -17,8 +17,13 @@ def r6(*names):
     return [F.round(n, 6).alias(n) for n in names]
 
 
+def cells_once(spark, d, level="category"):
+    """The cell table, a few rows a period, kept: shares, references and dimensions all read it."""
+    return aggregate.cells(quads(spark, d), level).persist()
+
+
 def category_cells(spark, d):
-    return aggregate.cells(quads(spark, d), "category")
+    return cells_once(spark, d)
 
 
 # ---------------------------------------------------------------- shared SQL
@@ -100,7 +105,7 @@ def reference_composition(spark, d):
 
 
 def _shares(spark, d, level="category"):
-    cell = aggregate.cells(quads(spark, d), level)
+    cell = cells_once(spark, d, level)
     return aggregate.shares(aggregate.complaints(cell), aggregate.reference(cell, "complaint"), cell.select("aspect").distinct())
 
 
@@ -196,8 +201,7 @@ src AS (SELECT aspect AS series_id, b, row_number() OVER (PARTITION BY aspect, b
 @query("bootstrap_ci", f"""{CAT}, {BOOT}, {STATS}, o AS (SELECT series_id AS aspect, list_sort(list(slope_per_year)) AS s FROM tr GROUP BY series_id)
 SELECT aspect, round(s[CAST(floor(0.025 * len(s)) AS INT) + 1], 6) AS lo, round(s[CAST(floor(0.975 * len(s)) AS INT) + 1], 6) AS hi FROM o""")
 def bootstrap_ci(spark, d):
-    rows = quads(spark, d)
-    cell = aggregate.cells(rows, "category")
+    rows, cell = quads(spark, d), cells_once(spark, d)
     slopes = inference.bootstrap_slopes(aggregate.review_vectors(rows, "category"), aggregate.reference(cell, "complaint"), cell.select("aspect").distinct(), N_BOOT, SEED)
     return inference.interval(slopes).select("aspect", *r6("lo", "hi"))
 

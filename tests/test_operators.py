@@ -47,6 +47,16 @@ def test_text(spark):
     assert uid.startswith("r_POS_AM_POOL_") and len(uid.rsplit("_", 1)[1]) == 6
 
 
+def test_stable_characters_are_their_own_forms():
+    import re
+    import unicodedata
+
+    kept = [c for c in map(chr, range(0x20000)) if re.fullmatch(f"[{text.STABLE}]", c)]
+    assert len(kept) > 400
+    for c in kept:
+        assert unicodedata.normalize("NFC", c) == unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c)
+
+
 def test_strata(spark):
     bloc = lambda c: one(spark, strata.country_bloc(F.lit(c).cast("string")))
     assert [bloc(c) for c in ("Việt Nam", "Pháp", "Hàn Quốc", "Brazil", None)] == ["VN", "WEST", "ASIA", "OTH", "OTH"]
@@ -331,3 +341,12 @@ def test_jsonl(spark, tmp_path):
         jsonl.load_model(spark, f"file://{tmp_path}/m", ["y"])
     jsonl.save_model(spark, f"file://{tmp_path}/m", [1.0], 0.5, ["x"], "NO-GO")
     assert jsonl.load_model(spark, f"file://{tmp_path}/m", ["x"]) is None
+
+
+def test_cli_runs_a_step_once(spark, tmp_path):
+    from aspectdrift import cli
+
+    injected(spark, 3000).withColumn("stratum", F.col("bloc")).withColumn("phi", F.lit("NEG")).withColumn("w", F.lit(1.0)).withColumn("hotel_id", F.lit("h")).write.parquet(f"{tmp_path}/quads")
+    go = lambda **kw: cli.run(spark, "drift", f"file://{tmp_path}/quads", f"file://{tmp_path}/out", n_perm=19, **kw)
+    assert go() and not go() and go(force=True)
+    assert spark.read.parquet(f"{tmp_path}/out").where("channel = 'val_adj'").count() == 1

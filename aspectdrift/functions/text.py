@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 #: All that counts as white space, written out because \s alone is ASCII here.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+SPACES = "".join(map(chr, (0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def _normaliser(form: str):
@@ -32,7 +33,7 @@ def unicode_form(text: Column, form: str) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def nfc(text: Column, forms: bool = True) -> Column:

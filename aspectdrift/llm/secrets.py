@@ -108,3 +108,41 @@ def op9(docs: DataFrame) -> DataFrame:
         F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(_shown(F.col("base")), 256).alias("base_sha256"), _shown(F.col("spans")).alias("spans"),
     )
+
+
+def _any_case(words: str) -> str:
+    """words for an engine whose own case folding knows more than ASCII."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _runs(kind: str, pattern: str, where: str = "true", group: int = 0, gate: str = "true") -> str:
+    """SQL for rows (r, k, s, e, m, g) of the matches of pattern; g is a group of theirs."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+SELECT r, k, s, s + length(m) AS e, m FROM (
+  SELECT r, {KINDS.index(kind)} AS k, m, g, CAST(sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY r ORDER BY i) - coalesce(length(m), 0) AS BIGINT) AS s
+  FROM (SELECT r, unnest(regexp_split_to_array(t, '{quoted}')) AS gap, unnest(regexp_extract_all(t, '{quoted}')) AS m,
+      unnest(regexp_extract_all(t, '{quoted}', {group})) AS g, generate_subscripts(regexp_split_to_array(t, '{quoted}'), 1) AS i FROM d WHERE {gate})
+) WHERE m IS NOT NULL AND {where}"""
+
+
+#: Plain matching and a comparison of all parts of a document; maximal runs stand for the patterns that look around.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_runs("assign", "(" + _any_case("password") + "|" + _any_case("passwd") + "|" + _any_case("secret") + "|" + _any_case("token") + "|" + _any_case("api") + "_?" + _any_case("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(g) >= 6", 2)}
+UNION ALL {_runs("access", "AKIA[A-Z0-9]+", "length(m) >= 20")}
+UNION ALL {_runs("hex", "[0-9a-f]+", "length(m) >= 24")}),
+weak AS ({_runs("shortid", "[A-Z0-9]+", "regexp_full_match(m, 'AKIA[A-Z0-9]{8,15}')", gate="contains(t, 'AKIA')")}
+UNION ALL {_runs("secret", "[A-Za-z0-9+/=_-]+", "regexp_full_match(m, '[A-Za-z0-9+/]{40,}={0,2}') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')", gate="contains(t, 'AKIA')")}
+UNION ALL SELECT r, k, s + CAST(NOT regexp_matches(m, '^[a-z0-9-]') AS INT), e, m FROM ({_runs("endpoint", r"""https?://[^\x20\x09-\x0D"'<>]+|(?:^|[^A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com""", gate="contains(t, 'AKIA')")})),
+parts AS (SELECT r, k, s, e FROM weak UNION ALL SELECT r, k, s, e FROM base WHERE k = 1),
+linked AS (SELECT r, k, s, e FROM weak x WHERE EXISTS (SELECT 1 FROM parts y WHERE y.r = x.r AND x.s - y.e <= {SCOPE} AND y.s - x.e <= {SCOPE}
+  AND CASE WHEN x.k = 3 THEN y.k = 4 ELSE y.k IN (1, 3) END)),
+every AS (SELECT r, k, s, e, true AS own FROM base UNION ALL SELECT r, k, s, e, false FROM linked),
+shown AS (SELECT *, list_extract({list(KINDS)}, k + 1) || ':' || s || ':' || e AS span FROM every),
+told AS (SELECT r, count_if(k = 0) AS n0, count_if(k = 1) AS n1, count_if(k = 2) AS n2,
+  string_agg(span, ',' ORDER BY s, k, e) FILTER (WHERE own) AS base, string_agg(span, ',' ORDER BY s, k, e) AS spans FROM shown GROUP BY r)
+SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (r)
+"""

@@ -220,3 +220,16 @@ def op10(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of all pages, from the archives."""
     index = archive(pages, folder or scratch_dir(pages.sparkSession) + "/warc")
     return records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Groups are of whole payloads, not of digests; five hexadecimal digits of the SHA-1 are four of base32.
+ORACLE = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+g AS (SELECT page_id, payload, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p),
+v AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS fives,
+  first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM g)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((fives[i // 4 + 1] >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to
+FROM v
+"""

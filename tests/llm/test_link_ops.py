@@ -28,6 +28,17 @@ class Union:
         self.up[b] = a
 
 
+def by_sql(sql, table, names, rows):
+    """Sorted rows of a query's SQL over a table of rows whose first column is an integer, the rest strings."""
+    import duckdb
+    import pyarrow as pa
+
+    con = duckdb.connect()
+    cols = zip(*rows, strict=True)
+    con.register(table, pa.table({n: pa.array(c, pa.string() if i else pa.int64()) for i, (n, c) in enumerate(zip(names, cols, strict=True))}))
+    return sorted(map(str, con.execute(sql).fetchall()))
+
+
 def plain_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -202,6 +213,7 @@ def test_secrets(spark):
         assert set(filter(None, shown(base).split(","))) <= {":".join(x) for x in own}
         assert own == sorted(own, key=lambda x: (int(x[1]), secrets.KINDS.index(x[0])))
     assert secrets.op9(docs.limit(0)).count() == 0
+    assert by_sql(secrets.ORACLE, "documents", ["doc_id", "text"], [tuple(r) for r in docs.collect()]) == sorted(map(str, map(tuple, rows)))
 
 
 def test_weak_parts_only_count_together(spark):
@@ -225,6 +237,8 @@ def test_secret_links_match_all_pairs(spark):
         for kind, sides in (("shortid", ("secret",)), ("secret", ("access", "shortid")), ("endpoint", ("access", "shortid"))):
             want += [(x[0], secrets.KINDS.index(kind), x[1]) for x in found[kind] if any(near(x, y) for s in sides for y in found[s])]
         assert got[i] == shown(sorted(want))
+    sql = f"SELECT doc_id, spans FROM ({secrets.ORACLE})"
+    assert by_sql(sql, "documents", ["doc_id", "text"], list(enumerate(texts))) == sorted(map(str, got.items()))
 
 
 # ---------------------------------------------------------------- archives
@@ -248,6 +262,7 @@ def test_archives(spark, tmp_path):
         want.append((r.page_id, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", low if again else None))
     key = lambda t: tuple((x is None, x) for x in t)
     assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=key) == sorted(want, key=key)
+    assert by_sql(warc.ORACLE, "pages", ["page_id", "url", "html"], [tuple(r) for r in rows]) == sorted(map(str, want))
     html = {r.page_id: (r.html or "").encode() for r in rows}
     for r in index.where("page_id % 40 = 1 OR page_id = 90005").collect():
         head, block = warc.read_record(r.bundle, r.frame_at, r.frame_size, r.offset)

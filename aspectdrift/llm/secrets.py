@@ -34,19 +34,22 @@ SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?
 ENDPOINT = r"""https?://[^\s"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com"""
 KINDS = ("assign", "access", "hex", "shortid", "secret", "endpoint")
 SCOPE = 400
+#: Matches whose places are added up together.
+CHUNK = 256
 
 
 def spans(text: Column, pattern: str, kind: str, gate: str | None = None) -> Column:
     """Array of (start, kind number, end, match) of the matches of pattern, in order.
 
-    The gaps that split() leaves and the matches alternate, so running lengths give the places.
+    The gaps that split() leaves and the matches alternate, so running lengths give the places. They run
+    within chunks first and then over chunks, since an array that grows match by match is copied each time.
     gate, a cheaper pattern that any text with a match has, spares the rest the work.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     number = KINDS.index(kind)
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int,m:string>>").alias("out"))
-    pairs = F.arrays_zip(gaps.alias("g"), hits.alias("h"))
+    none = F.array().cast("array<struct<s:int,k:int,e:int,m:string>>")
+    seed = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["g"])
@@ -54,8 +57,18 @@ def spans(text: Column, pattern: str, kind: str, gate: str | None = None) -> Col
         more = F.array(F.struct(start.alias("s"), F.lit(number).alias("k"), end.alias("e"), p["h"].alias("m")))
         return F.struct(end.alias("at"), F.when(p["h"].isNotNull(), F.concat(acc["out"], more)).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(pairs, seed, step)["out"]
-    return F.when(text.rlike(gate or pattern), found).otherwise(seed["out"])
+    def chunks(pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int"))
+        return F.transform(numbers, lambda i: F.aggregate(F.slice(pairs, i * CHUNK + 1, CHUNK), seed, step))
+
+    def shift(acc: Column, c: Column) -> Column:
+        moved = F.transform(c["out"], lambda x: F.struct((x["s"] + acc["at"]).alias("s"), x["k"].alias("k"), (x["e"] + acc["at"]).alias("e"), x["m"].alias("m")))
+        return F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    # The one-element array binds the pairs to a variable, or every chunk would match the text again.
+    bound = F.element_at(F.transform(F.array(F.arrays_zip(gaps.alias("g"), hits.alias("h"))), chunks), 1)
+    found = F.flatten(F.aggregate(bound, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,k:int,e:int,m:string>>>").alias("out")), shift)["out"])
+    return F.when(text.rlike(gate or pattern), found).otherwise(none)
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

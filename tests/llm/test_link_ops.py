@@ -193,6 +193,7 @@ SECRET_ROWS = [
     (5, f"{VALUE} alone"), (6, f"{KEY}" + " pad" * 200 + f" {VALUE}"), (7, f"AKIAABCDEFGH12 {VALUE} https://a.b/c"), (8, f"s3.eu.amazonaws.com {KEY}"),
     (8, f"s3.eu.amazonaws.com {KEY}"), (None, f"{KEY} {VALUE}"), (9, "deadbeef" * 4 + " token=" + "0123456789abcdef" * 2), (10, "AKIAABCDEFGH12 nothing"),
     (11, ("token=" + "ab12cd34 ") * 2000), (12, "Secret\"\x20:\x20\"abc.def==\" passwd=\x20short token=\nabcdefgh"),
+    (13, "é token=abcdef12 " * 700), (14, "token=abcdef12 " * secrets.CHUNK + "x"),
 ]
 
 

@@ -225,6 +225,19 @@ def test_weak_parts_only_count_together(spark):
     assert rows[8] == "endpoint:0:19,access:20:40" and rows[None] == "access:0:20,secret:21:62"
 
 
+def test_secret_right_after_an_equals_sign(spark):
+    slashed = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY+1=="
+    rows = [
+        (1, f"AWS_ACCESS_KEY_ID={KEY}\nAWS_SECRET_ACCESS_KEY={VALUE}\n"), (2, f"id={KEY} https://a.b/?key={slashed}&x=1"),
+        (3, f"AKIAABCDEFGH12 AWS_SECRET_ACCESS_KEY={slashed}"), (4, f"KEY={VALUE}"), (5, f"{KEY} KEY={VALUE}_x"), (6, f"{KEY} a_{VALUE}"), (7, f"{KEY} KEY={VALUE}==="),
+    ]
+    got = {r.doc_id: r.spans for r in secrets.op9(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "access:18:38,secret:61:102"
+    assert got[2] == "access:3:23,endpoint:24:89,secret:41:85"
+    assert got[3] == "shortid:0:14,secret:37:81"
+    assert got[4] == "" and got[5] == got[6] == got[7] == "access:0:20"
+
+
 def test_secret_links_match_all_pairs(spark):
     rng = np.random.default_rng(5)
     parts = [KEY, VALUE, "https://x.y/z", "AKIAABCDEFGH12", "pad " * 40, "pad " * 90]

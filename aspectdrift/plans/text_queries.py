@@ -130,6 +130,13 @@ def unpivot_units(spark, d):
     return store.units(docs.select(F.col("doc_id").alias("review_uid"), F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 20)).alias("text_pos"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("text_neg"), F.coalesce("g", F.lit(False)).alias("in_gold")))
 
 
+@query("unpivot_units_whole")
+def unpivot_units_whole(spark, d):
+    """unpivot_units over the whole text and the source of every document without a label."""
+    docs = _t(spark, d, "documents").join(_t(spark, d, "labels").select("doc_id", F.lit(True).alias("g")).distinct(), "doc_id", "left")
+    return store.units(docs.select(F.col("doc_id").alias("review_uid"), F.col("text").alias("text_pos"), F.col("source").alias("text_neg"), F.coalesce("g", F.lit(False)).alias("in_gold")))
+
+
 # ---------------------------------------------------------------- posterior
 
 POST = "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'POS' ELSE 'NEG' END AS phi, (p_size % 7 + 1) / 20.0e0 AS a, (p_size % 5 + 1) / 20.0e0 AS b, (p_size % 3 + 1) / 20.0e0 AS c FROM part"

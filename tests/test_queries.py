@@ -28,6 +28,20 @@ def test_other_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+def units_by_hand(docs, labelled):
+    return sorted((k, phi, t) for k, text, source in docs if k not in labelled for phi, t in (("POS", text), ("NEG", source)) if t)
+
+
+def test_units_keep_whole_texts_of_all_documents(spark, con, tmp_path):
+    got = sorted(map(tuple, catalog.QUERIES["unpivot_units_whole"](spark, SF).collect()))
+    labelled = {k for (k,) in con.execute("SELECT doc_id FROM labels").fetchall()}
+    assert got == units_by_hand(con.execute("SELECT doc_id, text, source FROM documents").fetchall(), labelled)
+    odd = [(1, "x" * 5000, "web"), (2, None, "web"), (3, "", ""), (4, "short", None), (6, "labelled", "web"), (9, "é\U0001f600" * 30, "books")]
+    spark.createDataFrame(odd, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(6, 1), (6, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(map(tuple, catalog.QUERIES["unpivot_units_whole"](spark, str(tmp_path)).collect())) == units_by_hand(odd, {6})
+
+
 def test_nothing_else_imports_the_optional_part():
     root = Path(__file__).resolve().parent.parent
     used = [p for p in (root / "aspectdrift").rglob("*.py") if "llm" not in p.relative_to(root).parts and "llm" in p.read_text()]

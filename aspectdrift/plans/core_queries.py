@@ -251,9 +251,9 @@ def seasonal_amplitude(spark, d):
 
 @query("drift_report")
 def drift_report(spark, d):
-    return drift.drift(quads(spark, d), "category", n_perm=200)
+    return drift.drift(quads(spark, d), "category")
 
 
 @query("drift_report_bootstrap")
 def drift_report_bootstrap(spark, d):
-    return drift.drift(quads(spark, d), "category", n_perm=99, n_boot=10)
+    return drift.drift(quads(spark, d), "category", n_boot=10)

@@ -309,17 +309,17 @@ def inject_shuffle(spark, d):
 
 @query("composition_test")
 def composition_test(spark, d):
-    return harness.composition_test(quads(spark, d), F.col("bloc") == "ASIA", KEY, level="category", n_perm=99)
+    return harness.composition_test(quads(spark, d), F.col("bloc") == "ASIA", KEY, level="category")
 
 
 @query("valence_sweep")
 def valence_sweep(spark, d):
-    return harness.valence_sweep(quads(spark, d), "SMALL_1", "1998-06", KEY, deltas=(0.2, 0.6), n_perm=99)
+    return harness.valence_sweep(quads(spark, d), "SMALL_1", "1998-06", KEY)
 
 
 @query("shuffle_control")
 def shuffle_control(spark, d):
-    return harness.shuffle_control(quads(spark, d), 2, level="category", n_perm=99)
+    return harness.shuffle_control(quads(spark, d), level="category")
 
 
 # ---------------------------------------------------------------- weights

@@ -1,5 +1,6 @@
 """Every query with oracle SQL gives DuckDB's rows; the others run; the entry point works without the optional part."""
 
+import inspect
 import subprocess
 import sys
 from pathlib import Path
@@ -8,6 +9,8 @@ import oracle
 import pytest
 
 from aspectdrift import catalog
+from aspectdrift.operators import inference
+from aspectdrift.plans import harness
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"composition_test", "valence_sweep", "shuffle_control", "drift_report_bootstrap"}
@@ -42,6 +45,29 @@ def test_units_keep_whole_texts_of_all_documents(spark, con, tmp_path):
     assert sorted(map(tuple, catalog.QUERIES["unpivot_units_whole"](spark, str(tmp_path)).collect())) == units_by_hand(odd, {6})
 
 
+@pytest.mark.parametrize("name", ["composition_test", "drift_report", "drift_report_bootstrap", "shuffle_control", "valence_sweep"])
+def test_permutations_suffice_for_a_single_effect(spark, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def look(rows, n_perm, seed):
+        raise Seen(rows.where("channel IN ('adj', 'val_adj')").select("series_id").distinct().count(), n_perm)
+
+    monkeypatch.setattr(inference, "permutation_p", look)
+    with pytest.raises(Seen) as seen:
+        catalog.QUERIES[name](spark, SF)
+    m, n_perm = seen.value.args
+    assert m >= 12 and inference.diagnostics(m, n_perm)["single_effect_reachable"]
+
+
+@pytest.mark.parametrize("name, arg", [("valence_sweep", "deltas"), ("shuffle_control", "repeats")])
+def test_harness_queries_run_all_deltas_and_repeats(spark, monkeypatch, name, arg):
+    shape, calls = inspect.signature(getattr(harness, name)), []
+    monkeypatch.setattr(harness, name, lambda *a, **k: calls.append(shape.bind(*a, **k)))
+    catalog.QUERIES[name](spark, SF)
+    assert calls[0].arguments.get(arg, shape.parameters[arg].default) == shape.parameters[arg].default
+
+
 def test_nothing_else_imports_the_optional_part():
     root = Path(__file__).resolve().parent.parent
     used = [p for p in (root / "aspectdrift").rglob("*.py") if "llm" not in p.relative_to(root).parts and "llm" in p.read_text()]

@@ -13,6 +13,7 @@ by row; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import cache
 
@@ -26,6 +27,8 @@ from aspectdrift.llm.common import staged
 # ---------------------------------------------------------------- tokens
 
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The fast library's matcher recurses over a run of blanks; texts with such a run go the plain way, which doesn't.
+_BLANK_RUN = re.compile(r"\s{4096}")
 
 
 def _byte_of() -> dict[str, int]:
@@ -42,7 +45,8 @@ def encoder(path: str):
     """encode(list of texts) -> list of id lists, as `tokenizers` gives them for the file at path.
 
     The file's own vocabulary is also loaded as byte ranks into tiktoken, about five times as fast,
-    and used where a probe agrees; texts with an added token's string always go the plain way.
+    and used where a probe agrees; texts with an added token's string or a very long run of blanks always
+    go the plain way.
     """
     from tokenizers import Tokenizer
 
@@ -64,7 +68,7 @@ def encoder(path: str):
         return slow
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [slow([t])[0] if any(a in t for a in added) else fast.encode_ordinary(t) for t in texts]
+        return [slow([t])[0] if any(a in t for a in added) or _BLANK_RUN.search(t) else fast.encode_ordinary(t) for t in texts]
 
     return encode
 

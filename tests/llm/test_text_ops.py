@@ -198,6 +198,19 @@ def test_fast_ids_are_those_of_tokenizers():
     assert packing.encoder(path)(texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_ids_of_very_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    plain = Tokenizer.from_file(path)
+    texts = [" " * 2_000_000, "\n" * 1_000_000 + "x", "a " + "\t " * 5000 + "b", " " * 4095 + "y", "a" * 1_000_000, "!?" * 500_000, "\u3000" * 100_000]
+    assert packing.encoder(path)(texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    rows = packing.op4(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, t in enumerate(texts):
+        own = [r.length for r in rows if r.doc_id == i]
+        assert sum(own) == len(plain.encode(t, add_special_tokens=False).ids) + 1 and max(own) <= 1024
+
+
 def test_packing_places_every_piece_once(docs, odd, empty):
     from tokenizers import Tokenizer
 

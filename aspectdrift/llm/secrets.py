@@ -31,7 +31,8 @@ HEX = r"[0-9a-f]{24,}"
 #: Weak kinds; the identifier that is too short for `access`, values, and places to use them. A value may follow '='.
 SHORTID = r"(?<![A-Z0-9])AKIA[A-Z0-9]{8,15}(?![A-Z0-9])"
 SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"""https?://[^\s"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com"""
+#: No repeated group: Java recurses once a repetition, and a text may hold a very long dotted name.
+ENDPOINT = r"""https?://[^\s"'<>]+|(?<![A-Za-z0-9.-])[a-z0-9-][a-z0-9.-]*\.amazonaws\.com"""
 KINDS = ("assign", "access", "hex", "shortid", "secret", "endpoint")
 SCOPE = 400
 #: Matches whose places are added up together.
@@ -147,7 +148,7 @@ UNION ALL {_runs("access", "AKIA[A-Z0-9]+", "length(m) >= 20")}
 UNION ALL {_runs("hex", "[0-9a-f]+", "length(m) >= 24")}),
 weak AS ({_runs("shortid", "[A-Z0-9]+", "regexp_full_match(m, 'AKIA[A-Z0-9]{8,15}')", gate="contains(t, 'AKIA')")}
 UNION ALL {_runs("secret", "[A-Za-z0-9+/=_-]+", "regexp_full_match(m, '[A-Za-z0-9+/]{40,}={0,2}') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')", gate="contains(t, 'AKIA')")}
-UNION ALL SELECT r, k, s + CAST(NOT regexp_matches(m, '^[a-z0-9-]') AS INT), e, m FROM ({_runs("endpoint", r"""https?://[^\x20\x09-\x0D"'<>]+|(?:^|[^A-Za-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com""", gate="contains(t, 'AKIA')")})),
+UNION ALL SELECT r, k, s + CAST(NOT regexp_matches(m, '^[a-z0-9-]') AS INT), e, m FROM ({_runs("endpoint", r"""https?://[^\x20\x09-\x0D"'<>]+|(?:^|[^A-Za-z0-9.-])[a-z0-9-][a-z0-9.-]*\.amazonaws\.com""", gate="contains(t, 'AKIA')")})),
 parts AS (SELECT r, k, s, e FROM weak UNION ALL SELECT r, k, s, e FROM base WHERE k = 1),
 linked AS (SELECT r, k, s, e FROM weak x WHERE EXISTS (SELECT 1 FROM parts y WHERE y.r = x.r AND x.s - y.e <= {SCOPE} AND y.s - x.e <= {SCOPE}
   AND CASE WHEN x.k = 3 THEN y.k = 4 ELSE y.k IN (1, 3) END)),

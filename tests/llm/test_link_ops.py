@@ -238,6 +238,21 @@ def test_secret_right_after_an_equals_sign(spark):
     assert got[4] == "" and got[5] == got[6] == got[7] == "access:0:20"
 
 
+def test_secrets_of_very_long_texts(spark):
+    rng = np.random.default_rng(6)
+    run = "".join(rng.choice(list("ABCDEFabcdef0123456789+/"), 10_000_000))
+    rows = [
+        (1, f"{KEY} " + "a." * 1_000_000), (2, f"{KEY} " + "a." * 1_000_000 + "amazonaws.com"), (3, f"{KEY} {run}"), (4, f"{KEY} {run}_"), (5, "token" * 500_000 + "=abcdefgh"),
+        (6, f"{KEY} token" + " " * 3_000_000 + "= x"), (7, "password:" * 300_000), (8, f"{KEY} http://" + "x" * 3_000_000), (9, "0123456789abcdef01234 " * 100_000),
+    ]
+    got = {r.doc_id: r for r in secrets.op9(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for i, t in rows:
+        assert hashlib.sha256(shown(plain_base(t)).encode()).hexdigest() == got[i].base_sha256, i
+    assert got[1].spans == "access:0:20" and got[2].spans == "access:0:20,endpoint:21:2000034"
+    assert f"secret:21:{21 + len(run)}" in got[3].spans.split(",") and "secret" not in got[4].spans
+    assert got[8].spans == "access:0:20,endpoint:21:3000028"
+
+
 def test_secret_links_match_all_pairs(spark):
     rng = np.random.default_rng(5)
     parts = [KEY, VALUE, "https://x.y/z", "AKIAABCDEFGH12", "pad " * 40, "pad " * 90]

@@ -1,15 +1,19 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton is built over a bounded sample of labelled text of every language. A document is
-parsed greedily against each automaton: a phrase is the longest match that starts where the last one
-ended, and the next phrase starts at the mismatch. The language whose automaton needs the fewest
-phrases, each costed log2 of its training length, wins. Whole texts are parsed; very long ones in
-segments of a fixed length side by side, which costs at most one extra phrase a segment for every
-language alike.
+A suffix automaton is built over labelled text of every language: whole texts of a bounded sample of rows. A
+document is parsed greedily against each automaton: a phrase is the longest match that starts where the
+last one ended, and the next phrase starts at the mismatch. A letter that the language's text lacks
+counts as one more phrase. The phrases are normalised to bits: each names a place in the language's
+text, log2 of its length, and a length of its own, 2 log2 of the mean phrase + 1. The language with
+the fewest bits wins. Whole texts are parsed; long ones in segments of SEGMENT symbols side by side,
+which costs at most one extra phrase a segment for every language alike.
+
+Alphabets have no limit: transitions lie in one sparse array a language, found by displacement.
 
 Defined results: null or letterless text gives ``und`` with score 0; ties go to the language that
 sorts first; repeated rows each get a row; an empty table gives no rows; no learnable row at all
-makes every prediction ``und``; extra columns are ignored.
+makes every prediction ``und``; a single language scores against spelling letters one by one;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,24 +34,35 @@ BLOCK_CHARS = 2 << 20
 
 
 @dataclass
-class Parser:
-    """What executors need: letters by code point, and one flat transition table a language.
+class Table:
+    """Transitions of one automaton: slot base[state] + symbol holds `to` if it is owned by the state.
 
-    table[state * width + symbol] is the next state times width; where the match ends it is the
-    bitwise complement of the state after starting anew with that symbol.
+    anew[symbol] is the state after starting anew with a symbol, 0 for one that the text lacks.
     """
 
+    base: np.ndarray
+    owner: np.ndarray
+    to: np.ndarray
+    anew: np.ndarray
+    length: int
+
+
+@dataclass
+class Parser:
+    """What executors need: letters by code point, shared by all languages, and one table a language."""
+
     langs: list[str]
     symbols: dict[int, int]
-    width: int
-    tables: list[np.ndarray]
-    bits: np.ndarray
+    tables: list[Table]
+
+    @property
+    def width(self) -> int:
+        return len(self.symbols) + 2
 
     def codes(self) -> np.ndarray:
         """Symbol of every code point: 0 no letter, width - 1 a letter that no training text has."""
-        out = np.where(_letters(), self.width - 1, 0).astype(np.uint8)
-        for point, symbol in self.symbols.items():
-            out[point] = symbol
+        out = np.where(_letters(), self.width - 1, 0).astype(np.int32)
+        out[list(self.symbols)] = list(self.symbols.values())
         return out
 
 
@@ -86,15 +101,33 @@ def automaton(text: list[int]) -> list[dict[int, int]]:
     return out
 
 
-def _table(steps: list[dict[int, int]], width: int) -> np.ndarray:
-    anew = np.full(width, -1, np.int32)
-    for c, to in steps[0].items():
-        anew[c] = ~(to * width)
-    table = np.tile(anew, (len(steps), 1))
-    for state, by in enumerate(steps):
-        for c, to in by.items():
-            table[state, c] = to * width
-    return table.ravel()
+def table_of(steps: list[dict[int, int]], width: int, length: int, seed: int = 1) -> Table:
+    """Place every state's transitions at a drawn base where they all find free slots, states of many first."""
+    degree = np.array([len(by) for by in steps])
+    first = np.concatenate(([0], np.cumsum(degree)))
+    symbol = np.fromiter((c for by in steps for c in by), np.int64, first[-1])
+    target = np.fromiter((t for by in steps for t in by.values()), np.int32, first[-1])
+    size = 1 << int(max(4 * first[-1], 2 * width, 2) - 1).bit_length()
+    base, owner, to = np.zeros(len(steps), np.int32), np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    rng, claim = np.random.default_rng(seed), np.full(size, -1, np.int64)
+    rank = np.frexp(degree)[1]
+    for r in range(int(rank.max(initial=0)), 0, -1):
+        left = np.flatnonzero(rank == r)
+        while len(left):
+            n = degree[left]
+            drawn = rng.integers(0, size, len(left))
+            own = np.repeat(np.arange(len(left)), n)
+            each = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + first[left][own]
+            slot = (drawn[own] + symbol[each]) & (size - 1)
+            claim[slot] = own
+            bad = np.bincount(own, (claim[slot] != own) | (owner[slot] >= 0), minlength=len(left)) > 0
+            fits = ~bad[own]
+            owner[slot[fits]], to[slot[fits]] = left[own[fits]], target[each[fits]]
+            base[left[~bad]] = drawn[~bad]
+            left = left[bad]
+    anew = np.zeros(width, np.int32)
+    anew[list(steps[0])] = list(steps[0].values())
+    return Table(base, owner, to, anew, length)
 
 
 def normalised(text: str, codes: np.ndarray) -> np.ndarray:
@@ -108,45 +141,46 @@ def normalised(text: str, codes: np.ndarray) -> np.ndarray:
     return s
 
 
-def fit(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    rows_per_lang: int = 400, piece_chars: int = 80, letters: int = 60,
-) -> Parser:
-    """Learn from a bounded sample: of each language the rows_per_lang rows with the smallest id hash, one
-    piece of piece_chars characters from a hashed place of each. Rows without language or letter don't count."""
-    key = hash_key(F.col(id_col).cast("string"), "lang-id")
-    lang = F.col(lang_col).cast("string")
-    # The smallest keys of a language lie under a bound that its size gives, so few rows are ever ranked.
-    bounds = [F.when(lang == r[0], min(KEYS, 1 + 4 * rows_per_lang * KEYS // r[1])) for r in docs.where(lang.isNotNull()).groupBy(lang).count().collect()]
-    near = docs.where(key < F.coalesce(*bounds, F.lit(0))) if bounds else docs.limit(0)
-    rows = near.where(F.col(text_col).rlike(r"\p{L}")).select(
-        lang.alias("lang"), key.alias("k"),
-        F.substring(F.col(text_col), (F.pmod(key, F.greatest(F.length(text_col) - piece_chars, F.lit(1)).cast("long")) + 1).cast("int"), F.lit(piece_chars)).alias("piece"),
-    )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("k", "piece"))
-    sample = rows.withColumn("r", rank).where(F.col("r") <= rows_per_lang).select("lang", "r", "piece").collect()
-    text: dict[str, list[str]] = {}
-    for row in sorted(sample):
-        text.setdefault(row.lang, []).append(row.piece.lower())
-    counts: dict[int, int] = {}
-    for pieces in text.values():
-        for c in map(ord, "".join(pieces)):
-            if chr(c).isalpha():
-                counts[c] = counts.get(c, 0) + 1
-    common = sorted(sorted(counts), key=lambda c: -counts[c])[:letters]
-    parser = Parser(sorted(text), {c: i + 1 for i, c in enumerate(common)}, len(common) + 2, [], np.empty(0))
-    codes, bits = parser.codes(), []
+def learned(sample: dict[str, list[str]]) -> Parser:
+    """A parser from texts by language."""
+    letters = sorted({ord(c) for texts in sample.values() for t in texts for c in set(t.lower()) if c.isalpha()})
+    parser = Parser(sorted(sample), {c: i + 1 for i, c in enumerate(letters)}, [])
+    codes = parser.codes()
     for lang in parser.langs:
-        s = normalised(" ".join(text[lang]), codes)
-        s = s[s != parser.width - 1]
-        parser.tables.append(_table(automaton(s.tolist()), parser.width))
-        bits.append(np.log2(len(s) + 2))
-    parser.bits = np.array(bits)
+        s = normalised(" ".join(sample[lang]), codes)
+        parser.tables.append(table_of(automaton(s.tolist()), parser.width, len(s)))
     return parser
 
 
-def phrases(parts: list[np.ndarray], table: np.ndarray, width: int) -> np.ndarray:
-    """Phrases that each symbol array needs, all segments in lock step: one gather a step for all of them."""
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_lang: int = 64, most_chars: int = 100_000,
+) -> Parser:
+    """Learn from a bounded sample of labelled rows, whole texts only.
+
+    Of each language the rows with the smallest id hash, rows_per_lang at most and as long as their
+    texts together have most_chars at most; the first row counts in any case. Rows longer than that
+    by themselves come last, by length. Rows without language or letter don't count.
+    """
+    lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
+    key = hash_key(F.col(id_col).cast("string"), "lang-id")
+    rows = docs.where(lang.isNotNull() & text.rlike(r"\p{L}")).select(lang.alias("lang"), key.alias("k"), text.alias("text"))
+    # The smallest keys of a language lie under a bound that its size gives, so few rows are ever ranked. One row a language.
+    sizes = rows.groupBy("lang").count().collect()
+    if not sizes:
+        return learned({})
+    bound = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(KEYS, 1 + 4 * rows_per_lang * KEYS // r["count"]))])
+    n = F.length("text")
+    order = Window.partitionBy("lang").orderBy(F.when(n > most_chars, n).otherwise(0), "k", "text")
+    near = rows.where(F.col("k") < F.element_at(bound, F.col("lang"))).withColumn("r", F.row_number().over(order))
+    near = near.where(F.col("r") <= rows_per_lang).withColumn("sum", F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    text_of: dict[str, list[str]] = {}
+    for row in sorted(near.where((F.col("sum") <= most_chars) | (F.col("r") == 1)).select("lang", "r", "text").collect()):
+        text_of.setdefault(row.lang, []).append(row.text)
+    return learned(text_of)
+
+
+def phrases(parts: list[np.ndarray], table: Table) -> np.ndarray:
+    """Phrases that each symbol array needs, all segments in lock step: a few gathers a step for all of them."""
     owner, lane, place = [], [], []
     for i, s in enumerate(parts):
         for at in range(0, len(s), SEGMENT):
@@ -162,16 +196,25 @@ def phrases(parts: list[np.ndarray], table: np.ndarray, width: int) -> np.ndarra
     for j, k in enumerate(order):
         grid[: size[j], j] = place[k]
     active = np.searchsorted(-size, -np.arange(size[0]), side="left")
-    state, misses = np.zeros(len(size), np.int32), np.ones(len(size), np.int32)
+    state, misses, mask = np.zeros(len(size), np.int32), np.ones(len(size), np.int64), np.int32(len(table.owner) - 1)
     for k, m in enumerate(active):
-        v = table[state[:m] + grid[k, :m]]
-        sign = v >> 31
-        misses[:m] -= sign
-        state[:m] = v ^ sign
+        now, c = state[:m], grid[k, :m]
+        slot = (table.base[now] + c) & mask
+        met = table.owner[slot] == now
+        misses[:m] += ~met
+        state[:m] = np.where(met, table.to[slot], table.anew[c])
     np.add.at(total, np.array(owner)[order], misses)
     return total
 
 
+def bits(parts: list[np.ndarray], table: Table) -> np.ndarray:
+    """What each symbol array costs by one language's text."""
+    n = np.array([len(s) for s in parts])
+    lacking = np.array([np.count_nonzero((table.anew[s] == 0) & (s > 0)) for s in parts])
+    c = np.maximum(phrases(parts, table) + lacking, 1)
+    return c * (np.log2(table.length + 2) + 2 * np.log2(np.maximum(n / c, 1)) + 1)
+
+
 def classify(texts: list[str | None], parser: Parser, codes: np.ndarray) -> list[tuple[str, float]]:
     out: list[tuple[str, float]] = []
     held: list[np.ndarray] = []
@@ -179,16 +222,15 @@ def classify(texts: list[str | None], parser: Parser, codes: np.ndarray) -> list
     def flush() -> None:
         if not held:
             return
-        counts = np.stack([phrases(held, t, parser.width) for t in parser.tables]) if parser.tables else np.empty((0, len(held)))
-        cost = counts * parser.bits[:, None] if len(counts) else counts
+        cost = np.stack([bits(held, t) for t in parser.tables]) if parser.tables else np.empty((0, len(held)))
         for i, s in enumerate(held):
-            if not len(counts) or not s.any():
+            if not len(cost) or not s.any():
                 out.append((UNKNOWN, 0.0))
                 continue
             by = np.argsort(cost[:, i], kind="stable")
             best = cost[by[0], i]
-            second = cost[by[1], i] if len(by) > 1 else np.inf
-            out.append((parser.langs[by[0]], float(1 - best / second)))
+            second = cost[by[1], i] if len(by) > 1 else len(s) * (np.log2(parser.width) + 1)
+            out.append((parser.langs[by[0]], float(max(0.0, 1 - best / second))))
         held.clear()
 
     size = 0

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -52,10 +53,10 @@ def cross_parse(text, train):
 def test_phrases_match_substring_search():
     rng = random.Random(1)
     train = [rng.randrange(4) for _ in range(300)]
-    table = lang_id._table(lang_id.automaton(train), 6)
-    parts = [np.array([rng.randrange(6) for _ in range(n)], np.uint8) for n in (1, 7, 200, lang_id.SEGMENT)]
+    table = lang_id.table_of(lang_id.automaton(train), 6, len(train))
+    parts = [np.array([rng.randrange(6) for _ in range(n)], np.int32) for n in (1, 7, 200, lang_id.SEGMENT)]
     joined = "".join(map(str, train))
-    got = lang_id.phrases(parts, table, 6)
+    got = lang_id.phrases(parts, table)
     for part, n in zip(parts, got, strict=True):
         # A mismatch starts the next phrase with the mismatching symbol; one that training lacks is a phrase by itself.
         state, want = "", 1
@@ -77,6 +78,50 @@ def test_language_of_held_out_documents(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
+def test_tables_hold_all_transitions():
+    rng = random.Random(2)
+    train = [rng.randrange(1, 3000) for _ in range(4000)]
+    steps = lang_id.automaton(train)
+    table = lang_id.table_of(steps, 3001, len(train))
+    size = len(table.owner)
+    for state, by in enumerate(steps):
+        for c in {*by, 1, 2999}:
+            slot = (table.base[state] + c) % size
+            assert (table.to[slot] == by[c]) if c in by else table.owner[slot] != state
+    assert sum(map(len, steps)) == (table.owner >= 0).sum()
+
+
+# First letter and size of the alphabets.
+SCRIPTS = {"ko": (0xAC00, 11172), "zh": (0x4E00, 20000), "am": (0x1200, 300), "ru": (0x430, 32), "en": (0x61, 26), "xx": (0x61, 26), "th": (0xE01, 46)}
+
+
+def test_languages_of_many_scripts(spark):
+    """Random words of each language's own lexicon; en and xx share their letters, ko and zh have thousands."""
+    rng, rows = random.Random(5), []
+    for lang, (at, n) in SCRIPTS.items():
+        few = 2 if n > 1000 else 6
+        words = ["".join(c for c in (chr(at + rng.randrange(n)) for _ in range(rng.randrange(1, few) + 1)) if c.isalpha()) or chr(at) for _ in range(600)]
+        gap = "" if lang == "zh" else " "
+        for k in range(80 if lang != "am" else 12):
+            text = gap.join(rng.choice(words[: 60 if k % 3 else 600]) for _ in range(rng.randrange(8, 90)))
+            rows.append((len(rows), text, lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [r for r in lang_id.op1(docs).join(docs.select("doc_id", "lang"), "doc_id").collect() if r.held_out]
+    for lang in SCRIPTS:
+        own = [r.lang_pred for r in got if r.lang == lang]
+        assert own and sum(p == lang for p in own) / len(own) > 0.98, (lang, own)
+
+
+def test_texts_and_samples_of_one_language(spark):
+    rows = [(k, "x" * 200_000 if k % 2 else "yy zz " * 40, "a") for k in range(8)]
+    parser = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert 950 < parser.tables[0].length < 970  # the four short rows, whole
+    only = lang_id.fit(spark.createDataFrame(rows[1:2], "doc_id long, text string, lang string"))
+    assert only.tables[0].length == 200_000
+    label, score = lang_id.classify(["yy zz yy zz"], parser, parser.codes())[0]
+    assert label == "a" and 0 < score < 1
+
+
 def test_language_of_odd_rows(odd, empty):
     rows = {(r.doc_id, r.lang_pred) for r in lang_id.op1(odd).collect()}
     assert {(3, "und"), (4, "und"), (7, "und"), (8, "fr")} <= rows
@@ -265,26 +310,46 @@ def test_quality_separates_labelled_documents(spark):
     good = [r.selected for r in rows if r.quality == 1]
     bad = [r.selected for r in rows if r.quality == 0]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.15
+    ties = docs.where("doc_id < 40").union(docs.where("doc_id < 40"))  # rows that repeat have equal keys and stay or go together
+    assert all(n == 2 for n in [r["count"] for r in quality.op5(ties, labels).groupBy("doc_id", "selected").count().collect()])
     assert quality.op5(docs, labels).count() == docs.count()
 
 
-def test_weights_match_plain_counting(docs, spark):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    got = {r.doc_id: r.log_weight for r in quality.op5(docs, labels).collect()}
-    rows, good = docs.collect(), {r.doc_id for r in labels.collect() if r.quality}
-    from collections import Counter
+def plain_grams(text):
+    """Buckets of the words and pairs of a text by a hashing of its own, byte by byte."""
+    mask, base = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1
 
-    def grams(text):
-        data = np.frombuffer((text or "").encode() + b"\n", np.uint8)
-        return Counter(quality.ngrams(data, np.array([0, len(data)]))[1].tolist())
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
 
-    by = {r.doc_id: grams(r.text) for r in rows}
-    raw, target = sum(by.values(), Counter()), sum((by[i] for i in by if i in good), Counter())
+    tokens = re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\x20\x09-\x0d]+", (text or "").encode())
+    h = [mix((sum((c + 1) * pow(base, i, 1 << 64) for i, c in enumerate(w)) + len(w)) & mask) for w in tokens]
+    return Counter(x % quality.BUCKETS for x in [*h, *(mix((a * 0x9E3779B97F4A7C15 + b) & mask) for a, b in zip(h, h[1:], strict=False))])
+
+
+def test_weights_and_selection_match_plain_counting(docs, spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r for r in quality.op5(docs, labels).collect()}
+    keys = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id, 11) h").collect()}
+    rows, good = docs.collect(), {r.doc_id: r.quality for r in labels.collect()}
+    by = {r.doc_id: plain_grams(r.text) for r in rows}
+    raw, target = sum(by.values(), Counter()), sum((by[i] for i in by if good.get(i)), Counter())
+    weight = {}
     for i, own in by.items():
-        mine = own if i in good else Counter()
-        n, total = sum(own.values()), target.total() - mine.total() + quality.BUCKETS
-        w = sum(c * (np.log((target[b] - mine[b] + 1) / total) - np.log((raw[b] + 1) / (raw.total() + quality.BUCKETS))) for b, c in own.items())
-        assert got[i] == pytest.approx(w * min(1, 100 / max(n, 1)), abs=1e-6)
+        mine = own if good.get(i) else Counter()
+        total = target.total() - mine.total()
+        weight[i] = sum(c * np.log((target[b] - mine[b] + 16) / (total * raw[b] / raw.total() + 16)) for b, c in own.items())
+        assert got[i].log_weight == pytest.approx(weight[i], abs=1e-6)
+    # k by the level that keeps the good and drops the bad; then the k largest keys with Gumbel noise.
+    at = quality.level(spark.createDataFrame([(float(weight[i]), bool(q)) for i, q in good.items() if i in weight and q is not None], "log_weight double, good boolean"))
+    k = sum(w >= at - 1e-9 for w in weight.values())
+    noisy = {i: w - np.log(-np.log((((keys[i] % (1 << 64)) >> 11) + 0.5) / (1 << 53))) for i, w in weight.items()}
+    assert {i for i, r in got.items() if r.selected} == set(sorted(noisy, key=noisy.get)[-k:])
+    plain = [(w, good[i]) for i, w in weight.items() if good.get(i) is not None]
+    score = lambda t: sum(w < t for w, q in plain if not q) / sum(not q for _, q in plain) - 20 * sum(w < t for w, q in plain if q) / sum(bool(q) for _, q in plain)
+    assert score(at) >= max(score(w) for w, _ in plain) - 0.05
 
 
 def test_top_k_is_exact(spark):

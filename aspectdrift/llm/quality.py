@@ -1,13 +1,13 @@
 """Quality selection by importance resampling.
 
 Two generative models over hashed word n-grams (one and two words) give every document a log importance
-weight: the sum over its n-grams of log p_target - log p_raw. The target model counts the labelled good
-documents, the raw model all documents. Selection is sampling without replacement in proportion to the
+weight: the sum over its n-grams of the log ratio of their chances in target and raw text. The target model counts
+labelled good documents, the raw model all documents; of a bucket that the target model has n times and the raw
+one would lead to expect e times, the ratio is (n + PRIOR) / (e + PRIOR), so buckets too rare to tell say little. Selection is sampling without replacement in proportion to the
 weights by Gumbel top-k: the k largest log weights, each with standard Gumbel noise drawn from a
-hash of the id. A log weight counts `temper` n-grams at most: longer documents have theirs scaled down to that
-many, so that length alone decides nothing. k is the number of documents whose weight reaches the level that best separates labelled
-good from labelled bad ones (balanced accuracy; all are kept where labels lack one kind), so the share
-kept follows the corpus rather than a constant.
+hash of the id. k, which Gumbel top-k needs, is the number of documents whose weight reaches the level that
+best separates labelled good from labelled bad ones (all are kept where labels lack one kind), so the
+share kept follows the corpus rather than a constant.
 
 The k-th largest key is found exactly by counting leading bits of the keys, 12 at a time, so no task or
 driver ever holds the keys.
@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 
 from aspectdrift.llm.common import hash_key, mix, smallest, staged, text_blocks, token_hashes
 
-BUCKETS = 10_000
+BUCKETS, PRIOR = 1 << 17, 16.0
 
 
 def ngrams(data: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, bucket) of every one- and two-word n-gram of a block; all pairs of one word twice share a bucket."""
+    """(document index, bucket) of every one- and two-word n-gram of a block."""
     at, h = token_hashes(data)
     doc = np.searchsorted(starts, at, side="right") - 1
     same = doc[1:] == doc[:-1]
-    pair = np.where(h[:-1] == h[1:], np.uint64(0), mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]))[same]
+    pair = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[same]
     return np.concatenate((doc, doc[:-1][same])), np.concatenate((h, pair)) % np.uint64(buckets)
 
 
@@ -48,7 +48,8 @@ def _tally(good: np.ndarray, buckets: int):
                 b = b.astype(np.int64)
                 total[0] += np.bincount(b, minlength=buckets)
                 total[1] += np.bincount(b[in_target[first + doc]], minlength=buckets)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(total[0]), pa.array(total[1])], names=["bucket", "raw", "target"])
+        seen = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0][seen]), pa.array(total[1][seen])], names=["bucket", "raw", "target"])
 
     return run
 
@@ -68,13 +69,13 @@ def models(rows: DataFrame, good: np.ndarray, buckets: int = BUCKETS) -> tuple[n
     return raw, target
 
 
-def _weigh(raw: np.ndarray, target: np.ndarray, good: np.ndarray, temper: int):
+def _weigh(raw: np.ndarray, target: np.ndarray, good: np.ndarray):
     """Columns id, text and a hash of the id -> id, log_weight, key_bits.
 
     A document of the target model is weighed by the model without it, so that it is no better off than others.
     """
     size = len(raw)
-    log_raw = np.log((raw + 1) / (raw.sum() + size))
+    share, total = raw / max(raw.sum(), 1), target.sum()
 
     def run(batches):
         for batch in batches:
@@ -85,8 +86,8 @@ def _weigh(raw: np.ndarray, target: np.ndarray, good: np.ndarray, temper: int):
                 cell, count = np.unique(doc * size + b.astype(np.int64), return_counts=True)
                 d, b = cell // size, cell % size
                 own = in_target[first:last][d]
-                log_target = np.log(target[b] - own * count + 1) - np.log(target.sum() - own * n[d] + size)
-                w[first:last] = np.bincount(d, count * (log_target - log_raw[b]), minlength=last - first) * np.minimum(1.0, temper / np.maximum(n, 1))
+                ratio = (target[b] - own * count + PRIOR) / ((total - own * n[d]) * share[b] + PRIOR)
+                w[first:last] = np.bincount(d, count * np.log(ratio), minlength=last - first)
             h = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             key = w - np.log(-np.log(((h >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)))
             bits = (key + 0.0).view(np.int64)
@@ -133,7 +134,7 @@ def kth_key(keys: DataFrame, k: int) -> int:
 
 def selected(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality",
-    seed: int = 11, temper: int = 100, buckets: int = BUCKETS, target_docs: int = 20_000,
+    seed: int = 11, buckets: int = BUCKETS, target_docs: int = 20_000,
 ) -> DataFrame:
     """One row a document: id, log_weight, key_bits (the Gumbel key as an ordered long), selected.
 
@@ -145,7 +146,7 @@ def selected(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     raw, target = models(rows, good, buckets)
     hashed = rows.select("id", "text", F.xxhash64("id", F.lit(seed)).alias("h"))
-    scored = staged(hashed.mapInArrow(_weigh(raw, target, good, temper), "id long, log_weight double, key_bits long"))
+    scored = staged(hashed.mapInArrow(_weigh(raw, target, good), "id long, log_weight double, key_bits long"))
     labelled = scored.join(known, scored["id"] == known["l_id"]).select("log_weight", "good")
     at = level(labelled)
     if at is None:

@@ -5,10 +5,11 @@ more with probability x - floor(x). Those fractions are rounded dependently: two
 mass moves from one to the other, in a direction drawn so that neither's expected copies change, until
 one of them has 0 or 1 extra copies; the other goes on to meet the next. Mass is counted in words, so a
 meeting keeps the source's words as they are, and only the one document left of a source changes
-them when it is rounded at last.
+them when it is rounded at last. Small documents are kept back to meet what the large ones leave all
+together, so the one left is small wherever a source has small ones enough.
 
-The meetings form a tree: blocks of about `block_rows` documents dealt by a hash of the id, largest
-documents first so that small ones tend to be left, then FAN residuals of blocks at a time. Block numbers
+The meetings form a tree: blocks of about `block_rows` documents dealt by a hash of the id,
+then FAN residuals of blocks at a time. Block numbers
 and draws depend on ids alone, so reruns agree under any partitioning; a hot source has more blocks.
 
 Defined results: null text has size 0; documents of size 0 take 0 words and, in mixed(), 0 copies;
@@ -18,6 +19,8 @@ but are rounded one by one; an empty table gives no rows; extra columns are igno
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,31 +70,75 @@ def _u(seed: int, a: int, b: int) -> float:
     return ((x ^ (x >> 31)) >> 11) / (1 << 53)
 
 
+def _open(f: float) -> bool:
+    return _EPS < f < 1 - _EPS
+
+
 def meet(rows: list[tuple[int, int, float]], seed: int) -> tuple[list[int], list[float]]:
-    """Round (key, size, fraction) one after another; returns each one's extra copies, and its fraction if it is the
-    one left (else -1). Rows that are integral already stay out."""
-    extra, left, held = [0] * len(rows), [-1.0] * len(rows), None
-    for i, (key, size, f) in enumerate(rows):
-        if f <= _EPS or f >= 1 - _EPS:
-            extra[i] = round(f)
-            continue
-        if held is None:
-            held, p = i, f
-            continue
-        hk, hs, _ = rows[held]
-        up = min((1 - p) * hs, f * size)  # words that the one held can gain from this one
-        down = min(p * hs, (1 - f) * size)
-        d = up if _u(seed, hk, key) * (up + down) < down else -down
-        p, f = p + d / hs, f - d / size
-        if f <= _EPS or f >= 1 - _EPS:
-            extra[i] = round(f)
-            if p <= _EPS or p >= 1 - _EPS:
-                extra[held], held = round(p), None
-        else:
-            extra[held], held, p = round(p), i, f
+    """Round (key, size, fraction), largest sizes first; returns each one's extra copies, and its fraction if it is the
+    one left (else -1). Rows that are integral already stay out.
+
+    Enough of the smallest are kept back to take up whatever the others leave: the others meet one after
+    another, and the one left of them meets those kept back at once, each taking or giving its share, so
+    that it settles and only small ones stay open. These go on alike. What is larger than all below it
+    could take up meets last.
+    """
+    size, f = [r[1] for r in rows], [r[2] for r in rows]
+
+    def chain(some: list[int]) -> int | None:
+        """Two meet, words move until one is settled, the other goes on to meet the next."""
+        held = None
+        for i in some:
+            if held is None:
+                held = i if _open(f[i]) else None
+                continue
+            up = min((1 - f[held]) * size[held], f[i] * size[i])  # words that the one held can gain from this one
+            down = min(f[held] * size[held], (1 - f[i]) * size[i])
+            d = up if _u(seed, rows[held][0], rows[i][0]) * (up + down) < down else -down
+            f[held], f[i] = f[held] + d / size[held], f[i] - d / size[i]
+            held = i if _open(f[i]) else held if _open(f[held]) else None
+        return held
+
+    def settle(held: int, back: list[int]) -> bool:
+        """The one held goes to 0 or 1; each partner's share of the words fits both ways, so its expected copies stay."""
+        up, down, rest, shares = (1 - f[held]) * size[held], f[held] * size[held], 1.0, []
+        for j in back:
+            share = min(f[j] * size[j] / up, (1 - f[j]) * size[j] / down, rest)
+            shares.append((j, share))
+            rest -= share
+            if rest <= 1e-12:
+                break
+        if rest > 1e-9:
+            return False
+        rises = _u(seed, rows[held][0], rows[back[0]][0]) < f[held]
+        for j, share in shares:
+            f[j] += (-up if rises else down) * share / size[j]
+        f[held] = float(rises)
+        return True
+
+    live, last = [i for i in range(len(rows)) if _open(f[i])], []
+    while len(live) > 1:
+        room = [0.0]  # words that the k smallest could take or give in any case
+        for i in reversed(live):
+            room.append(room[-1] + min(f[i], 1 - f[i]) * size[i])
+        first = 0
+        while first < len(live) and room[len(live) - first - 1] < size[live[first]]:
+            first += 1
+        last += live[:first]
+        live = live[first:]
+        if not live:
+            break
+        kept = bisect_left(room, size[live[0]], hi=len(live))
+        front, back = live[:-kept], live[-kept:]
+        held = chain(front)
+        if held is not None and not settle(held, back):
+            last.append(held)
+        live = [i for i in back if _open(f[i])]
+    held = chain(last + live)
+    left = [-1.0] * len(rows)
     if held is not None:
-        left[held] = p
-    return extra, left
+        left[held] = f[held]
+    return [0 if i == held else round(x) for i, x in enumerate(f)], left
 
 
 def _round(seed: int, final: bool):

@@ -1,4 +1,4 @@
-"""Plumbing shared by the training-data operators: scratch tables, components, byte-level tokens, cells."""
+"""Plumbing shared by the training-data operators: scratch tables, components, byte-level tokens, cells of sorted rows."""
 
 from __future__ import annotations
 
@@ -14,8 +14,16 @@ BLOCK_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir (a folder of our own where it is unset), gone when the JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/aspectdrift"
+    """A new folder under spark.checkpoint.dir, gone when the JVM ends.
+
+    Where that is unset, a folder of this machine serves a local master; on a cluster, whose executors
+    wouldn't share it, it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file:///tmp/checkpoints/aspectdrift"
     path = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -181,78 +189,59 @@ def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- cells of a multi-index
 
 
-def cell_edges(keys: int, words: int, near, most: int, crowded: str, small: int = 12):
-    """For mapInArrow over rows (keys..., id, words...), all longs, sorted by the keys: edges (a, b) inside cells.
+def cells_of(batches, keys: int, most: int, small: int = 12):
+    """Cells of a stream of record batches sorted by their first `keys` columns, as (columns, members).
 
-    near(x, y) compares arrays (..., words) of unsigned words and gives booleans. Small cells of one size
-    are compared together and give their linked pairs, at most small / 2 a member; larger ones give a
-    spanning forest. A cell of over `most` members gives, a row each as they stream by, (id, null) if
-    crowded is "list" or an edge to its first member if it is "chain".
+    columns are numpy arrays; members, an index array (cells, m), holds cells of one size m, small ones many
+    at a time. A cell of over `most` rows comes in parts as it streams by, each as (columns, None).
+    """
+    held: list[list[np.ndarray]] = []
+    current, count = None, 0
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*held, strict=True)]
+
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        n = batch.num_rows
+        if not n:
+            continue
+        change = np.zeros(n - 1, bool)
+        for k in cols[:keys]:
+            change |= k[1:] != k[:-1]
+        cut = np.flatnonzero(change) + 1
+        lo, hi = np.concatenate(([0], cut)), np.concatenate((cut, [n]))
+        size = hi - lo
+        inner = np.ones(len(lo), bool)
+        inner[[0, -1]] = False  # may go on in other batches
+        for m in np.unique(size[inner & (size > 1) & (size <= small)]):
+            at = lo[inner & (size == m)][:, None] + np.arange(m)
+            for part in np.array_split(at, max(1, at.size * m >> 18)):
+                yield cols, part
+        for j in np.flatnonzero(~inner | (size > small)):
+            key = tuple(k[lo[j]] for k in cols[:keys])
+            if key != current:
+                if 1 < count <= most:
+                    yield joined(), np.arange(count)[None]
+                held, current, count = [], key, 0
+            held.append([c[lo[j] : hi[j]] for c in cols])
+            count += int(size[j])
+            if count > most:
+                yield joined(), None
+                held = []
+    if 1 < count <= most:
+        yield joined(), np.arange(count)[None]
+
+
+def forest(n: int, near) -> tuple[np.ndarray, np.ndarray]:
+    """Members of a cell and a member that each is linked with, so that they connect what links connect.
+
+    near(a, b) gives the links of members a to b with all members as booleans.
     """
-    def forest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        labels, block = Labels(len(x)), max(16, (1 << 20) // len(x))
-        for at in range(0, len(x), block):
-            hit = near(x[at : at + block, None], x[None])
-            hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
-            labels.join_rows(at, hit)
-        own = np.flatnonzero(labels.label != np.arange(len(x)))
-        return own, labels.label[own]
-
-    def run(batches):
-        current, ids, xs, count, first = None, [], [], 0, None
-        out: list[tuple[np.ndarray, np.ndarray | None]] = []
-
-        def close() -> None:
-            nonlocal ids, xs, count
-            if 1 < count <= most:
-                i = np.concatenate(ids)
-                a, b = forest(np.concatenate(xs))
-                out.append((i[a], i[b]))
-            ids, xs, count = [], [], 0
-
-        def crowd() -> None:
-            nonlocal ids, xs
-            i = np.concatenate(ids)
-            out.append((i, None) if crowded == "list" else (i[i != first], np.full((i != first).sum(), first)))
-            ids, xs = [], []
-
-        def flush():
-            for a, b in out:
-                right = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), right], names=["a", "b"])
-            out.clear()
-
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys + 1 + words)]
-            n = batch.num_rows
-            if not n:
-                continue
-            i, x = cols[keys], np.stack(cols[keys + 1 :], axis=1).view(np.uint64)
-            change = np.zeros(n - 1, bool)
-            for k in cols[:keys]:
-                change |= k[1:] != k[:-1]
-            cut = np.flatnonzero(change) + 1
-            lo, hi = np.concatenate(([0], cut)), np.concatenate((cut, [n]))
-            size = hi - lo
-            inner = np.ones(len(lo), bool)
-            inner[[0, -1]] = False  # may go on in other batches
-            for m in np.unique(size[inner & (size > 1) & (size <= small)]):
-                at = lo[inner & (size == m)][:, None] + np.arange(m)
-                for part in np.array_split(at, max(1, at.size * m >> 20)):
-                    g, a, b = np.nonzero(near(x[part][:, :, None], x[part][:, None]) & np.tri(m, k=-1, dtype=bool))
-                    out.append((i[part[g, a]], i[part[g, b]]))
-            for j in np.flatnonzero(~inner | (size > small)):
-                key = tuple(k[lo[j]] for k in cols[:keys])
-                if key != current:
-                    close()
-                    current, first = key, i[lo[j]]
-                ids.append(i[lo[j] : hi[j]])
-                xs.append(x[lo[j] : hi[j]])
-                count += size[j]
-                if count > most:
-                    crowd()
-            yield from flush()
-        close()
-        yield from flush()
-
-    return run
+    labels, block = Labels(n), max(16, (1 << 20) // n)
+    for at in range(0, n, block):
+        hit = near(at, min(at + block, n))
+        hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
+        labels.join_rows(at, hit)
+    own = np.flatnonzero(labels.label != np.arange(n))
+    return own, labels.label[own]

@@ -7,8 +7,10 @@ equal, so a grid over each choice of three groups (20 of them) has a cell that h
 fingerprint is dealt to its 20 cells; inside a cell, pairs pass the Manhattan bound over all coordinates
 and then the exact test. A cell emits a spanning forest of its links, never its pairs.
 
-Cells of more than `most` fingerprints take a linear way: two fingerprints within 3 bits share a value
-that is at most 2 flips from one and at most 1 from the other, so these are joined on such values.
+A cell of more than `most` fingerprints is split by the grid's other coordinates: cut into four parts, at
+least one of them is equal too, so its members are dealt to a finer cell for each part. Cells that are
+crowded even then, fingerprints alike in most of the 32 counts, take a linear way: two fingerprints within 3 bits
+share a value that is at most 2 flips from one and at most 1 from the other, so these are joined on such values.
 
 Defined results: texts without words, nulls among them, have fingerprint zero and link like any others;
 equal fingerprints are one node, so copies are never compared; a group whose ids are all null has a null
@@ -21,10 +23,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aspectdrift.llm.common import cell_edges, components, staged
+from aspectdrift.llm.common import cells_of, components, forest, staged
 
 SHINGLE = 3
 REACH = 3
@@ -83,15 +85,34 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _mask(segments) -> Column:
+    return F.lit(_signed(sum(3 << (2 * s) for s in segments))).cast("long")
+
+
+def _packed() -> Column:
+    """The embedding of column fp, as embedded() gives it."""
+    low, high = F.col("fp").bitwiseAND(F.lit(_PAIR)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(_PAIR))
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+
+
+CHOICES = [[s for g in chosen for s in GROUPS[g]] for chosen in combinations(range(len(GROUPS)), len(GROUPS) - REACH)]
+
+
 def cells(fps: DataFrame) -> DataFrame:
     """Rows (cell, key, fp): 20 cells of every fingerprint, all with column arithmetic."""
-    low, high = F.col("fp").bitwiseAND(F.lit(_PAIR)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(_PAIR))
-    packed = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
-    masks = []
-    for k, chosen in enumerate(combinations(range(len(GROUPS)), len(GROUPS) - REACH)):
-        mask = sum(3 << (2 * s) for g in chosen for s in GROUPS[g])
-        masks.append(F.struct(F.lit(k).cast("long").alias("cell"), F.col("e").bitwiseAND(F.lit(_signed(mask)).cast("long")).alias("key")))
-    return fps.select("fp", packed.alias("e")).select("fp", F.inline(F.array(*masks))).select("cell", "key", "fp")
+    at = [F.struct(F.lit(k).cast("long").alias("cell"), F.col("e").bitwiseAND(_mask(own)).alias("key")) for k, own in enumerate(CHOICES)]
+    return fps.select("fp", _packed().alias("e")).select("fp", F.inline(F.array(*at))).select("cell", "key", "fp")
+
+
+def finer_cells(crowded: DataFrame) -> DataFrame:
+    """crowded(cell, fp) -> rows (cell, key, fp): four finer cells, each with one more part of the coordinates."""
+    by = F.lit(None)
+    for k, own in enumerate(CHOICES):
+        rest = [s for s in range(32) if s not in own]
+        parts = [rest[len(rest) * j // (REACH + 1) : len(rest) * (j + 1) // (REACH + 1)] for j in range(REACH + 1)]
+        finer = [F.struct(F.lit((REACH + 1) * k + j).cast("long").alias("cell"), F.col("e").bitwiseAND(_mask(own + part)).alias("key")) for j, part in enumerate(parts)]
+        by = F.when(F.col("cell") == k, F.array(*finer)).otherwise(by)
+    return crowded.select("cell", "fp", _packed().alias("e")).select("fp", by.alias("at")).select("fp", F.inline("at")).select("cell", "key", "fp")
 
 
 def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -118,13 +139,39 @@ def near_by_flips(fps: DataFrame) -> DataFrame:
     return at.join(hubs, "value").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
+def _edges(most: int):
+    """For mapInArrow over sorted rows (cell, key, fp): (a, b, cell). Members of crowded cells come with a null b."""
+
+    def run(batches):
+        for (cell, _, fp), at in cells_of(batches, 2, most):
+            x = fp.view(np.uint64)[:, None]
+            if at is None:
+                a, b, c = fp, pa.nulls(len(fp), pa.int64()), cell
+            elif len(at) > 1 or at.shape[1] <= 12:
+                g, i, j = np.nonzero(near(x[at][:, :, None], x[at][:, None]) & np.tri(at.shape[1], k=-1, dtype=bool))
+                a, b, c = fp[at[g, i]], pa.array(fp[at[g, j]]), cell[at[g, i]]
+            else:
+                i, j = forest(len(x), lambda lo, hi, x=x: near(x[lo:hi, None], x[None]))
+                a, b, c = fp[i], pa.array(fp[j]), cell[i]
+            yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(c)], names=["a", "b", "cell"])
+
+    return run
+
+
 def links(fps: DataFrame, most: int = 32768, partitions: int | None = None) -> DataFrame:
     """fps(fp), distinct -> edges (a, b) that connect exactly what links of 3 or fewer bits connect."""
     n = partitions or int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells(fps).select("cell", "key", "fp", F.col("fp").alias("word")).repartition(n, "cell", "key").sortWithinPartitions("cell", "key")
-    found = staged(dealt.mapInArrow(cell_edges(2, 1, near, most, "list"), "a long, b long"))
-    hot = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
-    edges = found.where("b IS NOT NULL")
+
+    def found(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.repartition(n, "cell", "key").sortWithinPartitions("cell", "key")
+        return staged(dealt.mapInArrow(_edges(most), "a long, b long, cell long"))
+
+    met = found(cells(fps))
+    edges, hot = met.where("b IS NOT NULL").select("a", "b"), met.where("b IS NULL").select("cell", F.col("a").alias("fp")).distinct()
+    if hot.isEmpty():
+        return edges
+    met = found(finer_cells(hot))
+    edges, hot = edges.unionByName(met.where("b IS NOT NULL").select("a", "b")), met.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
     return edges if hot.isEmpty() else edges.unionByName(near_by_flips(hot))
 
 

@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from aspectdrift.llm import common, embed_dedup, secrets, simhash, warc
 
@@ -83,9 +84,11 @@ def near_prints(n, seed):
     return sorted({b ^ sum(1 << int(k) for k in set(rng.integers(0, 64, rng.integers(0, 6)))) for b in base for _ in range(8)} | {0, 2**64 - 1, 2**63})
 
 
-@pytest.mark.parametrize("most", [32768, 4])
+@pytest.mark.parametrize("most", [32768, 24, 4])
 def test_links_are_exactly_those_within_three_bits(spark, most):
-    fps = near_prints(400 if most > 4 else 64, most)
+    fps = near_prints(400 if most > 24 else 64, most)
+    if most == 24:  # crowded cells that the finer grid splits
+        fps = sorted({*fps, *(0x5555 << 40 ^ k * 0x10001 for k in range(60))})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     table = spark.createDataFrame([(f,) for f in signed], "fp long")
     edges = simhash.links(table, most=most).collect()
@@ -164,11 +167,58 @@ def test_embedding_groups_of_several_blocks(spark):
     rows = [(k, (np.eye(16)[k % 3] + rng.standard_normal(16) * 0.02).tolist()) for k in range(300)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     ids, near = brute_vectors(rows)
-    for most in (32768, 8):
-        got = {r.vec_id: r for r in embed_dedup.near_vectors(table, block=16, most=most).collect()}
+    for most, block in ((4096, 16), (8, 16), (4096, 2048), (8, 500)):
+        got = {r.vec_id: r for r in embed_dedup.near_vectors(table, block=block, most=most).collect()}
         assert all(got[i].n_links == near[k].sum() - 1 and got[i].component_id == i % 3 for k, i in enumerate(ids))
 
 
+def test_hot_balls_and_what_lies_around(spark):
+    """Two tight groups near each other, loose vectors at all angles around them, and a second length."""
+    rng = np.random.default_rng(11)
+    a, b = np.eye(24)[0], np.eye(24)[0] * 0.93 + np.eye(24)[1] * 0.3676
+    tight = [(a if k % 2 else b) + rng.standard_normal(24) * 0.012 for k in range(260)]
+    loose = [a * np.cos(w) + np.sin(w) * (v := rng.standard_normal(24)) / np.linalg.norm(v) for w in np.linspace(0.05, 1.0, 120)]
+    rows = [(k, x.tolist()) for k, x in enumerate([*tight, *loose])] + [(1000 + k, (np.ones(7) + rng.standard_normal(7) * 0.1).tolist()) for k in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("node", F.lit(1)).withColumn("ball", F.lit("x"))
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(table, block=40).collect()}
+    for part in (rows[:380], rows[380:]):
+        ids, near = brute_vectors(part)
+        union = Union(ids)
+        for i, j in zip(*np.nonzero(near), strict=True):
+            union.join(ids[i], ids[j])
+        want, found = near.sum() - len(ids), sum(got[i].n_links for i in ids)
+        assert 0.97 * want <= found <= want and all(got[i].n_links <= near[k].sum() - 1 for k, i in enumerate(ids))
+        if len(part) > 100:  # links of the tight groups are exact
+            assert all(got[i].n_links == near[k].sum() - 1 for k, i in enumerate(ids) if i < 260)
+        assert sum(got[i].component_id == union.find(i) for i in ids) >= 0.97 * len(ids)
+
+
+def test_cells_count_each_pair_once():
+    """Of all cells where two codes meet, exactly one counts."""
+    rng = np.random.default_rng(12)
+    index = embed_dedup.Index(8, 8, 5)
+    x = rng.integers(0, 2**63, (400, 1)).astype(np.uint64)
+    flips = np.array([sum(1 << int(k) for k in rng.integers(0, 40, rng.integers(0, 9))) for _ in range(400)], np.uint64)[:, None]
+    y = x ^ flips
+    for a, b in zip(x, y, strict=True):
+        cells = lambda c: {(t, int(index.part(c, t)) ^ f) for t in range(5) for f in (0, *(1 << k for k in range(8)))}
+        shared = cells(a) & cells(b)
+        counts = [bool(index.counts_here(a[None], b[None], np.int64(t), np.uint64(key))[0]) for t, key in shared]
+        assert sum(counts) == bool(shared)
+
+
+def test_centred_codes_lose_links_of_vectors_to_one_side():
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((2000, 32)) * 0.25 / np.sqrt(32) + np.eye(32)[0]
+    y = x + rng.standard_normal(x.shape) * 0.4 / np.sqrt(32)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked_ = (unit(x) * unit(y)).sum(axis=1) >= 0.9
+    differ = lambda model, u, v: np.bitwise_count(model.codes(u) ^ model.codes(v)).sum(axis=1)[linked_].mean() / model.axes.shape[1]
+    mean = unit(x).mean(axis=0)
+    plain, centred = embed_dedup.fit(x), embed_dedup.fit(unit(x) - mean)
+    assert linked_.sum() > 500 and differ(plain, x, y) < 0.15 < 0.3 < differ(centred, unit(x) - mean, unit(y) - mean)
+
+
 # ---------------------------------------------------------------- secrets
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from aspectdrift.llm import exact_dedup, lang_id, license_scan, mixing, packing, quality
 
@@ -421,3 +422,96 @@ def test_licences_in_long_lines_and_unknown(spark, odd):
     got = {r.doc_id: r for r in license_scan.op6(docs).collect()}
     assert "MIT" in got[1].licences.split(",") and got[2].licences == "unknown" and got[3].n_notices == got[4].n_notices == got[5].n_notices == 0
     assert license_scan.op6(odd).count() == odd.count()
+
+
+@pytest.fixture(scope="module")
+def scanner(spark):
+    return license_scan.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+# Usual paragraphs, not all of them templates word by word.
+PARAGRAPHS = [
+    ("MIT", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.'),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce the Work."),
+    ("BSD", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation."),
+    ("GPL", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"), ("GPL", "SPDX-License-Identifier: GPL-2.0-only"), ("BSD", "SPDX-License-Identifier: BSD-2-Clause"), ("ISC", "SPDX-License-Identifier: ISC"),
+    ("CC0", "SPDX-License-Identifier: CC0-1.0"), ("MIT", "MIT License"),
+    ("", "He gave back the software manuals that he had borrowed from the library last summer."), ("", "The guard released the old version of the gate."),
+]
+
+
+def test_licence_paragraphs(spark, scanner):
+    rows = [(k, t) for k, (_, t) in enumerate(PARAGRAPHS)]
+    mit = " ".join(license_scan.TEMPLATES["MIT"][3:7])
+    wrapped = "\n".join(mit[i : i + 70] for i in range(0, len(mit), 70))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([*rows, (99, wrapped)], "doc_id long, text string"), scanner).withColumnRenamed("id", "doc_id").collect()}
+    said = [(name, got[k].licences) for k, (name, _) in enumerate(PARAGRAPHS)]
+    assert sum(a == b for a, b in said) >= len(said) - 1, said
+    assert [b for a, b in said if not a] == ["", ""] and "MIT" in got[99].licences.split(",")
+
+
+def test_unknown_is_calibrated_on_unseen_families(spark):
+    """Families that the scanner isn't told of are licence text of no known family."""
+    left = ("MPL-2.0", "CC0", "Unlicense", "Apache-2.0")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scanner = license_scan.fit(docs, templates={k: v for k, v in license_scan.TEMPLATES.items() if k not in left})
+    texts = [t for k in left for t in license_scan.TEMPLATES[k] if len(t.split()) > 8]
+    named = [scanner.name(t) for t in texts]
+    assert np.mean([n != "unknown" for n in named]) <= 0.1, named
+    known = [(k, t) for k in scanner.names for t in license_scan.TEMPLATES[k] if len(t.split()) > 8]
+    assert np.mean([scanner.name(t) == k for k, t in known]) > 0.95
+
+
+def plain_scan(text, scanner):
+    """Windows, scores and comparison one by one."""
+    found = []
+    at = 0
+    for line in text.split("\n"):
+        tokens = [m.span() for m in re.finditer(r"[0-9A-Za-z_\x80-\U0010ffff]+|[^0-9A-Za-z_\x80-\U0010ffff\x20\x09-\x0d]+", line)]
+        n = len(tokens)
+        firsts = [0] if n <= 48 else [min(k * 24, n - 48) for k in range(-(-(n - 48) // 24) + 1)]
+        for first in firsts if n else []:
+            last = min(first + 48, n)
+            a, b = tokens[first][0], tokens[last][0] if last < n else len(line)
+            f = license_scan.features(line[a:b])
+            z = scanner.gate[f].astype(float).sum() / np.sqrt(2 * (last - first) - 1) + scanner.gate_bias
+            if z < np.log(0.75 / 0.25):
+                continue
+            words = re.findall(r"[a-z0-9]+(?:[-.][a-z0-9]+)*", line[a:b].lower())
+            if len(words) < 2:
+                continue
+            zs = scanner.family[f].sum(axis=0) / np.sqrt(len(f)) + scanner.family_bias
+            k = int(zs.argmax())
+            rest = np.delete(zs, k)
+            margin = min(20.0, max(-20.0, zs[k] - np.log(np.exp(rest).sum())))
+            share = 0.0
+            for t in license_scan.TEMPLATES[scanner.names[k]]:
+                other = re.findall(r"[a-z0-9]+(?:[-.][a-z0-9]+)*", t.lower())
+                size = min(3, len(words), len(other))
+                x, y = ({" ".join(w[i : i + size]) for i in range(len(w) - size + 1)} for w in (words, other))
+                share = max(share, len(x & y) / min(len(x), len(y)))
+            chance = 1 / (1 + np.exp(-(scanner.right @ [1.0, margin, share])))
+            name = scanner.names[k] if chance >= 0.5 and share >= 0.5 else "unknown"
+            if found and found[-1][0] == name and (at + a <= found[-1][2] or not text[found[-1][2] : at + a].strip()):
+                found[-1][2] = max(found[-1][2], at + b)
+            else:
+                found.append([name, at + a, at + b])
+        at += len(line) + 1
+    return ",".join(f"{n}:{a}:{b}" for n, a, b in found)
+
+
+def test_scan_matches_one_window_at_a_time(spark, scanner):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    many = "\n".join(f"é{k} " + t for k in range(20) for _, t in PARAGRAPHS) + "\n" + "mot là " * 300 + PARAGRAPHS[0][1]
+    rows = docs.union(spark.createDataFrame([(-1, many), (-2, None), (-3, " \n")], "doc_id long, text string")).withColumn("lines", F.lit(1)).withColumn("id", F.lit("x"))
+    got = {r.id: r.spans for r in license_scan.scan(rows, scanner).collect()}
+    for r in rows.collect():
+        assert got[r.doc_id] == plain_scan(r.text or "", scanner), r.doc_id
+
+
+def test_many_notices_in_one_document(spark, scanner):
+    text = "\n".join(("Released under the MIT License." if k % 2 else "é plain words of a line") for k in range(40_000))
+    row = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), scanner).first()
+    assert row.n_notices == 20_000 and row.licences == "MIT"

@@ -6,9 +6,9 @@ then differ in proportion to the angle that the cosine means, also where all vec
 centred codes lose most links (the tests measure it). Every vector gets a code of the signs under all rotations.
 
 Retrieval: disjoint substrings of the codes are indexed; every code is entered under its own substring and
-under those one flip away, so codes that differ in up to two bits of any substring meet. A substring has
-about log2 of the number of vectors as bits, so cells keep their size as the table grows, and there are as many
-tables as find a pair at the threshold with probability RECALL. Of all cells where two codes meet, one
+under those one flip away, so codes that differ in up to two bits of any substring meet. The width of a
+substring follows the number of vectors and how often sampled ones meet, so cells keep their size as the
+table grows, and there are as many tables as find a pair at the threshold with probability RECALL. Of all cells where two codes meet, one
 that both can tell counts, so no pair is ever listed or counted twice. A cell gives its members that met
 another one within `reach` of the whole code; a crowded cell gives all of them.
 
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from aspectdrift.llm.common import Labels, cells_of, components, hash_key, smallest, staged
 
 SAMPLE_ROWS, LEADERS = 8192, 1024
-#: How often the tables are to find a pair at the threshold.
-RECALL = 0.99
+#: How often the tables are to find a pair at the threshold; what comparing a pair costs beside entering a code.
+RECALL, MEETING = 0.99, 0.05
 LINKS = "node long, other long, weight long"
 
 
@@ -121,12 +121,30 @@ class Index:
         return out
 
 
-def index_for(rows: int, threshold: float) -> Index:
-    """Bits from the number of vectors, tables from the chance that a bit of a pair at the threshold differs."""
-    bits = min(32, max(8, math.ceil(math.log2(rows + 1))))
+def tables_for(bits: int, threshold: float) -> int:
+    """As many as find a pair at the threshold, two bits of a substring being free, with probability RECALL."""
     p = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
     found = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
-    return Index(bits, 64 // bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(max(1 - found, 1e-9)))))
+    return max(1, math.ceil(math.log(1 - RECALL) / math.log(max(1 - found, 1e-9))))
+
+
+def index_for(rows: int, threshold: float, codes: np.ndarray) -> Index:
+    """The width that makes entering codes and comparing those that meet cheapest for so many vectors.
+
+    How often two vectors meet is measured on the codes of a sample, so clustered vectors get wider keys; as rows
+    grow the width grows about like their log2, and cells keep their size. Comparing costs MEETING of an entry.
+    """
+    one, two = codes[: len(codes) // 2, 0], codes[len(codes) // 2 : len(codes) // 2 * 2, 0]
+    diff = one[:512, None] ^ two[None, :2048]
+    best = None
+    for bits in range(8, 33):
+        tables = tables_for(bits, threshold)
+        near = np.bitwise_count(diff & np.uint64((1 << bits) - 1)) <= 2
+        met = max(near.mean(), 0.5 / max(diff.size, 1)) if near.size else 0.0
+        cost = tables * (bits + 1 + MEETING * rows * met)
+        if best is None or cost < best[0]:
+            best = cost, Index(bits, 64 // bits, tables)
+    return best[1]
 
 
 def _unit(column: pa.Array | np.ndarray) -> np.ndarray:
@@ -212,20 +230,20 @@ def _meet(index: Index, limit: int, most: int):
     """Rows (t, key, node, words...) sorted by t and key: those that met another within limit, all of crowded cells."""
 
     def run(batches):
-        for (t, key, node, *words), at in cells_of(batches, 2, most):
-            code = np.stack(words, axis=1).view(np.uint64)
+        for (t, key, node, *words), at in cells_of(batches, 2, most, 64):
             if at is None:
                 hit = np.arange(len(node))
             else:
-                met = []
-                step = max(1, (1 << 18) // at.shape[1])
-                for lo in range(0, at.shape[1], step):
-                    x, y = code[at[:, lo : lo + step]][:, :, None], code[at][:, None]
-                    near = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= limit
-                    near[:, np.arange(near.shape[1]), lo + np.arange(near.shape[1])] = False
-                    near &= index.counts_here(x, y, t[at][:, :1, None], key.view(np.uint64)[at][:, :1, None])
-                    met.append(near.any(axis=2))
-                hit = at[np.concatenate(met, axis=1)]
+                code, m = np.stack(words, axis=1).view(np.uint64), at.shape[1]
+                met, step = np.zeros(at.shape, bool), max(1, (1 << 18) // at.size)
+                for lo in range(0, m - 1, step):
+                    own = at[:, lo : lo + step]
+                    n = sum(np.bitwise_count(w[own][:, :, None] ^ w[at][:, None, lo + 1 :]).astype(np.uint16) for w in code.T)
+                    g, i, j = np.nonzero((n <= limit) & np.tri(m - lo - 1, own.shape[1], 0, dtype=bool).T)
+                    i, j = i + lo, j + lo + 1
+                    counts = index.counts_here(code[at[g, i]], code[at[g, j]], t[at[g, i]], key.view(np.uint64)[at[g, i]])
+                    met[g[counts], i[counts]] = met[g[counts], j[counts]] = True
+                hit = at[met]
             yield pa.RecordBatch.from_arrays([pa.array(t[hit]), pa.array(key[hit]), pa.array(node[hit])], names=["t", "key", "node"])
 
     return run
@@ -235,20 +253,16 @@ def _rerank(index: Index, threshold: float):
     """Rows (t, key, i, j, side, node, n, x, words...) sorted by the first four: links that count in their cell."""
 
     def run(batches):
-        for (t, key, i, j, side, node, n, x, *words), at in cells_of(batches, 4, 1 << 62, 6):
+        for (t, key, i, j, side, node, n, x, *words), at in cells_of(batches, 4, 1 << 62, 8):
             code = np.stack(words, axis=1).view(np.uint64)
-            if len(at) > 1:  # small cells of one size
+            if len(at) > 1:  # small cells of one size, in one block each
                 v = _unit(x[at.ravel()]).reshape(*at.shape, -1)
-                hit = np.einsum("gid,gjd->gij", v, v) >= threshold
-                hit &= index.counts_here(code[at][:, :, None], code[at][:, None], t[at][:, :1, None], key.view(np.uint64)[at][:, :1, None])
-                hit &= ~np.eye(at.shape[1], dtype=bool)
-                weight = np.einsum("gij,gj->gi", hit.astype(np.int64), n[at])
-                g, a, b = np.nonzero(hit)
-                link = a > b  # every pair of a cell of so few members
-                g2, own = np.nonzero(weight)
-                none = pa.nulls(len(own), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(node[at[g2, own]]), none, pa.array(weight[g2, own])], names=["node", "other", "weight"])
-                yield pa.RecordBatch.from_arrays([pa.array(node[at[g[link], a[link]]]), pa.array(node[at[g[link], b[link]]]), pa.array(np.zeros(link.sum(), np.int64))], names=["node", "other", "weight"])
+                g, a, b = np.nonzero((v @ v.transpose(0, 2, 1) >= threshold) & np.tri(at.shape[1], k=-1, dtype=bool))
+                counts = index.counts_here(code[at[g, a]], code[at[g, b]], t[at[g, a]], key.view(np.uint64)[at[g, a]])
+                a, b = at[g[counts], a[counts]], at[g[counts], b[counts]]
+                # Both rows of a link carry the other's weight, one of them the link itself.
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate((node[a], node[b]))), pa.array(np.concatenate((node[b], node[b])), mask=np.arange(2 * len(a)) >= len(a)), pa.array(np.concatenate((n[b], n[a])))], names=["node", "other", "weight"])
                 continue
             own = at[0]
             v, c, s, cell = _unit(x[own]), code[own], side[own], (t[own[0]], key.view(np.uint64)[own[0]])
@@ -300,7 +314,7 @@ def _links(d: DataFrame, rows: int, threshold: float, reach: float, block: int,
     """d(node, n, x), vectors of one length -> rows (node, other, weight)."""
     partitions = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sample = np.array([r.x for r in smallest(d.select("x"), hash_key("x", 0), SAMPLE_ROWS).collect()], float)
-    index = index_for(rows, threshold)
+    index = index_for(rows, threshold, fit(sample, 64).codes(sample))
     model = fit(sample, 64 * max(index.words(), 4))
     leaders, radius = sample[:LEADERS] / np.linalg.norm(sample[:LEADERS], axis=1, keepdims=True), math.acos(threshold) / 2 - 1e-7
     names = [f"w{i}" for i in range(-(-model.axes.shape[1] // 64))]

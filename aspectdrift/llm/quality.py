@@ -70,7 +70,7 @@ def models(rows: DataFrame, good: np.ndarray, buckets: int = BUCKETS) -> tuple[n
 
 
 def _weigh(raw: np.ndarray, target: np.ndarray, good: np.ndarray):
-    """Columns id, text and a hash of the id -> id, log_weight, key_bits.
+    """Columns id, text, a hash of the id and row -> id, row, log_weight, key_bits.
 
     A document of the target model is weighed by the model without it, so that it is no better off than others.
     """
@@ -92,7 +92,7 @@ def _weigh(raw: np.ndarray, target: np.ndarray, good: np.ndarray):
             key = w - np.log(-np.log(((h >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)))
             bits = (key + 0.0).view(np.int64)
             bits = bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))  # now in the order of the keys
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(bits)], names=["id", "log_weight", "key_bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(w), pa.array(bits)], names=["id", "row", "log_weight", "key_bits"])
 
     return run
 
@@ -134,19 +134,21 @@ def kth_key(keys: DataFrame, k: int) -> int:
 
 def selected(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality",
-    seed: int = 11, buckets: int = BUCKETS, target_docs: int = 20_000,
+    seed: int = 11, buckets: int = BUCKETS, target_docs: int = 20_000, row_col: str | None = None,
 ) -> DataFrame:
-    """One row a document: id, log_weight, key_bits (the Gumbel key as an ordered long), selected.
+    """One row a document: id, row (row_col, which tells rows of one id apart), log_weight, key_bits (the Gumbel key as
+    an ordered long), selected.
 
     The target model counts the target_docs good documents with the smallest id hash, so only a bounded
     list of ids is sent out; the raw model counts every document and the level is set on every labelled one.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(good_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("l_id")).agg((F.min(good_col) > 0).alias("good"))
     good = np.sort(np.array([r.l_id for r in smallest(known.where("good"), hash_key("l_id", seed + 1), target_docs, "l_id").collect()], np.int64))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
     raw, target = models(rows, good, buckets)
-    hashed = rows.select("id", "text", F.xxhash64("id", F.lit(seed)).alias("h"))
-    scored = staged(hashed.mapInArrow(_weigh(raw, target, good), "id long, log_weight double, key_bits long"))
+    hashed = rows.select("id", "text", F.xxhash64("id", F.lit(seed)).alias("h"), "row")
+    scored = staged(hashed.mapInArrow(_weigh(raw, target, good), "id long, row long, log_weight double, key_bits long"))
     labelled = scored.join(known, scored["id"] == known["l_id"]).select("log_weight", "good")
     at = level(labelled)
     if at is None:

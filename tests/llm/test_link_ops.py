@@ -372,6 +372,7 @@ def test_pipeline_stages(spark):
     assert kept.columns == docs.columns and 0.8 * docs.count() < kept.count() < docs.count()
     kept = common.staged(kept)
     alone = common.staged(p.exact_once(spark, kept.union(kept.limit(9)), ""))
+    assert alone.columns == docs.columns
     low = {}
     for r in kept.collect():
         low[r.copies] = min(low.get(r.copies, r.doc_id), r.doc_id)
@@ -389,3 +390,52 @@ def test_pipeline_stages(spark):
     packed = p.to_sequences(spark, mixed, "")
     assert packed.where("piece = 0").count() == mixed.count()
     assert [n for n, _ in p.STAGES] == ["quality", "exact dedup", "near dedup", "mixing", "packing"]
+
+
+ODD_ROWS = [
+    (1, "One two three four five six", "en", "s1"), (1, "One two three four five six", "en", "s1"), (1, "other words of the same id here", "en", "s1"), (None, "One  two three four five six", None, None),
+    (None, "only a null id has this text", "fr", None), (None, "only a null id has this text", "fr", None), (5, None, "en", "s2"), (6, "", None, "s2"), (7, "One two three four five six", "en", "s2"), (8, "long " * 300_000, "de", "s1"),
+]
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Rows without an id are decided one by one and give way to rows with one; extra columns pass; empty tables stay empty."""
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame(ODD_ROWS, "doc_id long, text string, lang string, source string").withColumns({"id": F.lit("x"), "copies": F.lit(0), "norm": F.lit(1), "row": F.lit(2), "selected": F.lit(None).cast("boolean")})
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        out.collect()
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0, name
+    once = [(r.doc_id, r.text) for r in p.exact_once(spark, docs, "").collect()]
+    assert sorted((i is None, i, t[:9]) for i, t in ((i, t or "") for i, t in once)) == [(False, 1, "One two t"), (False, 1, "other wor"), (False, 5, ""), (False, 8, "long long"), (True, None, "only a nu")]
+    near = [(r.doc_id, (r.text or "")[:9]) for r in p.near_once(spark, docs, "").collect()]
+    assert sorted((i is None, i, t) for i, t in near) == [(False, 1, "One two t"), (False, 1, "other wor"), (False, 5, ""), (False, 8, "long long"), (True, None, "only a nu")]
+    assert p.good_quality(spark, docs, "/root/testdata/sf0.001").count() <= docs.count()
+    mixed = [tuple(r) for r in p.to_weights(spark, docs, "").collect()]
+    assert all(t in {tuple(r) for r in docs.collect()} for t in mixed)
+    pieces = p.to_sequences(spark, docs, "")
+    assert pieces.where("piece = 0").count() == docs.count() and p.to_sequences(spark, docs.limit(0), "").count() == 0
+
+
+def test_rows_that_go_may_be_many(spark, monkeypatch):
+    """Beyond the bound on what is sent, rows to leave out are joined: the same rows stay."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(r.doc_id for r in p.exact_once(spark, docs.union(docs), "").collect())
+    monkeypatch.setattr(p, "MOST_SENT", 0)
+    assert sorted(r.doc_id for r in p.exact_once(spark, docs.union(docs), "").collect()) == want
+
+
+def test_link_operators_ignore_clashing_columns(spark):
+    names = ["id", "fp", "node", "node_", "low", "root", "n", "x", "key", "t", "text_key", "base", "sha", "s", "p", "first", "f", "w0", "ball", "word", "cell", "component_id"]
+    clash = {n: F.lit("z") for n in names}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for op, key in ((simhash.op7, "doc_id"), (secrets.op9, "doc_id")):
+        assert sorted(map(str, op(docs.withColumns(clash)).collect())) == sorted(map(str, op(docs).collect())), key
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    assert sorted(embed_dedup.op8(vectors.withColumns(clash)).collect()) == sorted(embed_dedup.op8(vectors).collect())
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    assert sorted(map(str, warc.op10(pages.withColumns(clash)).collect())) == sorted(map(str, warc.op10(pages).collect()))

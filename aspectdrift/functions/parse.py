@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accepted notations, in order of precedence.
-SPOKEN = r"ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
+from aspectdrift.functions.text import SPACE, ascii_digits
+
+# The accepted notations, in order of precedence. Digits of any script are read as 0 to 9 before.
+SPOKEN = rf"ngày{SPACE}+(\d{{1,2}}){SPACE}+tháng{SPACE}+(\d{{1,2}}){SPACE}+năm{SPACE}+(\d{{4}})"
 ISO = r"(\d{4})-(\d{2})-(\d{2})"
 SLASHED = r"(\d{1,2})/(\d{1,2})/(\d{4})"
 SCORE = r"(\d{1,2})(?:[.,](\d))?"
 SCORE_LABEL = "Đạt điểm"
-NIGHTS = r"(\d+)\s*đêm"
+NIGHTS = rf"(\d+){SPACE}*đêm"
 
 
 def _group(text: Column, pattern: str, k: int) -> Column:
@@ -20,6 +22,7 @@ def _group(text: Column, pattern: str, k: int) -> Column:
 
 def review_date(raw: Column) -> Column:
     """struct(iso_date, period), null where nothing parses; months are 1 to 12 and days 1 to 31, whatever the month."""
+    raw = ascii_digits(raw)
     parts = []
     for pattern, (y, m, d) in ((SPOKEN, (3, 2, 1)), (ISO, (1, 2, 3)), (SLASHED, (3, 2, 1))):
         found = F.struct(_group(raw, pattern, y).alias("y"), _group(raw, pattern, m).cast("int").alias("m"), _group(raw, pattern, d).cast("int").alias("d"))
@@ -32,13 +35,13 @@ def review_date(raw: Column) -> Column:
 
 def score(raw: Column) -> Column:
     """Out of text: the first one or two digits with an optional decimal, if 0 to 10."""
-    text = F.replace(raw, F.lit(SCORE_LABEL), F.lit(""))
+    text = ascii_digits(F.replace(raw, F.lit(SCORE_LABEL), F.lit("")))
     value = F.concat(_group(text, SCORE, 1), F.lit("."), F.coalesce(_group(text, SCORE, 2), F.lit("0"))).try_cast("double")
     return F.when(value.between(0, 10), value)
 
 
 def nights(raw: Column) -> Column:
-    return _group(raw, NIGHTS, 1).try_cast("int")
+    return _group(ascii_digits(raw), NIGHTS, 1).try_cast("int")
 
 
 def review_uid(hotel: Column, iso_date: Column, line: Column) -> Column:

@@ -7,29 +7,41 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 #: All that counts as white space, written out because \s alone is ASCII here.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 SPACES = "".join(map(chr, (0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
-def _normaliser(form: str):
-    @F.pandas_udf(StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
+#: Decimal digits of all scripts but ASCII, and what they stand for.
+DIGITS = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Nd")
+VALUES = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
 
-    return run
+
+def ascii_digits(text: Column) -> Column:
+    """Digits of any script as 0 to 9."""
+    return F.when(text.rlike(r"[\P{ASCII}&&\p{Nd}]"), F.translate(text, DIGITS, VALUES)).otherwise(text)
+
+
+@F.pandas_udf(StructType().add("nfc", StringType()).add("nfkc", StringType()))
+def _forms(s: pd.Series) -> pd.DataFrame:
+    """Both normal forms of each text in one crossing; nulls, which most rows are, stay null."""
+    out = pd.DataFrame({"nfc": None, "nfkc": None}, index=s.index, dtype=object)
+    some = s[s.notna()]
+    for name, form in (("nfc", "NFC"), ("nfkc", "NFKC")):
+        out.loc[some.index, name] = [unicodedata.normalize(form, x) for x in some]
+    return out
 
 
 #: Characters that are their own NFC and NFKC and don't combine: ASCII, and Latin letters as most European and Vietnamese texts have them.
 STABLE = r"\x00-\x7F\u00A1\u00A7\u00AB\u00B0\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u1EA0-\u1EF9"
 
 
-def unicode_form(text: Column, form: str) -> Column:
-    """NFC or NFKC. Text of STABLE characters is its own form; only other texts are sent to Python."""
-    rest = F.when(text.rlike(f"[^{STABLE}]"), text)
-    return F.coalesce(_normaliser(form)(rest), text)
+def unicode_forms(text: Column) -> Column:
+    """struct(nfc, nfkc). Text of STABLE characters is its own form; only other texts are sent to Python."""
+    made = _forms(F.when(text.rlike(f"[^{STABLE}]"), text))
+    return F.struct(F.coalesce(made["nfc"], text).alias("nfc"), F.coalesce(made["nfkc"], text).alias("nfkc"))
 
 
 def trim(text: Column) -> Column:
@@ -39,14 +51,23 @@ def trim(text: Column) -> Column:
 def nfc(text: Column, forms: bool = True) -> Column:
     """Trimmed NFC; null is empty. forms=False leaves out the normal form, for text known to be in it."""
     text = F.coalesce(text, F.lit(""))
-    return trim(unicode_form(text, "NFC") if forms else text)
+    return trim(unicode_forms(text)["nfc"] if forms else text)
+
+
+def words_only(text: Column) -> Column:
+    """Lower-cased, whatever is no letter, number or underscore as single spaces, trimmed."""
+    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
 
 
 def norm_text(text: Column, forms: bool = True) -> Column:
     """Lower-cased NFKC with punctuation as single spaces, trimmed; null is empty."""
     text = F.coalesce(text, F.lit(""))
-    text = F.lower(unicode_form(text, "NFKC") if forms else text)
-    return trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]", " "), f"{SPACE}+", " "))
+    return words_only(unicode_forms(text)["nfkc"] if forms else text)
+
+
+def joined(*normed: Column) -> Column:
+    """norm_text of texts put together with a sign or space between, from their normal forms."""
+    return F.array_join(F.filter(F.array(*normed), lambda x: x != ""), " ")
 
 
 def text_hash(text: Column, forms: bool = True) -> Column:

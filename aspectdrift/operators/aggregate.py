@@ -21,6 +21,11 @@ def with_taxonomy(quads: DataFrame, code_to_category: dict[str, str] | None = No
     return quads.withColumn("category", F.try_element_at(pairs, F.col("taxonomy_code"))).withColumn("reportable", F.col("taxonomy_code").isin(*reportable))
 
 
+def outside(quads: DataFrame) -> DataFrame:
+    """(n, outside): quads, and those whose code isn't in the taxonomy, which cells() leaves out."""
+    return quads.agg(F.count("*").alias("n"), F.count_if(F.col("category").isNull()).alias("outside"))
+
+
 def weight(quads: DataFrame) -> Column:
     """w, else conf_seq, else 1; a column that the quads lack counts as null."""
     return F.coalesce(*[F.col(c) for c in ("w", "conf_seq") if c in quads.columns], F.lit(1.0))
@@ -62,7 +67,8 @@ def shares(pi_cells: DataFrame, ref: DataFrame, aspects: DataFrame, prior: float
     full = grid(pi_cells.select("period").distinct(), ref, aspects).join(pi_cells, ["period", "stratum", "aspect"], "left").fillna({"w": 0.0})
     by = lambda *c: Window.partitionBy("period", *c)
     full = full.repartition("period").withColumn("n_st", F.sum("w").over(by("stratum"))).withColumn("pooled", F.sum("w").over(by("aspect")))
-    full = full.withColumn("all", F.sum("w").over(by())).withColumn("k", F.size(F.collect_set("aspect").over(by())))
+    strata = F.count(F.lit(1)).over(by("aspect"))  # the grid has every aspect once a stratum
+    full = full.withColumn("all", F.sum("w").over(by())).withColumn("k", F.count(F.lit(1)).over(by()) / strata)
     s0 = F.when(F.col("all") > 0, F.col("pooled") / F.col("all")).otherwise(1.0 / F.col("k"))
     den = F.col("n_st") + F.lit(float(prior))
     share = F.when(den > 0, (F.col("w") + F.lit(float(prior)) * s0) / F.when(den > 0, den)).otherwise(s0)

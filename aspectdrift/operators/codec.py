@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aspectdrift import config
+from aspectdrift.functions import text
 
 # The notation. An ampersand is escaped first and restored last, so escaping loses nothing.
 OPEN, CLOSE, NULL = "<quad>", "</quad>", "NULL"
@@ -44,16 +47,25 @@ def parse_linearized(target: Column, taxonomy: dict[str, str] | None = None) ->
     category = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     chunks = F.slice(F.split(target, OPEN), 2, 1_000_000)
 
-    def read(chunk: Column) -> Column:
-        fields = F.transform(F.split(F.trim(F.element_at(F.split(chunk, CLOSE), 1)), r"\|"), lambda f: F.trim(f))
+    # One-element arrays bind values to lambda variables; a plain expression would be worked out anew at each use.
+    def bound(value: Column, then) -> Column:
+        return F.element_at(F.transform(F.array(value), then), 1)
+
+    def placed(fields: Column) -> Column:
         n = F.size(fields)
         places = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_contains(codes, F.get(fields, i - 1)))
-        at = F.when(n == 4, 2).when((n > 4) & (F.size(places) == 1), F.get(places, F.lit(0)))
+        only = bound(places, lambda p: F.when(F.size(p) == 1, F.get(p, F.lit(0))))
+        return bound(F.when(n == 4, 2).when(n > 4, only), lambda at: named(fields, n, at))
+
+    def named(fields: Column, n: Column, at: Column) -> Column:
         a = F.array_join(F.slice(fields, 1, F.greatest(at - 1, F.lit(0))), " | ")
         o = F.array_join(F.slice(fields, at + 1, F.greatest(n - at - 1, F.lit(0))), " | ")
         code, sentiment = F.get(fields, at - 1), F.get(fields, n - 1)
         ok = at.isNotNull() & F.array_contains(codes, code) & sentiment.isin(*config.SENTIMENTS)
-        return F.struct(ok.alias("ok"), unescape(F.trim(a)).alias("a"), code.alias("c"), unescape(F.trim(o)).alias("o"), sentiment.alias("s"))
+        return F.struct(ok.alias("ok"), unescape(text.trim(a)).alias("a"), code.alias("c"), unescape(text.trim(o)).alias("o"), sentiment.alias("s"))
+
+    def read(chunk: Column) -> Column:
+        return bound(F.transform(F.split(text.trim(F.element_at(F.split(chunk, CLOSE), 1)), r"\|"), text.trim), placed)
 
     found = F.filter(F.transform(chunks, read), lambda q: F.coalesce(q["ok"], F.lit(False)) & (q["a"] != "") & (q["o"] != ""))
     term = lambda t: F.when(t != NULL, t)
@@ -69,6 +81,22 @@ def training_rows(segments: DataFrame) -> DataFrame:
     return segments.select("instance_id", "source_review_id", date.alias("review_date"), F.concat(F.lit(PROMPT), "text").alias("input"), linearize(F.col("quads")).alias("target"), F.size("quads").alias("n_quads"))
 
 
+def dated(segments: DataFrame, meta: DataFrame) -> DataFrame:
+    """segments with the review_date of their review, empty where meta(source_review_id, review_date) has none."""
+    dates = meta.groupBy("source_review_id").agg(F.max("review_date").alias("review_date"))
+    return segments.join(dates, "source_review_id", "left").withColumn("review_date", F.coalesce("review_date", F.lit("")))
+
+
+def data_report(rows: DataFrame, by: str = "split") -> DataFrame:
+    """(split, segments, quads, mismatches): rows(split, n_quads, n_parsed) counted; a mismatch is a target that doesn't read back."""
+    return rows.groupBy(by).agg(F.count("*").alias("segments"), F.sum("n_quads").cast("long").alias("quads"), F.count_if(F.col("n_quads") != F.col("n_parsed")).alias("mismatches"))
+
+
+def chronological(parts: list[DataFrame], last_train: str, first_test: str) -> DataFrame:
+    """The training parts put together, each row in train, test, undated or between by its date; the test part isn't touched."""
+    return time_split(reduce(DataFrame.unionByName, parts), last_train, first_test)
+
+
 def time_split(rows: DataFrame, last_train: str, first_test: str) -> DataFrame:
     """Adds part: train up to a month, test from a month on, undated, or between."""
     month = F.substring("review_date", 1, 7)

@@ -50,26 +50,46 @@ def covers(report: DataFrame, slice_name: str) -> DataFrame:
     return report.agg((total(slice_name) == total("overall")).alias("covers"))
 
 
-def mean_rank(column: str, *by: str) -> Column:
-    """Rank from 1 with ties at their mean."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(column)) + (F.count("*").over(w.partitionBy(*by, column)) - 1) / 2.0
+def totals_below(rows: DataFrame, value: str, amounts: list[str], *by: str, buckets: int = 64) -> DataFrame:
+    """Adds below_<amount>: its sum over rows of the same `by` with a smaller value. One row a (by, value).
+
+    Values are dealt to buckets by about equal quantiles, summed inside each, and buckets add up what lies before
+    them, so no task sorts all values of a hot slice.
+    """
+    splits = sorted(set(rows.stat.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.002)))  # `buckets` numbers
+    own = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= F.col(value))) if splits else F.lit(0)
+    rows = rows.withColumn("__b", own)
+    sums = rows.groupBy(*by, "__b").agg(*[F.sum(a).alias(f"__{a}") for a in amounts])
+    earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # `buckets` rows a slice
+    before = sums.select(*by, "__b", *[F.coalesce(F.sum(f"__{a}").over(earlier), F.lit(0)).alias(f"__{a}") for a in amounts])
+    inside = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"below_{a}": F.coalesce(F.sum(a).over(inside), F.lit(0)) for a in amounts}).join(before, [*by, "__b"])
+    return rows.withColumns({f"below_{a}": F.col(f"below_{a}") + F.col(f"__{a}") for a in amounts}).drop("__b", *[f"__{a}" for a in amounts])
+
+
+def mean_ranks(rows: DataFrame, column: str) -> DataFrame:
+    """(column, rank) of each distinct value: rank from 1 with ties at their mean."""
+    ranked = totals_below(rows.groupBy(column).agg(F.count("*").alias("n")), column, ["n"])
+    return ranked.select(column, (F.col("below_n") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
 def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, rho) of audit-sized pairs: one sort a side."""
-    ranked = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(mean_rank(a).alias("ra"), mean_rank(b).alias("rb"))
+    """(n, rho) of numeric pairs without nulls."""
+    rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    ranked = rows.join(mean_ranks(rows, "a").withColumnRenamed("rank", "ra"), "a").join(mean_ranks(rows, "b").withColumnRenamed("rank", "rb"), "b")
     return ranked.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
 
 
 def auc(rows: DataFrame, score: str, label: str, *by: str) -> DataFrame:
-    """(by..., n, auc): area under the curve by rank sums, exact; null where a slice has one class only.
-
-    Equal scores are counted first, so the window runs over distinct scores.
-    """
-    c = rows.groupBy(*by, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("p")).over(w), F.lit(0)))
-    s = c.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2.0)).alias("u"))
+    """(by..., n, auc): area under the curve by rank sums, exact; null where a slice has one class only."""
+    c = rows.groupBy(*by, F.col(score).cast("double").alias("__s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n")).withColumn("q", F.col("n") - F.col("p"))
+    c = totals_below(c, "__s", ["q"], *by)
+    s = c.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("p") * (F.col("below_q") + F.col("q") / 2.0)).alias("u"))
     pairs = F.col("p").cast("double") * (F.col("n") - F.col("p"))
     return s.select(*by, "n", (F.col("u") / F.nullif(pairs, F.lit(0.0))).alias("auc"))
+
+
+def gate(pairs: DataFrame, a: str, b: str, least_pairs: int, least_rho: float) -> DataFrame:
+    """(n, rho, verdict): GO with enough pairs and rank correlation, NO-GO otherwise."""
+    s = spearman(pairs, a, b)
+    return s.withColumn("verdict", F.when((F.col("n") >= least_pairs) & (F.coalesce("rho", F.lit(-1.0)) >= least_rho), "GO").otherwise("NO-GO"))

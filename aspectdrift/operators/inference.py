@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -57,23 +58,30 @@ def permutation_p(rows: DataFrame, n_perm: int = config.PERMUTATIONS, seed: int
     return rows.select("series_id", "period", "value").groupBy("series_id").applyInPandas(run, "series_id string, p_trend double, p_split double")
 
 
+def poisson_times(u: Column) -> Column:
+    """How often a row counts in a replicate: a Poisson draw of mean 1 from a uniform number."""
+    total, term, parts = 0.0, math.exp(-1), []
+    for k in range(10):
+        total += term
+        term /= k + 1
+        parts.append((u >= total).cast("int"))
+    return reduce(Column.__add__, parts)
+
+
 def bootstrap_slopes(vectors: DataFrame, ref: DataFrame, aspects: DataFrame, replicates: int, seed: int = config.SEED, prior: float = config.PRIOR_SHARE) -> DataFrame:
     """(b, aspect, slope): slopes of the adjusted shares' log-ratios with reviews redrawn within period and stratum.
 
-    vectors(period, stratum, review_uid, aspect, w). Draw k of replicate b takes the review at
-    floor(u * n) of its cell; all aspects share the draws. Rows are replicates times reviews and are dealt by replicate
-    and cell, then summed to cells before anything else.
+    vectors(period, stratum, review_uid, aspect, w). Every review of a cell counts as often as a Poisson draw of its own
+    says, which is drawing with replacement without fixing the cell's total; all aspects share a review's
+    draw. Draws are parts of a hash of seed, every four replicates and review, made where the row lies and summed to
+    cells before anything moves: only replicates x cells are shuffled.
     """
-    from aspectdrift.functions.text import uniform
-
-    reviews = vectors.select("period", "stratum", "review_uid").distinct()
-    w = Window.partitionBy("period", "stratum")
-    placed = reviews.withColumn("i", F.row_number().over(w.orderBy("review_uid")) - 1).withColumn("n", F.count("*").over(w))
-    draws = placed.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    pick = F.floor(uniform(seed, F.col("b"), F.col("period"), F.col("stratum"), F.col("i")) * F.col("n")).cast("int")
-    draws = draws.select("b", "period", "stratum", pick.alias("i")).groupBy("b", "period", "stratum", "i").agg(F.count("*").alias("times"))
-    weights = placed.select("period", "stratum", "i", "review_uid").join(vectors, ["period", "stratum", "review_uid"])
-    drawn = draws.join(weights, ["period", "stratum", "i"]).groupBy("b", "period", "stratum", "aspect").agg(F.sum(F.col("times") * F.col("w")).alias("w"))
+    fours = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)))
+    draws = vectors.withColumn("four", fours).withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("four").cast("string"), F.col("review_uid").cast("string"))))
+    part = lambda k: F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("double") / float(1 << 32)
+    draws = draws.select("period", "stratum", "aspect", "w", F.inline(F.array(*[F.struct((F.col("four") * 4 + k + 1).alias("b"), part(k).alias("u")) for k in range(4)])))
+    draws = draws.where(F.col("b") <= replicates).withColumn("times", poisson_times(F.col("u"))).where("times > 0")
+    drawn = draws.groupBy("b", "period", "stratum", "aspect").agg(F.sum(F.col("times") * F.col("w")).alias("w"))
     # A replicate is one more level of the period, so the shares of all replicates are one plan.
     one = drawn.withColumn("period", F.concat_ws("#", "period", "b")).drop("b")
     logs = aggregate.clr(aggregate.shares(one, ref, aspects, prior), "adj")
@@ -106,9 +114,24 @@ def diagnostics(m: int, n_perm: int, alpha: float = config.ALPHA) -> dict[str, f
     return {
         "grid_size": m, "p_floor": floor, "n_perm_min": max(math.ceil(m / alpha) - 1, 0) if m else 0,
         "single_effect_reachable": bool(m) and floor * m <= alpha, "min_simultaneous": math.ceil(floor * m / alpha) if m else 0,
+        "margin": n_perm / max(math.ceil(m / alpha) - 1, 1) if m else math.inf,
     }
 
 
+def diagnostic_columns(m: Column, n_perm: int, alpha: float = config.ALPHA) -> list[Column]:
+    """The same of a column of grid sizes."""
+    floor = 1.0 / (n_perm + 1)
+    return [
+        m.cast("long").alias("grid_size"), F.lit(floor).alias("p_floor"), F.greatest(F.ceil(m / alpha) - 1, F.lit(0)).cast("long").alias("n_perm_min"),
+        ((m > 0) & (floor * m <= alpha)).alias("single_effect_reachable"), F.ceil(floor * m / alpha).cast("long").alias("min_simultaneous"),
+    ]
+
+
+def verdict_counts(report: DataFrame) -> DataFrame:
+    """(verdict, n): aspects by the verdict on their shares."""
+    return report.select("aspect", "verdict").distinct().groupBy("verdict").agg(F.count("*").alias("n"))
+
+
 def verdict(raw_significant: Column, adj_significant: Column, raw_slope: Column, adj_slope: Column) -> Column:
     """From both tests and the slopes as reported: REAL, SPURIOUS, MASKED, SIGN_FLIP, UNDETERMINED or FLAT."""
     raw, adj = F.coalesce(raw_significant, F.lit(False)), F.coalesce(adj_significant, F.lit(False))

@@ -34,6 +34,27 @@ def hits(rows: DataFrame, text: Column, lexicon: dict[str, list[str]], forms: bo
     return rows.withColumn("code", F.explode(found))
 
 
+def extract(units: DataFrame, lexicon: dict[str, list[str]], forms: bool = True) -> DataFrame:
+    """Quads without a model: one for each code with a term in the text, the first term found, in order of codes.
+
+    units(phi, text, ...) keep their columns; a positive text makes positive quads, a negative one negative ones; no opinion
+    is named and the confidence is 1 (mean_logp 0).
+    """
+    low = F.lower(nfc(F.col("text"), forms))
+    one = lambda code, terms: F.struct(F.lit(code).alias("taxonomy_code"), F.nullif(F.regexp_extract(low, f"({pattern(terms)})", 1), F.lit("")).alias("aspect_term"))
+    found = F.filter(F.array(*[one(c, t) for c, t in sorted(lexicon.items())]), lambda q: q["aspect_term"].isNotNull())
+    rows = units.select(*units.columns, F.posexplode(found).alias("ord", "__q")).select(*units.columns, "ord", "__q.*")
+    return rows.withColumn("opinion_term", F.lit(None).cast("string")).withColumn("sentiment", F.when(F.col("phi") == "POS", "positive").otherwise("negative")).withColumn("mean_logp", F.lit(0.0))
+
+
+def probe_counters(found: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(period, stratum, code, n): hits by period and code and by period, stratum and code, reviews by period and by period
+    and stratum; what a count doesn't go by is null."""
+    hits_ = found.groupingSets([["period", "code"], ["period", "stratum", "code"]], "period", "stratum", "code").agg(F.count("*").alias("n"))
+    seen = reviews.groupingSets([["period"], ["period", "stratum"]], "period", "stratum").agg(F.count("*").alias("n")).withColumn("code", F.lit(None).cast("string"))
+    return hits_.unionByName(seen.select("period", "stratum", "code", "n"))
+
+
 def probe_shares(found: DataFrame, reviews: DataFrame, codes: DataFrame, least: int = 30) -> DataFrame:
     """(period, code, raw, adj): found(period, stratum, code) one row a hit, reviews(period, stratum) one a review.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aspectdrift import config
@@ -37,6 +37,22 @@ def provenance(p: dict[str, Column], phi: Column, lam: float = config.PROVENANCE
     return F.struct(best["s"].alias("sentiment"), (F.exp(best["v"] - top) / total).alias("posterior"))
 
 
+def enriched(quads: DataFrame, logp: dict[str, Column] | None = None, lam: float = config.PROVENANCE_LAMBDA) -> DataFrame:
+    """quads(sentiment, phi, mean_logp) with all that a model's scores say about them.
+
+    Without scores, or where they hardly differ, the generated sentiment has .9; flags tell both apart. The sentiment
+    becomes the likeliest one given where the text stood.
+    """
+    said = F.col("sentiment")
+    flat = degenerate(logp) if logp else F.lit(False)
+    p = variants(logp, said) if logp else F.struct(*[F.when(said == s, 0.9).otherwise(0.05).alias(s) for s in S])
+    rows = quads.withColumn("p_model", p).withColumn("p_model_exact", F.lit(logp is not None) & ~flat).withColumn("p_model_truncated", flat)
+    rows = rows.withColumn("__out", provenance({s: F.col(f"p_model.{s}") for s in S}, F.col("phi"), lam)).withColumn("sentiment_model", said)
+    rows = rows.withColumn("p_model", F.struct(*[F.bround(f"p_model.{s}", 4).alias(s) for s in S])).withColumn("conf_seq", F.bround(confidence(F.col("mean_logp")), 4))
+    rows = rows.withColumn("sentiment", F.col("__out.sentiment")).withColumn("p_posterior", F.bround("__out.posterior", 4))
+    return rows.withColumn("provenance_flip", F.col("sentiment") != F.col("sentiment_model")).drop("__out")
+
+
 def confidence(mean_logp: Column) -> Column:
     return F.exp(mean_logp)
 

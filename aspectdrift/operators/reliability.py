@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aspectdrift import config
+from aspectdrift.operators import evaluate, sampling
+from aspectdrift.sources.scratch import staged
 
 FEATURES = ("conf_seq", "p_posterior", "phi_pos", "log_len", "prov_flip")
 # What a model must reach to be used.
@@ -27,19 +30,45 @@ def logistic(features: list[Column], weights: list[float], intercept: float) ->
     return 1 / (1 + F.exp(-z))
 
 
-def fit_logistic(rows: DataFrame, features: list[str], label: str, weight: str | None = None) -> tuple[list[float], float]:
-    """L2-penalised with C = 1 in the sum of losses; distributed. One class only is an error."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+def fit_logistic(rows: DataFrame, features: list[str], label: str, weight: str | None = None, rounds: int = 50) -> tuple[list[float], float]:
+    """Minimise the weighted sum of losses plus half the squared coefficients. One class only is an error.
 
-    w = F.col(weight) if weight else F.lit(1.0)
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(rows.select(*features, F.col(label).cast("double").alias("label"), w.cast("double").alias("w"))).persist()
-    total, kinds = data.agg(F.sum("w"), F.count_distinct("label")).first()
-    if kinds < 2:
+    Newton steps: each is one aggregation of gradient and curvature, a few dozen sums, whatever the number of
+    rows; a step that doesn't lower the loss is halved.
+    """
+    k = len(features)
+    data = staged(rows.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")))
+    if data.agg(F.count_distinct(F.when(F.col("w") > 0, F.col("y")))).first()[0] < 2:
         raise ValueError("the labels have one class only")
-    model = LogisticRegression(weightCol="w", regParam=1.0 / total, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(data)
-    data.unpersist()
-    return model.coefficients.tolist(), float(model.intercept)
+    x = [F.col(f"f{i}") for i in range(k)] + [F.lit(1.0)]
+    penalty = np.append(np.ones(k), 0.0)
+
+    def sums(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = sum((f * float(t) for f, t in zip(x, theta, strict=True)), F.lit(0.0))
+        at = data.select("*", z.alias("z")).withColumn("p", 1 / (1 + F.exp(-F.col("z"))))
+        loss = F.col("w") * (F.greatest(F.col("z"), F.lit(0.0)) - F.col("y") * F.col("z") + F.log1p(F.exp(-F.abs("z"))))
+        slope, bend = F.col("w") * (F.col("p") - F.col("y")), F.col("w") * F.col("p") * (1 - F.col("p"))
+        pairs = [(i, j) for i in range(k + 1) for j in range(i + 1)]
+        got = at.agg(F.sum(loss), *[F.sum(slope * f) for f in x], *[F.sum(bend * x[i] * x[j]) for i, j in pairs]).first()
+        h = np.diag(penalty)
+        for (i, j), v in zip(pairs, got[k + 2 :], strict=True):
+            h[i, j] += v
+            h[j, i] = h[i, j]
+        return got[0] + 0.5 * (penalty * theta * theta).sum(), np.array(got[1 : k + 2]) + penalty * theta, h
+
+    theta = np.zeros(k + 1)
+    loss, g, h = sums(theta)
+    for _ in range(rounds):
+        step = np.linalg.solve(h + np.eye(k + 1) * 1e-12, g)
+        while True:
+            new = sums(theta - step)
+            if new[0] <= loss + 1e-9 * abs(loss) or np.abs(step).max() < 1e-9:
+                break
+            step = step / 2
+        theta, (loss, g, h) = theta - step, new
+        if np.abs(step).max() < 1e-9:
+            break
+    return theta[:-1].tolist(), float(theta[-1])
 
 
 def ipw(rows: DataFrame, label: str = "has_photo") -> DataFrame:
@@ -64,10 +93,67 @@ def fit_bridge(rows: DataFrame, target: str = "v_image", weight: str | None = "i
 
 
 def verdict(auc: float | None, gain: float | None, rho: float | None, pairs: int) -> str:
-    ok = auc is not None and auc >= LEAST_AUC and gain is not None and gain >= LEAST_GAIN and pairs >= LEAST_PAIRS and rho is not None and rho >= LEAST_RHO
+    ok = passes(auc, gain) and pairs >= LEAST_PAIRS and rho is not None and rho >= LEAST_RHO
     return "GO" if ok else "NO-GO"
 
 
+def passes(auc: float | None, gain: float | None) -> bool:
+    """Whether a verifier tells pairs apart, and better than categories alone do."""
+    return auc is not None and auc >= LEAST_AUC and gain is not None and gain >= LEAST_GAIN
+
+
+def audited(quads: DataFrame, audit: DataFrame, order: str) -> DataFrame:
+    """quads(quad_uid) with the human mark of audit(quad_uid, correct): the last one in `order`; null marks don't count."""
+    last = audit.where("correct IS NOT NULL").groupBy(F.col("quad_uid").alias("__u")).agg(F.max_by("correct", order).alias("correct"))
+    return quads.join(last, F.col("quad_uid") == F.col("__u")).drop("__u")
+
+
+def bridge_gate(quads: DataFrame, audit: DataFrame, model: tuple[list[float], float], order: str) -> DataFrame:
+    """(n, rho, verdict): the bridge's weights against the audit of the same quads."""
+    scored = audited(quads, audit, order).select(logistic(bridge_features(), *model).alias("r"), F.col("correct").cast("double").alias("correct"))
+    return evaluate.gate(scored, "r", "correct", LEAST_PAIRS, LEAST_RHO)
+
+
+# ---------------------------------------------------------------- images against categories
+
+
+def review_of(quad_id: Column) -> Column:
+    """A quad's review: its name before the last _Q."""
+    return F.regexp_replace(quad_id, r"(?s)^(.*)_Q.*$", "$1")
+
+
+def verifier_pairs(images: DataFrame, quads: DataFrame, splits: DataFrame, categories: DataFrame, seed: int) -> DataFrame:
+    """(image, review, category, y, split): an image with the categories of its review, and as many others.
+
+    images(review, image), quads(quad_id, category), splits(review, split), categories(category); reviews without a split train.
+    """
+    of = quads.select(review_of(F.col("quad_id")).alias("review"), "category").distinct()
+    positives = images.select("review", "image").distinct().join(of, "review")
+    owner = positives.select("review", "image").distinct()
+    wrong = sampling.negatives(positives.select("image", "category"), categories, positives.select("image", "category"), "image", seed).join(owner, "image")
+    rows = positives.withColumn("y", F.lit(1)).unionByName(wrong.withColumn("y", F.lit(0)))
+    side = splits.groupBy("review").agg(F.max("split").alias("split"))
+    return rows.join(side, "review", "left").select("image", "review", "category", "y", F.coalesce("split", F.lit("train")).alias("split"))
+
+
+def fit_verifier(pairs: DataFrame, categories: list[str]) -> tuple[list[float], float, dict, DataFrame]:
+    """(coefficients, intercept, report, area by category) of a head over sim and the category's mark.
+
+    pairs(sim, category, y, split): train and dev fit, test measures. The baseline knows the category alone; a slice with
+    one class has no area.
+    """
+    marks = [f"c{i}" for i in range(len(categories))]
+    rows = pairs.withColumns({m: (F.col("category") == c).cast("double") for m, c in zip(marks, categories, strict=True)})
+    fits, test = rows.where(F.col("split").isin("train", "dev")), rows.where("split = 'test'")
+    weights, bias = fit_logistic(fits, ["sim", *marks], "y")
+    base, base_bias = fit_logistic(fits, marks, "y")
+    scored = test.withColumn("score", logistic([F.col(c) for c in ("sim", *marks)], weights, bias)).withColumn("plain", logistic([F.col(c) for c in marks], base, base_bias))
+    area = {c: evaluate.auc(scored, c, "y").first().auc if not scored.isEmpty() else None for c in ("score", "plain")}
+    gain = area["score"] - area["plain"] if None not in area.values() else None
+    report = {"auc": area["score"], "baseline": area["plain"], "gain": gain, "verdict": "GO" if passes(area["score"], gain) else "NO-GO"}
+    return weights, bias, report, evaluate.auc(test, "sim", "y", "category")
+
+
 def apply_weights(quads: DataFrame, in_taxonomy: Column, model: tuple[list[float], float] | None = None) -> DataFrame:
     """Adds w, 0 outside the taxonomy, and w_source. Without a model that may be used, w is conf_seq."""
     if model is not None and len(model[0]) != len(FEATURES):

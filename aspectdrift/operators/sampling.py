@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aspectdrift.functions.strata import conf_band, length_bin
 from aspectdrift.functions.text import draw_order
 
 
@@ -25,6 +26,21 @@ def stratified(rows: DataFrame, cells: list[str], n: int, seed: int, *key: str,
     return reservoir(per_cell(rows, cells, min(cap, max(1, n // count)), seed, *key), n, seed + 1, *key)
 
 
+def review_sample(reviews: DataFrame, n: int, seed: int) -> DataFrame:
+    """About n reviews to be annotated in full, alike from each length and with or without a negative text.
+
+    reviews(review_uid, period, n_words, text_pos, text_neg, in_gold, has_text); gold reviews take no part.
+    """
+    rows = reviews.where(~F.col("in_gold") & F.col("has_text")).withColumn("length_bin", length_bin(F.col("n_words"))).withColumn("has_neg", F.coalesce(F.col("text_neg") != "", F.lit(False)))
+    return stratified(rows, ["length_bin", "has_neg"], n, seed, "review_uid", cap=200).select("review_uid", "period", "length_bin", "has_neg", "text_pos", "text_neg")
+
+
+def quad_sample(quads: DataFrame, n: int, seed: int) -> DataFrame:
+    """About n quads to be marked right or wrong, alike from each confidence band, side and flip; its draws are its own."""
+    rows = quads.withColumn("conf_band", conf_band(F.col("conf_seq")))
+    return stratified(rows, ["conf_band", "phi", "provenance_flip"], n, seed + 1, "quad_uid", cap=300)
+
+
 def negatives(positives: DataFrame, categories: DataFrame, excluded: DataFrame, item: str, seed: int) -> DataFrame:
     """For every item as many categories it doesn't have as it has positives, or all there are.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectdrift.operators.codec import linearize
+from aspectdrift.operators.codec import PROMPT, linearize
 from aspectdrift.operators.sampling import reservoir
 
 
@@ -33,6 +33,20 @@ def negative_rate(units: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.avg((F.col("q.sentiment") == "negative").cast("double")).alias("rate"))
 
 
+def skewed(gold: DataFrame, pseudo: DataFrame, most: float = 0.15) -> DataFrame:
+    """(n, rate, gold_rate, stop): whether the pseudo-labels' share of negatives is too far from gold's, or there are none."""
+    p, g = negative_rate(pseudo), negative_rate(gold).select(F.col("rate").alias("gold_rate"))
+    return p.crossJoin(g).withColumn("stop", F.coalesce((F.col("n") == 0) | (F.abs(F.col("rate") - F.col("gold_rate")) > most), F.lit(True)))  # one row each
+
+
+def training_set(gold: DataFrame, pseudo: DataFrame | None) -> DataFrame:
+    """(input, target, n_quads, origin): gold rows and pseudo-labelled units as one bag, nothing deduplicated."""
+    rows = gold.select("input", "target", "n_quads", F.lit("gold").alias("origin"))
+    if pseudo is None:
+        return rows
+    return rows.unionByName(pseudo.select(F.concat(F.lit(PROMPT), "text").alias("input"), "target", "n_quads", F.lit("pseudo").alias("origin")))
+
+
 def loop(gold: DataFrame, extract: Callable, train: Callable, evaluate: Callable, rounds: int = 3, max_skew: float = 0.15, max_ratio: float = 1.0, seed: int = 0) -> list[dict]:
     """Rounds of extract -> choose -> train -> evaluate; a round counts only if the score rises.
 
@@ -42,11 +56,10 @@ def loop(gold: DataFrame, extract: Callable, train: Callable, evaluate: Callable
     model = train(gold, None)
     best, n_gold = evaluate(model), gold.count()
     history = [{"round": 0, "score": best, "accepted": True, "model": model, "stop": None}]
-    base = negative_rate(gold).first().rate
     for k in range(1, rounds + 1):
         pseudo = pseudo_rows(extract(model, seed + k), most=int(max_ratio * n_gold), seed=seed + k)
-        got = negative_rate(pseudo).first()
-        if not got.n or abs(got.rate - base) > max_skew:
+        got = skewed(gold, pseudo, max_skew).first()
+        if got.stop:
             history.append({"round": k, "score": None, "accepted": False, "model": None, "stop": "skew" if got.n else "nothing passed"})
             break
         new = train(gold, pseudo)

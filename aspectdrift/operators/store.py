@@ -19,61 +19,105 @@ def first_wins(rows: DataFrame, key: Column, *order: str) -> DataFrame:
     return rows.withColumn("is_first", F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1)
 
 
-def dedup_key(hotel: Column, name: Column, iso_date: Column, pos: Column, neg: Column, forms: bool = True) -> Column:
-    return text.text_hash(F.concat_ws("|", hotel.cast("string"), F.coalesce(name, F.lit("None")), iso_date, pos, neg), forms)
-
-
 def leak_key(t: Column, forms: bool = True) -> Column:
     return F.substring(text.norm_text(t, forms), 1, LEAK_CHARS)
 
 
-def leak_flags(pool: DataFrame, gold: DataFrame, uid: str, gate: str, pos: str, neg: str, date: str | None = None, forms: bool = True) -> DataFrame:
-    """pool with in_gold: same gate and date as a gold row, or same gate and leading characters of pos, neg or both.
+def flagged(pool: DataFrame, gold: DataFrame, gate: str, keys: list[Column], date: str | None = None, forms: bool = True) -> DataFrame:
+    """pool with in_gold: same gate and date as a gold row, or same gate and one of the keys (null or empty ones match nothing).
 
-    gold(gate, text[, date]). The alternatives are separate equi-joins on full keys whose matching ids are put
-    together, so no candidate pair that shares only the gate is ever formed.
+    gold(gate, text[, date]). Every alternative is an equi-join on a full key that the row carries along, with a
+    distinct side, so rows neither multiply nor are read twice, and no pair that shares only the gate is formed.
     """
-    both = text.trim(F.concat_ws(" ", F.coalesce(pos, F.lit("")), F.coalesce(neg, F.lit(""))))
-    keys = gold.select(F.col(gate).alias("g"), leak_key(F.col("text"), forms).alias("k")).distinct()
-    tried = pool.select(F.col(uid).alias("u"), F.col(gate).alias("g"), F.explode(F.array_distinct(F.array(F.coalesce(F.col(pos), F.lit("")), F.coalesce(F.col(neg), F.lit("")), both))).alias("t")).where("t <> ''")
-    hits = tried.select("u", "g", leak_key(F.col("t"), forms).alias("k")).join(keys, ["g", "k"], "left_semi").select("u")
+    known = gold.select(F.col(gate).alias("__g"), leak_key(F.col("text"), forms).alias("__k")).where("__k <> ''").distinct()
+    sides = [(known, k) for k in keys]
     if date:
-        dates = gold.where(F.col(date).isNotNull()).select(F.col(gate).alias("g"), F.col(date).alias("d")).distinct()
-        hits = hits.union(pool.select(F.col(uid).alias("u"), F.col(gate).alias("g"), F.col(date).alias("d")).join(dates, ["g", "d"], "left_semi").select("u"))
-    return pool.join(hits.distinct(), F.col(uid) == F.col("u"), "left").withColumn("in_gold", F.col("u").isNotNull()).drop("u")
+        sides.append((gold.where(F.col(date).isNotNull()).select(F.col(gate).alias("__g"), F.col(date).alias("__k")).distinct(), F.col(date)))
+    out, marks = pool, []
+    for i, (side, key) in enumerate(sides):
+        side = side.withColumnsRenamed({"__g": f"__g{i}", "__k": f"__k{i}"})
+        out = out.withColumn(f"__own{i}", key).join(side, (F.col(gate) == F.col(f"__g{i}")) & (F.col(f"__own{i}") == F.col(f"__k{i}")), "left")
+        marks.append(F.col(f"__k{i}").isNotNull())
+    return out.withColumn("in_gold", reduce(Column.__or__, marks)).select(*pool.columns, "in_gold")
+
+
+def leak_flags(pool: DataFrame, gold: DataFrame, gate: str, pos: str, neg: str, date: str | None = None, forms: bool = True) -> DataFrame:
+    """pool with in_gold by the leading characters of the normalised pos, neg or both, or by date."""
+    normed = [text.norm_text(F.col(c), forms) for c in (pos, neg)]
+    rows = pool.withColumn("__pos", normed[0]).withColumn("__neg", normed[1])
+    return flagged(rows, gold, gate, _leak_keys(F.col("__pos"), F.col("__neg")), date, forms).drop("__pos", "__neg")
+
+
+def _leak_keys(pos: Column, neg: Column) -> list[Column]:
+    return [F.substring(k, 1, LEAK_CHARS) for k in (pos, neg, text.joined(pos, neg))]
+
+
+def gold_sides(meta: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """meta(hotel_id, source_review_id, text[, review_date]) and splits(source_review_id, split) -> gold rows with their
+    split, and (hotel_id, split) of hotels; splits are disjoint by hotel, so any of a hotel's reviews names its split."""
+    one = splits.groupBy("source_review_id").agg(F.max("split").alias("split"))
+    gold = meta.join(one, "source_review_id", "left")
+    return gold, gold.where("split IS NOT NULL").groupBy("hotel_id").agg(F.max("split").alias("split"))
 
 
 def status(reviews: DataFrame, window: tuple[str, str] = config.WINDOW, forms: bool = True) -> DataFrame:
-    """reviews (with line, the order they came in) with parsed columns and status: no_date, window, dup or kept."""
+    """reviews (with line, the order they came in) with parsed columns and status: no_date, window, dup or kept.
+
+    norm_pos and norm_neg are the normalised texts, made once; the deduplication key and leak keys are put together from them.
+    """
     rows = reviews.withColumn("d", parse.review_date(F.col("review_date")))
     rows = rows.withColumn("iso_date", F.col("d.iso_date")).withColumn("period", F.col("d.period")).drop("d")
-    rows = rows.withColumn("text_pos", text.nfc(F.col("review_positive"), forms)).withColumn("text_neg", text.nfc(F.col("review_negative"), forms))
+    for column, raw in (("pos", "review_positive"), ("neg", "review_negative")):
+        whole = F.coalesce(F.col(raw), F.lit(""))
+        rows = rows.withColumn("__f", text.unicode_forms(whole) if forms else F.struct(whole.alias("nfc"), whole.alias("nfkc")))
+        rows = rows.withColumn(f"text_{column}", text.trim(F.col("__f.nfc"))).withColumn(f"norm_{column}", text.words_only(F.col("__f.nfkc"))).drop("__f")
     early = F.when(F.col("iso_date").isNull(), "no_date").when(~F.col("period").between(*window), "window")
-    key = F.when(early.isNull(), dedup_key(F.col("hotel_id"), F.col("name"), F.col("iso_date"), F.col("text_pos"), F.col("text_neg"), forms))
+    named = text.norm_text(F.coalesce(F.col("name"), F.lit("None")), forms)
+    key = F.md5(text.joined(text.norm_text(F.col("hotel_id").cast("string"), forms), named, text.words_only(F.col("iso_date")), F.col("norm_pos"), F.col("norm_neg")))
     # Rows that left before take no part; their null keys are spread by line instead of meeting in one group.
-    rows = first_wins(rows, F.coalesce(key, F.concat(F.lit("line "), F.col("line").cast("string"))), "line")
+    rows = first_wins(rows, F.when(early.isNull(), key).otherwise(F.concat(F.lit("line "), F.col("line").cast("string"))), "line")
     return rows.withColumn("status", F.coalesce(early, F.when(F.col("is_first"), "kept").otherwise("dup"))).drop("is_first")
 
 
 def store(reviews: DataFrame, gold: DataFrame, hotel_split: DataFrame, window: tuple[str, str] = config.WINDOW, forms: bool = True) -> DataFrame:
     """The review store: one row a kept review, with strata, word count, flags and the hotel's split."""
-    kept = status(reviews, window, forms).where("status = 'kept'")
-    kept = leak_flags(kept, gold, "line", "hotel_id", "text_pos", "text_neg", "iso_date" if "iso_date" in gold.columns else None, forms)
-    kept = kept.join(hotel_split.select(F.col("hotel_id").alias("h"), F.col("split").alias("gold_split")), F.col("hotel_id") == F.col("h"), "left").drop("h")
+    return stored(status(reviews, window, forms), gold, hotel_split, forms)
+
+
+def stored(statuses: DataFrame, gold: DataFrame, hotel_split: DataFrame, forms: bool = True) -> DataFrame:
+    """The store from rows with their status."""
+    kept = statuses.where("status = 'kept'")
+    kept = flagged(kept, gold, "hotel_id", _leak_keys(F.col("norm_pos"), F.col("norm_neg")), "iso_date" if "iso_date" in gold.columns else None, forms)
+    kept = kept.join(hotel_split.select(F.col("hotel_id").alias("__h"), F.col("split").alias("gold_split")), F.col("hotel_id") == F.col("__h"), "left").drop("__h")
     n = text.word_count(F.concat_ws(" ", "text_pos", "text_neg"))
     photos = F.col("review_photo") if "review_photo" in kept.columns else F.lit(None).cast("map<string,string>")
+    urls = F.coalesce(F.map_keys(photos), F.array().cast("array<string>"))
+    stars = F.col("stars_rating").cast("double") if "stars_rating" in kept.columns else F.lit(None).cast("double")
     return kept.select(
         parse.review_uid(F.col("hotel_id"), F.col("iso_date"), F.col("line")).alias("review_uid"), "hotel_id", "iso_date", "period",
-        text.empty_to_null(F.col("text_pos")).alias("text_pos"), text.empty_to_null(F.col("text_neg")).alias("text_neg"), parse.score(F.col("review_score")).alias("score"),
+        text.empty_to_null(F.col("text_pos")).alias("text_pos"), text.empty_to_null(F.col("text_neg")).alias("text_neg"), parse.score(F.col("review_score")).alias("score"), stars.alias("stars_rating"),
         strata.country_bloc(F.col("country"), forms).alias("country_bloc"), strata.traveller_type(F.col("state"), forms).alias("traveller"), n.alias("n_words"),
         parse.nights(F.col("date")).alias("nights"), text.empty_to_null(text.nfc(F.col("room"), forms)).alias("room"), ((F.col("text_pos") != "") | (F.col("text_neg") != "")).alias("has_text"),
-        F.coalesce(F.size(F.map_keys(photos)) > 0, F.lit(False)).alias("has_photo"), F.coalesce(F.map_keys(photos), F.array().cast("array<string>")).alias("photo_urls"), "in_gold", "gold_split")
+        (F.size(urls) > 0).alias("has_photo"), urls.alias("photo_urls"), F.get(urls, F.lit(0)).alias("first_photo"), "in_gold", "gold_split")
 
 
 def counters(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def report(statuses: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of counters: what was read, dropped for each reason, kept, flagged and with text; from the statuses and the store."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    lost = statuses.agg(F.count("*").alias("read"), n("no_date").alias("drop_no_date"), n("window").alias("drop_window"), n("dup").alias("drop_dup"))
+    kept = rows.agg(F.count("*").alias("written"), F.count_if("in_gold").alias("flag_gold_leak"), F.count_if("has_text").alias("has_text"), F.count_if(~F.col("has_text")).alias("no_text"), F.count_distinct("hotel_id").alias("hotels"))
+    return lost.crossJoin(kept)  # one row each
+
+
+def hotel_counts(rows: DataFrame) -> DataFrame:
+    """(hotel_id, n): kept reviews of each hotel, those flagged as gold too."""
+    return rows.groupBy("hotel_id").agg(F.count("*").alias("n"))
+
+
 def cohorts(counts: DataFrame, hotel_split: DataFrame, specs: dict[str, dict] = config.COHORTS) -> DataFrame:
     """(cohort, hotel_id) from counts(hotel_id, n) and hotel_split(hotel_id, split); "all hotels" is no cohort but its absence."""
     rows = hotel_split.join(counts, "hotel_id", "left").select("hotel_id", "split", F.coalesce("n", F.lit(0)).alias("n"))
@@ -85,7 +129,3 @@ def units(reviews: DataFrame) -> DataFrame:
     """(review_uid, phi, text): the positive and the negative text of each review that isn't in gold; nulls are left out."""
     rows = reviews.where(~F.col("in_gold")).select("review_uid", F.expr("stack(2, 'POS', text_pos, 'NEG', text_neg) as (phi, text)"))
     return rows.where("text IS NOT NULL AND text <> ''")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aspectdrift.operators import aggregate, inference, series
-from aspectdrift.plans import drift
+from aspectdrift import config
+from aspectdrift.plans import drift, sql_parts
 from aspectdrift.plans.quad_view import SQL as QUADS
 from aspectdrift.plans.quad_view import quads
+from aspectdrift.plans.sql_parts import STATS
+from aspectdrift.sources.scratch import staged
 
 QUERIES, ORACLE = {}, {}
-N_PERM, N_BOOT, SEED = 20, 8, 7
+N_PERM, N_BOOT, SEED = config.PERMUTATIONS, 100, 7
 
 
 def r6(*names):
@@ -18,8 +21,8 @@ def r6(*names):
 
 
 def cells_once(spark, d, level="category"):
-    """The cell table, a few rows a period, kept: shares, references and dimensions all read it."""
-    return aggregate.cells(quads(spark, d), level).persist()
+    """The cell table, a few rows a period, written once: shares, references and dimensions all read it."""
+    return staged(aggregate.cells(quads(spark, d), level))
 
 
 def category_cells(spark, d):
@@ -48,17 +51,6 @@ vtot AS (SELECT *, sum(neg) OVER w / nullif(sum(total) OVER w, 0) AS nu0 FROM vg
 val AS (SELECT period, aspect, max(nu0) AS raw, sum(wref * (neg + 10.0e0 * nu0) / (total + 10.0e0)) / sum(wref) AS adj FROM vtot GROUP BY period, aspect)"""
 CLR = """logs AS (SELECT period, aspect, ln(greatest(raw, 1e-6)) - avg(ln(greatest(raw, 1e-6))) OVER (PARTITION BY period) AS clr_raw,
   ln(greatest(adj, 1e-6)) - avg(ln(greatest(adj, 1e-6))) OVER (PARTITION BY period) AS clr_adj FROM shares)"""
-#: From src(series_id, b, x, period, value), points in order x from 0, b a permutation: y, trend and split.
-STATS = """pts AS (SELECT *, count(*) OVER (PARTITION BY series_id, b) AS n FROM src),
-des AS (SELECT *, value - (avg(value) OVER (PARTITION BY series_id, b, substr(period, 6, 2)) - avg(value) OVER (PARTITION BY series_id, b)) AS y FROM pts WHERE n >= 12),
-cen AS (SELECT *, y - avg(y) OVER w AS v, x - avg(x) OVER w AS dx FROM des WINDOW w AS (PARTITION BY series_id, b)),
-fit AS (SELECT *, sum(v * dx) OVER w / sum(dx * dx) OVER w AS slope FROM cen WINDOW w AS (PARTITION BY series_id, b)),
-tr AS (SELECT series_id, b, max(n) AS n, max(slope) * 12 AS slope_per_year, max(slope) / sqrt(sum((v - slope * dx) * (v - slope * dx)) / (max(n) - 2) / sum(dx * dx)) AS t_stat FROM fit GROUP BY series_id, b),
-pre AS (SELECT *, sum(v) OVER p AS sl, sum(v * v) OVER p AS ql, sum(v) OVER w AS s, sum(v * v) OVER w AS q FROM cen
-  WINDOW w AS (PARTITION BY series_id, b), p AS (PARTITION BY series_id, b ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-wel AS (SELECT series_id, b, x, period, abs(sl / x - (s - sl) / (n - x)) / sqrt(greatest(ql - sl * sl / x, 0) / (x - 1) / x + greatest(q - ql - (s - sl) * (s - sl) / (n - x), 0) / (n - x - 1) / (n - x)) AS t
-  FROM pre WHERE x >= 4 AND x < n - 4),
-sp AS (SELECT series_id, b, max(t) AS split_t, arg_min(x, (-t, x)) AS split, arg_min(period, (-t, x)) AS changepoint FROM wel GROUP BY series_id, b)"""
 ADJ_SERIES = "src AS (SELECT aspect AS series_id, 0 AS b, row_number() OVER (PARTITION BY aspect ORDER BY period) - 1 AS x, period, clr_adj AS value FROM logs)"
 
 
@@ -183,14 +175,13 @@ def permutation_p(spark, d):
     return inference.permutation_p(_adj_series(spark, d), N_PERM, SEED).select("series_id", *r6("p_trend", "p_split"))
 
 
-BOOT = f"""rv AS (SELECT period, stratum, review_uid, category AS aspect, sum(w) AS w FROM quads WHERE w > 0 AND (phi = 'NEG' OR sentiment = 'negative') GROUP BY ALL),
-rr AS (SELECT *, row_number() OVER (PARTITION BY period, stratum ORDER BY review_uid) - 1 AS i, count(*) OVER (PARTITION BY period, stratum) AS n FROM (SELECT DISTINCT period, stratum, review_uid FROM rv)),
-dr AS (SELECT b, period, stratum, CAST(floor(CAST('0x' || substr(md5('{SEED}|' || b || '|' || period || '|' || stratum || '|' || i), 1, 8) AS BIGINT) / 4294967296.0e0 * n) AS BIGINT) AS i
-  FROM rr CROSS JOIN (SELECT unnest(range(1, {N_BOOT} + 1)) AS b)),
-bc AS (SELECT b, d.period, d.stratum, v.aspect, sum(v.w) AS w FROM dr d JOIN rr r ON r.period = d.period AND r.stratum = d.stratum AND r.i = d.i
-  JOIN rv v ON v.period = r.period AND v.stratum = r.stratum AND v.review_uid = r.review_uid GROUP BY ALL),
-ref AS (SELECT stratum, sum(complaint) / (SELECT sum(complaint) FROM cells) AS wref FROM cells GROUP BY stratum),
-bg AS (SELECT p.b, p.period, r.stratum, r.wref, a.aspect, coalesce(bc.w, 0) AS w FROM (SELECT DISTINCT b, period FROM bc) p CROSS JOIN ref r CROSS JOIN (SELECT DISTINCT aspect FROM cells) a
+def boot(replicates, seed, quads_="quads", cells="cells"):
+    """SQL up to src: each review counts as often as a Poisson draw from the hash of seed, replicate and review says."""
+    return f"""rv AS (SELECT period, stratum, review_uid, category AS aspect, sum(w) AS w FROM {quads_} WHERE w > 0 AND (phi = 'NEG' OR sentiment = 'negative') GROUP BY ALL),
+dr AS (SELECT *, {sql_parts.poisson("u")} AS times FROM (SELECT *, CAST('0x' || substr(md5('{seed}|' || ((b - 1) // 4) || '|' || review_uid), CAST(8 * ((b - 1) % 4) + 1 AS BIGINT), 8) AS BIGINT) / 4294967296.0e0 AS u FROM rv CROSS JOIN (SELECT unnest(range(1, {replicates} + 1)) AS b))),
+bc AS (SELECT b, period, stratum, aspect, sum(times * w) AS w FROM dr WHERE times > 0 GROUP BY ALL),
+bref AS (SELECT stratum, sum(complaint) / (SELECT sum(complaint) FROM {cells}) AS wref FROM {cells} GROUP BY stratum),
+bg AS (SELECT p.b, p.period, r.stratum, r.wref, a.aspect, coalesce(bc.w, 0) AS w FROM (SELECT DISTINCT b, period FROM bc) p CROSS JOIN bref r CROSS JOIN (SELECT DISTINCT aspect FROM {cells}) a
   LEFT JOIN bc ON bc.b = p.b AND bc.period = p.period AND bc.stratum = r.stratum AND bc.aspect = a.aspect),
 bt AS (SELECT *, sum(w) OVER (PARTITION BY b, period, stratum) AS n_st, sum(w) OVER (PARTITION BY b, period, aspect) AS pooled, sum(w) OVER (PARTITION BY b, period) AS all_w FROM bg),
 ba AS (SELECT b, period, aspect, sum(wref * (w + 30.0e0 * pooled / all_w) / (n_st + 30.0e0)) AS adj FROM bt GROUP BY ALL),
@@ -198,7 +189,10 @@ bl AS (SELECT b, period, aspect, ln(greatest(s, 1e-6)) - avg(ln(greatest(s, 1e-6
 src AS (SELECT aspect AS series_id, b, row_number() OVER (PARTITION BY aspect, b ORDER BY period) - 1 AS x, period, v AS value FROM bl)"""
 
 
-@query("bootstrap_ci", f"""{CAT}, {BOOT}, {STATS}, o AS (SELECT series_id AS aspect, list_sort(list(slope_per_year)) AS s FROM tr GROUP BY series_id)
+INTERVALS = "SELECT series_id AS aspect, list_sort(list(slope_per_year)) AS s FROM tr GROUP BY series_id"
+
+
+@query("bootstrap_ci", f"""{CAT}, {boot(N_BOOT, SEED)}, {STATS}, o AS ({INTERVALS})
 SELECT aspect, round(s[CAST(floor(0.025 * len(s)) AS INT) + 1], 6) AS lo, round(s[CAST(floor(0.975 * len(s)) AS INT) + 1], 6) AS hi FROM o""")
 def bootstrap_ci(spark, d):
     rows, cell = quads(spark, d), cells_once(spark, d)
@@ -228,8 +222,8 @@ def bh_fdr(spark, d):
 SELECT grid, CAST(m AS BIGINT) AS grid_size, round(1 / 201.0e0, 6) AS p_floor, CAST(ceil(m / 0.05e0) - 1 AS BIGINT) AS n_perm_min, m / 201.0e0 <= 0.05e0 AS single_effect_reachable,
   CAST(ceil(1 / 201.0e0 * m / 0.05e0) AS BIGINT) AS min_simultaneous FROM m""")
 def fdr_diagnostics(spark, d):
-    rows = [(r.grid, *inference.diagnostics(r["count"], 200).values()) for r in _p_of_parts(spark, d).groupBy("grid").count().collect()]
-    return spark.createDataFrame(rows, "grid string, grid_size long, p_floor double, n_perm_min long, single_effect_reachable boolean, min_simultaneous long").withColumn("p_floor", F.round("p_floor", 6))
+    grids = _p_of_parts(spark, d).groupBy("grid").agg(F.count("*").alias("m"))
+    return grids.select("grid", *inference.diagnostic_columns(F.col("m"), 200)).withColumn("p_floor", F.round("p_floor", 6))
 
 
 @query("verdicts", """WITH c AS (SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS rs, p_partkey % 2 = 0 AS s,
@@ -249,11 +243,30 @@ def seasonal_amplitude(spark, d):
     return series.seasonal_amplitude(_adj_series(spark, d)).select("series_id", *r6("amplitude"))
 
 
-@query("drift_report")
+RUN = f"WITH {QUADS}, rq AS (SELECT 0 AS run, * FROM quads)"
+REPORTED = f"{RUN}, {sql_parts.drift()}"
+
+
+@query("drift_report", f"{REPORTED} SELECT {sql_parts.REPORT} FROM rep")
 def drift_report(spark, d):
     return drift.drift(quads(spark, d), "category")
 
 
-@query("drift_report_bootstrap")
+_BOOT = sql_parts.renamed(f"{boot(N_BOOT, config.SEED, 'rq', 'cells')}, {STATS}", "b_", "src pts des cen fit tr pre wel sp")
+
+
+@query("drift_report_bootstrap", f"""{REPORTED}, {_BOOT}, o AS ({INTERVALS.replace(" tr ", " b_tr ")})
+SELECT {sql_parts.REPORT}, CASE WHEN channel = 'adj' THEN round(s[CAST(floor(0.025 * len(s)) AS INT) + 1], 4) END AS lo, CASE WHEN channel = 'adj' THEN round(s[CAST(floor(0.975 * len(s)) AS INT) + 1], 4) END AS hi FROM rep LEFT JOIN o USING (aspect)""")
 def drift_report_bootstrap(spark, d):
-    return drift.drift(quads(spark, d), "category", n_boot=10)
+    return drift.drift(quads(spark, d), "category", n_boot=N_BOOT)
+
+
+@query("verdict_counts", f"{REPORTED} SELECT verdict, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT aspect, verdict FROM rep) GROUP BY verdict")
+def verdict_counts(spark, d):
+    return inference.verdict_counts(drift.drift(quads(spark, d), "category"))
+
+
+@query("outside_taxonomy", f"WITH {QUADS} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (NOT starts_with(taxonomy_code, 'S')) AS BIGINT) AS outside FROM quads")
+def outside_taxonomy(spark, d):
+    known = {f"{t}_{k}": t for t in ("STANDARD", "SMALL") for k in range(5)}
+    return aggregate.outside(aggregate.with_taxonomy(quads(spark, d), known))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aspectdrift import config
 from aspectdrift.operators import aggregate, inference, series
+from aspectdrift.sources.scratch import staged
 
 
 def channels(cell: DataFrame, prior_share: float = config.PRIOR_SHARE, prior_valence: float = config.PRIOR_VALENCE) -> DataFrame:
@@ -30,9 +33,11 @@ def drift(
     """One row an aspect and channel: slope, t, split, p-values, q, significant, and the verdicts of the aspect.
 
     cohort(hotel_id) restricts the hotels; None means all, and a cohort without rows is an error. recall
-    (sentiment, length_bin, rho), if given, divides the weights. final refuses permutation counts that can't
-    show a single effect.
+    (sentiment, length_bin, rho), if given, divides the weights. final refuses to run without recall and with
+    permutation counts that can't show a single effect; fewer than twice those are warned about.
     """
+    if final and recall is None:
+        raise ValueError("a final run needs a recall table")
     if cohort is not None:
         if cohort.isEmpty():
             raise ValueError("the cohort has no hotel")
@@ -42,11 +47,11 @@ def drift(
 
         quads = quads.withColumn("__w", aggregate.weight(quads)).withColumn("length_bin", length_bin(F.col("n_words")))
         quads = quads.join(recall, ["sentiment", "length_bin"], "left").withColumn("w", F.col("__w") / F.coalesce("rho", F.lit(1.0))).drop("__w", "rho", "length_bin")
-    cell = aggregate.cells(quads, level).persist()
+    cell = staged(aggregate.cells(quads, level))
     if cell.isEmpty():
         raise ValueError("no quad with a weight and a code of the taxonomy")
     rows = channels(cell, prior_share, prior_valence).withColumn("series_id", F.concat_ws("|", "aspect", "channel"))
-    rows = rows.select("aspect", "channel", "series_id", "period", "value").persist()
+    rows = staged(rows.select("aspect", "channel", "series_id", "period", "value"))
     stats = series.statistics(rows).join(inference.permutation_p(rows, n_perm, seed), "series_id")
     name = F.split("series_id", r"\|")
     stats = stats.select(
@@ -54,9 +59,12 @@ def drift(
         "changepoint", F.bround("split_t", 2).alias("split_t"), F.bround("p_trend", 5).alias("p_perm"), F.bround("p_split", 5).alias("p_perm_changepoint"),
         F.when(name[1].isin("adj", "val_adj"), "adj").otherwise("raw").alias("grid"))
     m = rows.where(F.col("channel").isin("adj", "val_adj") & F.col("value").isNotNull()).groupBy("series_id").count().where(F.col("count") >= series.LEAST_POINTS).count()
-    if final and not inference.diagnostics(m, n_perm, alpha)["single_effect_reachable"]:
+    told = inference.diagnostics(m, n_perm, alpha)
+    if final and not told["single_effect_reachable"]:
         raise ValueError(f"{n_perm} permutations can't show a single effect among {m} hypotheses")
-    stats = inference.fdr(stats, "p_perm").withColumn("significant", F.col("q") <= alpha).withColumn("q", F.bround("q", 5))
+    if told["margin"] < 2:
+        warnings.warn(f"{n_perm} permutations for {m} hypotheses: a single effect needs {told['n_perm_min']}, twice that is safe", stacklevel=2)
+    stats = inference.fdr(stats, "p_perm").withColumn("significant", F.col("q") <= alpha).withColumn("q", F.round(F.round("q", 9), 5))
     by = Window.partitionBy("aspect")
     of = lambda c, column: F.max(F.when(F.col("channel") == c, F.col(column))).over(by)
     v = lambda r, a: inference.verdict(of(r, "significant"), of(a, "significant"), of(r, "slope_per_year"), of(a, "slope_per_year"))

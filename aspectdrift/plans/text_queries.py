@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from aspectdrift import config
 from aspectdrift.functions import parse, strata, text
 from aspectdrift.operators import codec, evaluate, inject, lexicon, posterior, reliability, sampling, selftrain, store
-from aspectdrift.plans import harness
+from aspectdrift.plans import harness, sql_parts
 from aspectdrift.plans.quad_view import SQL as QUADS
 from aspectdrift.plans.quad_view import quads
+from aspectdrift.sources.scratch import folder, staged
 
 QUERIES, ORACLE = {}, {}
 SEED = 7
@@ -48,10 +50,11 @@ SELECT k, iso AS iso_date, substr(iso, 1, 7) AS period, CASE WHEN (k % 13) + (k
   o_custkey || '_' || replace(iso, '-', '') || '_' || lpad(CAST(k AS VARCHAR), 8, '0') AS uid FROM o""")
 def parse_dates_scores(spark, d):
     k, t = F.col("o_orderkey"), F.col("o_orderdate")
-    raw = F.when(k % 6 == 0, F.concat(F.lit("Ngày đánh giá: ngày "), F.dayofmonth(t), F.lit(" tháng "), F.month(t), F.lit(" năm "), F.year(t))).when(k % 6 == 1, F.date_format(t, "yyyy-MM-dd"))
+    gap = F.when(k % 12 == 0, "\u00a0").otherwise(" ")  # blanks of any kind count
+    raw = F.when(k % 6 == 0, F.concat(F.lit("Ngày đánh giá: ngày"), gap, F.dayofmonth(t), gap, F.lit("tháng"), gap, F.month(t), gap, F.lit("năm"), gap, F.year(t))).when(k % 6 == 1, F.date_format(t, "yyyy-MM-dd"))
     raw = raw.when(k % 6 == 2, F.date_format(t, "d/M/yyyy")).when(k % 6 == 4, "ngày 40 tháng 1 năm 2020").when(k % 6 == 5, "không rõ")
     rows = _t(spark, d, "orders").select(k.alias("k"), "o_custkey", parse.review_date(raw).alias("d"), parse.score(F.concat(F.lit("Đạt điểm "), k % 13, F.lit(","), k % 10)).alias("score"),
-                                         parse.nights(F.concat(k % 30, F.lit(" đêm · Tháng 2/2025"))).cast("long").alias("nights"))
+                                         parse.nights(F.concat(k % 30, gap, F.lit("đêm · Tháng 2/2025"))).cast("long").alias("nights"))
     uid = F.when(F.col("d").isNotNull(), parse.review_uid(F.col("o_custkey"), F.col("d.iso_date"), F.col("k")))
     return rows.select("k", F.col("d.iso_date").alias("iso_date"), F.col("d.period").alias("period"), F.round("score", 6).alias("score"), "nights", uid.alias("uid"))
 
@@ -69,19 +72,38 @@ SELECT p.doc_id, g.k IS NOT NULL AS in_gold FROM p LEFT JOIN g ON g.lang = p.lan
 def gold_leak_flags(spark, d):
     docs, labels = _t(spark, d, "documents").select("doc_id", "lang", "text"), _t(spark, d, "labels")
     pool = docs.join(labels, "doc_id", "left_anti").withColumn("neg", F.lit(""))
-    return store.leak_flags(pool, docs.join(labels, "doc_id", "left_semi"), "doc_id", "lang", "text", "neg").select("doc_id", "in_gold")
+    return store.leak_flags(pool, docs.join(labels, "doc_id", "left_semi"), "lang", "text", "neg").select("doc_id", "in_gold")
 
 
 def _reviews(spark, d):
-    n = F.col("n_chars")
+    """Documents as raw reviews: dates, countries, travellers, names and photos follow from other columns; a third of the texts are negative."""
+    n, k = F.col("n_chars"), F.col("doc_id")
     date = F.when(n % 11 != 0, F.concat(F.lit("ngày "), n % 28 + 1, F.lit(" tháng "), n % 12 + 1, F.lit(" năm "), F.lit(2021) + n % 5))
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("line"), F.col("lang").alias("hotel_id"), F.lit(None).cast("string").alias("name"), date.alias("review_date"), F.col("text").alias("review_positive"), F.lit(None).cast("string").alias("review_negative"),
-                                            F.lit("Đạt điểm 9,0").alias("review_score"), F.lit("Pháp").alias("country"), F.lit("Nhóm").alias("state"), F.lit("2 đêm").alias("date"), F.lit(None).cast("string").alias("room"))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    photo = F.when(k % 4 == 0, F.create_map(F.concat(F.lit("https://a/"), k), F.lit("x"), F.concat(F.lit("https://b/"), k), F.lit("y")))
+    return _t(spark, d, "documents").select(
+        k.alias("line"), F.col("lang").alias("hotel_id"), F.when(n % 3 == 0, "Ann").alias("name"), date.alias("review_date"), F.when(n % 3 != 1, F.col("text")).alias("review_positive"),
+        F.when(n % 3 == 1, F.col("text")).when(n % 3 == 2, F.col("source")).alias("review_negative"), F.lit("Đạt điểm 9,0").alias("review_score"), pick(["Pháp", "Việt Nam", " Nhật Bản", None]).alias("country"),
+        pick(["Nhóm", "Cặp đôi", "x", None, "Khách lẻ"]).alias("state"), F.lit("2 đêm").alias("date"), F.when(k % 5 == 0, "  ").otherwise(" Phòng\u00a0").alias("room"), photo.alias("review_photo"), (n % 6).alias("stars_rating"))
+
+
+def _gold(spark, d):
+    """(gold with text and, of a tenth, a date; hotels' splits): labelled documents as the gold reviews."""
+    n = F.col("n_chars")
+    date = F.when((F.col("doc_id") % 10 == 0) & (n % 11 != 0), F.concat_ws("-", F.lit(2021) + n % 5, F.lpad((n % 12 + 1).cast("string"), 2, "0"), F.lpad((n % 28 + 1).cast("string"), 2, "0")))
+    meta = _t(spark, d, "documents").join(_t(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("lang").alias("hotel_id"), F.col("doc_id").alias("source_review_id"), "text", date.alias("iso_date"))
+    splits = _t(spark, d, "labels").select(F.col("doc_id").alias("source_review_id")).distinct().join(_t(spark, d, "documents").select(F.col("doc_id").alias("source_review_id"), "lang"), "source_review_id")
+    return store.gold_sides(meta, splits.where("lang IN ('en', 'fr')").select("source_review_id", F.when(F.col("lang") == "en", "train").otherwise("test").alias("split")))
 
 
-REVIEWS = f"""r AS (SELECT doc_id, lang, text, CASE WHEN n_chars % 11 <> 0 THEN (2021 + n_chars % 5) || '-' || lpad(CAST(n_chars % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(n_chars % 28 + 1 AS VARCHAR), 2, '0') END AS iso FROM documents),
+REVIEWS = f"""iso AS (SELECT *, CASE WHEN n_chars % 11 <> 0 THEN (2021 + n_chars % 5) || '-' || lpad(CAST(n_chars % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(n_chars % 28 + 1 AS VARCHAR), 2, '0') END AS iso FROM documents),
+r AS (SELECT *, CASE WHEN n_chars % 3 <> 1 THEN trim(text, E' \t\n\r') ELSE '' END AS pos, CASE n_chars % 3 WHEN 1 THEN trim(text, E' \t\n\r') WHEN 2 THEN source ELSE '' END AS neg FROM iso),
 k AS (SELECT *, CASE WHEN iso IS NULL THEN 'no_date' WHEN substr(iso, 1, 7) NOT BETWEEN '2022-03' AND '2025-02' THEN 'window' END AS early FROM r),
-s AS (SELECT *, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY early, {NORM.format("lang || '|None|' || iso || '|' || text || '|'")} ORDER BY doc_id) = 1 THEN 'kept' ELSE 'dup' END) AS status FROM k)"""
+s AS (SELECT *, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY early, {NORM.format("lang || '|' || CASE WHEN n_chars % 3 = 0 THEN 'Ann' ELSE 'None' END || '|' || iso || '|' || pos || '|' || neg")} ORDER BY doc_id) = 1 THEN 'kept' ELSE 'dup' END) AS status FROM k),
+gold AS (SELECT lang, substr({NORM.format('text')}, 1, 120) AS key, CASE WHEN doc_id % 10 = 0 THEN iso END AS iso FROM iso SEMI JOIN labels USING (doc_id)),
+keyed AS MATERIALIZED (SELECT *, substr({NORM.format('pos')}, 1, 120) AS kp, substr({NORM.format('neg')}, 1, 120) AS kn, substr({NORM.format("pos || ' ' || neg")}, 1, 120) AS kb FROM s WHERE status = 'kept'),
+st AS MATERIALIZED (SELECT *, {" OR ".join(f"EXISTS (SELECT 1 FROM gold g WHERE g.lang = keyed.lang AND g.key <> '' AND g.key = {k})" for k in ("kp", "kn", "kb"))}
+  OR EXISTS (SELECT 1 FROM gold g WHERE g.lang = keyed.lang AND g.iso = keyed.iso) AS in_gold FROM keyed)"""
 
 
 @query("store_counters", f"WITH {REVIEWS} SELECT status, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY status")
@@ -89,14 +111,33 @@ def store_counters(spark, d):
     return store.counters(store.status(_reviews(spark, d)))
 
 
-@query("store_rows", f"""WITH {REVIEWS} SELECT lang || '_' || replace(iso, '-', '') || '_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS review_uid, substr(iso, 1, 7) AS period, 9.0e0 AS score, 'WEST' AS bloc, 'Nhóm' AS traveller,
-  CAST(2 AS BIGINT) AS nights, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS n_words, EXISTS (SELECT 1 FROM documents g JOIN labels USING (doc_id) WHERE g.lang = s.lang AND substr({NORM.format('g.text')}, 1, 120) = substr({NORM.format('s.text')}, 1, 120)) AS in_gold,
-  CASE lang WHEN 'en' THEN 'train' WHEN 'fr' THEN 'test' END AS gold_split FROM s WHERE status = 'kept'""")
+def _store(spark, d):
+    return store.store(_reviews(spark, d), *_gold(spark, d))
+
+
+@query("store_rows", f"""WITH {REVIEWS} SELECT lang || '_' || replace(iso, '-', '') || '_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS review_uid, substr(iso, 1, 7) AS period, 9.0e0 AS score, CASE n_chars % 4 WHEN 0 THEN 'WEST' WHEN 1 THEN 'VN' WHEN 2 THEN 'ASIA' ELSE 'OTH' END AS bloc,
+  CASE n_chars % 5 WHEN 0 THEN 'Nhóm' WHEN 1 THEN 'Cặp đôi' WHEN 4 THEN 'Khách lẻ' ELSE 'NA' END AS traveller, CAST(2 AS BIGINT) AS nights, CAST(len(regexp_extract_all(pos || ' ' || neg, '\\S+')) AS BIGINT) AS n_words, in_gold,
+  CASE lang WHEN 'en' THEN 'train' WHEN 'fr' THEN 'test' END AS gold_split, pos <> '' OR neg <> '' AS has_text, md5(nullif(pos, '')) AS pos_md5, md5(nullif(neg, '')) AS neg_md5, CASE WHEN doc_id % 5 <> 0 THEN 'Phòng' END AS room,
+  doc_id % 4 = 0 AS has_photo, CASE WHEN doc_id % 4 = 0 THEN 'https://a/' || doc_id || ',https://b/' || doc_id ELSE '' END AS photos, CASE WHEN doc_id % 4 = 0 THEN 'https://a/' || doc_id END AS first_photo, CAST(n_chars % 6 AS DOUBLE) AS stars FROM st""")
 def store_rows(spark, d):
-    gold = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left_semi").select(F.col("lang").alias("hotel_id"), "text")
-    split = spark.createDataFrame([("en", "train"), ("fr", "test")], "hotel_id string, split string")
-    rows = store.store(_reviews(spark, d), gold, split)
-    return rows.select("review_uid", "period", "score", F.col("country_bloc").alias("bloc"), "traveller", F.col("nights").cast("long").alias("nights"), F.col("n_words").cast("long").alias("n_words"), "in_gold", "gold_split")
+    return _store(spark, d).select(
+        "review_uid", "period", "score", F.col("country_bloc").alias("bloc"), "traveller", F.col("nights").cast("long").alias("nights"), F.col("n_words").cast("long").alias("n_words"), "in_gold", "gold_split", "has_text",
+        F.md5("text_pos").alias("pos_md5"), F.md5("text_neg").alias("neg_md5"), "room", "has_photo", F.array_join("photo_urls", ",").alias("photos"), "first_photo", F.col("stars_rating").alias("stars"))
+
+
+@query("store_report", f"""WITH {REVIEWS}, a AS (SELECT count(*) AS "read", count(*) FILTER (status = 'no_date') AS drop_no_date, count(*) FILTER (status = 'window') AS drop_window, count(*) FILTER (status = 'dup') AS drop_dup FROM s)
+SELECT CAST("read" AS BIGINT) AS "read", CAST(drop_no_date AS BIGINT) AS drop_no_date, CAST(drop_window AS BIGINT) AS drop_window, CAST(drop_dup AS BIGINT) AS drop_dup, CAST(count(*) AS BIGINT) AS written, CAST(count(*) FILTER (in_gold) AS BIGINT) AS flag_gold_leak,
+  CAST(count(*) FILTER (pos <> '' OR neg <> '') AS BIGINT) AS has_text, CAST(count(*) FILTER (pos = '' AND neg = '') AS BIGINT) AS no_text, CAST(count(DISTINCT lang) AS BIGINT) AS hotels FROM st, a GROUP BY ALL""")
+def store_report(spark, d):
+    statuses = staged(store.status(_reviews(spark, d)))
+    return store.report(statuses, store.stored(statuses, *_gold(spark, d)))
+
+
+@query("store_cohorts", f"""WITH {REVIEWS}, h AS (SELECT * FROM (VALUES ('en', 'train'), ('fr', 'test')) t(lang, split)), c AS (SELECT h.lang, split, count(st.lang) AS n FROM h LEFT JOIN st USING (lang) GROUP BY ALL)
+SELECT 'dense' AS cohort, lang AS hotel_id FROM c WHERE n >= 100 UNION ALL SELECT 'unbiased', lang FROM c WHERE split = 'test'""")
+def store_cohorts(spark, d):
+    counts = store.hotel_counts(_store(spark, d))
+    return store.cohorts(counts, _gold(spark, d)[1], {"dense": {"min_pool": 100, "split": None}, "unbiased": {"min_pool": 0, "split": "test"}})
 
 
 @query("cohorts", """WITH c AS (SELECT CAST(s_suppkey AS VARCHAR) AS hotel_id, CASE WHEN s_suppkey % 10 < 7 THEN 'train' WHEN s_suppkey % 10 < 9 THEN 'dev' ELSE 'test' END AS split, count(l_orderkey) AS n
@@ -123,18 +164,13 @@ def strata_bins(spark, d):
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), st.alias("s")).select("id", "s.*")
 
 
-@query("unpivot_units", """SELECT doc_id AS review_uid, 'POS' AS phi, substr(text, 1, 20) AS text FROM documents ANTI JOIN labels USING (doc_id) WHERE doc_id % 3 <> 0 AND substr(text, 1, 20) <> ''
-UNION ALL SELECT doc_id, 'NEG', source FROM documents ANTI JOIN labels USING (doc_id) WHERE doc_id % 2 = 0""")
+@query("unpivot_units", """SELECT doc_id AS review_uid, 'POS' AS phi, md5(text) AS text_md5 FROM documents ANTI JOIN labels USING (doc_id) WHERE text <> ''
+UNION ALL SELECT doc_id, 'NEG', md5(source) FROM documents ANTI JOIN labels USING (doc_id) WHERE source <> ''""")
 def unpivot_units(spark, d):
-    docs = _t(spark, d, "documents").join(_t(spark, d, "labels").select("doc_id", F.lit(True).alias("g")), "doc_id", "left")
-    return store.units(docs.select(F.col("doc_id").alias("review_uid"), F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 20)).alias("text_pos"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("text_neg"), F.coalesce("g", F.lit(False)).alias("in_gold")))
-
-
-@query("unpivot_units_whole")
-def unpivot_units_whole(spark, d):
-    """unpivot_units over the whole text and the source of every document without a label."""
+    """The whole text and the source of every document without a label."""
     docs = _t(spark, d, "documents").join(_t(spark, d, "labels").select("doc_id", F.lit(True).alias("g")).distinct(), "doc_id", "left")
-    return store.units(docs.select(F.col("doc_id").alias("review_uid"), F.col("text").alias("text_pos"), F.col("source").alias("text_neg"), F.coalesce("g", F.lit(False)).alias("in_gold")))
+    rows = store.units(docs.select(F.col("doc_id").alias("review_uid"), F.col("text").alias("text_pos"), F.col("source").alias("text_neg"), F.coalesce("g", F.lit(False)).alias("in_gold")))
+    return rows.select("review_uid", "phi", F.md5("text").alias("text_md5"))
 
 
 # ---------------------------------------------------------------- posterior
@@ -173,7 +209,7 @@ def _segments(spark, d):
     rows = quads(spark, d).groupBy("review_uid").agg(F.sort_array(F.collect_list(one)).alias("q"))
     term = lambda q: F.when(q["line"] % 4 == 0, None).when(q["line"] % 4 == 1, F.concat(q["aspect_term"], F.lit(" | & <quad>"))).otherwise(q["aspect_term"])
     made = F.transform("q", lambda q: F.struct(term(q).alias("aspect_term"), q["taxonomy_code"].alias("taxonomy_code"), q["opinion_term"].alias("opinion_term"), q["sentiment"].alias("sentiment")))
-    return rows.select(F.col("review_uid").alias("instance_id"), F.col("review_uid").alias("source_review_id"), F.lit("t").alias("text"), made.alias("quads"))
+    return rows.select(F.col("review_uid").alias("instance_id"), F.col("review_uid").alias("source_review_id"), F.concat_ws(" ", F.transform("q", lambda q: q["aspect_term"])).alias("text"), made.alias("quads"))
 
 
 @query("codec_linearize", f"""WITH {QUADS} SELECT review_uid AS instance_id, string_agg('<quad> ' || coalesce({ESC.format(TERM)}, 'NULL') || ' | ' || taxonomy_code || ' | ' || {ESC.format('opinion_term')} || ' | ' || sentiment || ' </quad>', ' '
@@ -182,10 +218,22 @@ def codec_linearize(spark, d):
     return codec.training_rows(_segments(spark, d)).select("instance_id", "target", F.col("n_quads").cast("long").alias("n_quads"))
 
 
-@query("codec_parse", f"""WITH {QUADS} SELECT taxonomy_code, category, sentiment, line % 4 = 0 AS implicit, CAST(count(*) AS BIGINT) AS n, CAST(sum(length({TERM})) AS BIGINT) AS chars FROM quads GROUP BY ALL""")
+def _spoiled(spark, d):
+    """Targets as a model may write them: blanks of all kinds around fields, raw bars inside terms, unknown codes, lost fields."""
+    rows, k = quads(spark, d), F.col("line")
+    fields = F.concat(F.lit("<quad>\t"), F.col("aspect_term"), F.when(k % 4 == 1, " | more").otherwise(""), F.lit(" |\u00a0"), F.when(k % 7 == 3, "NO_CODE").otherwise(F.col("taxonomy_code")), F.lit("\t| "),
+                      F.col("opinion_term"), F.when(k % 4 == 2, " |x").otherwise(""), F.when(k % 7 == 5, "").otherwise(F.concat(F.lit(" |\n"), F.col("sentiment"))), F.lit("\u3000</quad>"))
+    return rows.withColumn("target", fields)
+
+
+@query("codec_parse", f"""WITH {QUADS} SELECT taxonomy_code, category, sentiment, CAST(count(*) AS BIGINT) AS n,
+  md5(string_agg(aspect_term || CASE WHEN line % 4 = 1 THEN ' | more' ELSE '' END || '/' || opinion_term || CASE WHEN line % 4 = 2 THEN ' | x' ELSE '' END, ';' ORDER BY review_uid, line, part, aspect_term, opinion_term)) AS terms
+FROM quads WHERE line % 7 <> 3 AND line % 7 <> 5 GROUP BY ALL""")
 def codec_parse(spark, d):
-    rows = codec.training_rows(_segments(spark, d)).select(F.explode(codec.parse_linearized(F.col("target"), TAXONOMY)).alias("q")).select("q.*")
-    return rows.groupBy("taxonomy_code", F.col("aspect_category").alias("category"), "sentiment", F.col("aspect_implicit").alias("implicit")).agg(F.count("*").alias("n"), F.sum(F.length("aspect_term")).cast("long").alias("chars"))
+    rows = _spoiled(spark, d).select("review_uid", "line", "part", F.explode(codec.parse_linearized(F.col("target"), TAXONOMY)).alias("q")).select("review_uid", "line", "part", "q.*")
+    one = F.struct("review_uid", "line", "part", "aspect_term", "opinion_term")
+    by = rows.groupBy("taxonomy_code", F.col("aspect_category").alias("category"), "sentiment").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(one)).alias("t"))
+    return by.select("taxonomy_code", "category", "sentiment", "n", F.md5(F.array_join(F.transform("t", lambda x: F.concat_ws("/", x["aspect_term"], x["opinion_term"])), ";")).alias("terms"))
 
 
 @query("codec_roundtrip", f"WITH {QUADS} SELECT CAST(count(*) AS BIGINT) AS n_quads, CAST(count(*) AS BIGINT) AS n_parsed FROM quads")
@@ -241,7 +289,7 @@ def pseudo_label_selection(spark, d):
 
 
 def _unit_quads(spark, d):
-    return quads(spark, d).withColumn("p_posterior", F.col("w")).withColumn("text", F.lit("t")).withColumn("ord", F.col("line"))
+    return quads(spark, d).withColumn("p_posterior", F.col("w")).withColumn("text", F.col("aspect_term")).withColumn("ord", F.col("line"))
 
 
 @query("skew_guard", f"WITH {QUADS} SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN sentiment = 'negative' THEN 1.0e0 ELSE 0 END), 6) AS rate FROM quads WHERE conf_seq >= 0.95 AND w >= 0.93")
@@ -307,19 +355,42 @@ def inject_shuffle(spark, d):
     return inject.shuffle(quads(spark, d), SEED).groupBy("review_uid", "period").agg(F.count("*").alias("n"))
 
 
-@query("composition_test")
+CONFIG_SEED = str(config.SEED)
+
+
+def _shuffled(seed, run):
+    """SQL of shuffled quads, as inject.shuffle makes them; quads and their reviews in hash order are at hand as q and a."""
+    return f"""SELECT {run} AS run, q.* REPLACE (b.period AS period) FROM quads q JOIN a ON a.review_uid = q.review_uid
+  JOIN (SELECT period, row_number() OVER (ORDER BY md5('{seed}|' || review_uid), review_uid) AS k FROM r) b ON b.k = a.k"""
+
+
+SHUFFLE = f"WITH {QUADS}, r AS (SELECT review_uid, min(period) AS period FROM quads GROUP BY review_uid), a AS (SELECT review_uid, row_number() OVER (ORDER BY md5(review_uid), review_uid) AS k FROM r)"
+
+
+@query("composition_test", f"""{SHUFFLE}, sq AS ({_shuffled(config.SEED, 0)}), p AS (SELECT period, dense_rank() OVER (ORDER BY period) - 1 AS i FROM (SELECT DISTINCT period FROM sq)), m AS (SELECT max(i) AS m FROM p),
+rq AS (SELECT sq.* FROM sq JOIN p USING (period), m WHERE {sql_parts.uniform(f"'{config.SEED + 1}'", *KEY)} < CASE WHEN bloc = 'ASIA' THEN 1.0e0 - 0.8e0 * (i / m) ELSE 0.2e0 + 0.8e0 * (i / m) END),
+{sql_parts.drift()}, c AS (SELECT CAST(count(*) FILTER (significant AND channel IN ('adj', 'val_adj')) AS BIGINT) AS n_adj, CAST(count(*) FILTER (significant AND channel IN ('raw', 'val_raw')) AS BIGINT) AS n_raw FROM rep)
+SELECT n_adj, n_raw, CASE WHEN n_adj > 0 THEN 'FAIL' WHEN n_raw > 0 THEN 'PASS' ELSE 'INCONCLUSIVE' END AS outcome FROM c""")
 def composition_test(spark, d):
     return harness.composition_test(quads(spark, d), F.col("bloc") == "ASIA", KEY, level="category")
 
 
-@query("valence_sweep")
+DELTAS = (0.02, 0.05, 0.10, 0.20)
+SWEPT = " UNION ALL ".join(f"SELECT {i} AS run, * REPLACE (CASE WHEN taxonomy_code = 'SMALL_1' AND period >= '1998-06' AND sentiment = 'positive' AND {sql_parts.uniform(f"'{config.SEED + i}'", *KEY)} < {x} THEN 'negative' ELSE sentiment END AS sentiment) FROM quads" for i, x in enumerate(DELTAS))
+NEAR = "abs((substr(changepoint, 1, 4)::INT - 1998) * 12 + substr(changepoint, 6, 2)::INT - 6) <= 3"
+
+
+@query("valence_sweep", f"""WITH {QUADS}, rq AS ({SWEPT}), {sql_parts.drift("taxonomy_code", channels=("adj", "val_adj"))}
+SELECT CAST({list(DELTAS)}[run + 1] AS DOUBLE) AS delta, max((channel = 'val_adj' AND significant)::INT) = 1 AS significant, max((channel = 'val_adj' AND significant AND {NEAR})::INT) = 1 AS detected, max(CASE WHEN channel = 'val_adj' THEN changepoint END) AS changepoint,
+  max((channel = 'adj' AND significant AND {NEAR})::INT) = 1 AS prevalence_detected FROM rep WHERE aspect = 'SMALL_1' GROUP BY run""")
 def valence_sweep(spark, d):
-    return harness.valence_sweep(quads(spark, d), "SMALL_1", "1998-06", KEY)
+    return harness.valence_sweep(quads(spark, d), "SMALL_1", "1998-06", KEY, DELTAS)
 
 
-@query("shuffle_control")
+@query("shuffle_control", f"""{SHUFFLE}, rq AS ({" UNION ALL ".join(_shuffled(config.SEED + i, i) for i in range(5))}), {sql_parts.drift(seed=f"{config.SEED} + run", channels=("adj", "val_adj"))},
+m AS (SELECT avg(f) AS mean_rate FROM (SELECT run, avg(significant::INT) AS f FROM rep GROUP BY run)) SELECT 5 AS repeats, round(mean_rate, 9) AS mean_rate, CASE WHEN mean_rate <= 0.1 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM m""")
 def shuffle_control(spark, d):
-    return harness.shuffle_control(quads(spark, d), level="category")
+    return harness.shuffle_control(quads(spark, d), level="category").withColumn("mean_rate", F.round("mean_rate", 9))
 
 
 # ---------------------------------------------------------------- weights
@@ -346,16 +417,22 @@ def attach_images(spark, d):
     return reliability.attach_images(quads(spark, d), images).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("ipw_weights")
+@query("ipw_weights", f"""WITH {QUADS}, data AS MATERIALIZED (SELECT category, ln(1 + n_words) AS f0, CASE WHEN part % 3 <> 0 THEN part % 10 ELSE 8.7e0 END AS f1, CAST(part % 3 = 0 OR n_words > 30 AS DOUBLE) AS y, 1.0e0 AS w FROM quads),
+{sql_parts.newton(2)} SELECT category, round(avg(1 / least(greatest(1 / (1 + exp(-(b0 * f0 + b1 * f1 + b2))), 0.02e0), 1)), 6) AS mean_ipw, CAST(count(*) AS BIGINT) AS n FROM data, nr14 GROUP BY category""")
 def ipw_weights(spark, d):
     rows = _scored(spark, d).withColumn("has_photo", (F.col("part") % 3 == 0) | (F.col("n_words") > 30))
-    return reliability.ipw(rows).groupBy("category").agg(F.round(F.avg("ipw"), 4).alias("mean_ipw"), F.count("*").alias("n"))
+    return reliability.ipw(rows).groupBy("category").agg(F.round(F.avg("ipw"), 6).alias("mean_ipw"), F.count("*").alias("n"))
+
 
+SOFT = "conf_seq AS f0, w AS f1, CAST(phi = 'POS' AS DOUBLE) AS f2, ln(1 + n_words) AS f3, CAST(phi = 'POS' AND sentiment = 'negative' AS DOUBLE) AS f4"
 
-@query("soft_label_bridge")
+
+@query("soft_label_bridge", f"""WITH {QUADS}, data AS MATERIALIZED (SELECT {SOFT}, 1.0e0 AS y, conf_seq AS w FROM quads UNION ALL SELECT {SOFT}, 0.0e0, 1 - conf_seq FROM quads),
+{sql_parts.newton(5)}, named AS (SELECT unnest({[*reliability.FEATURES, "intercept"]}) AS feature, unnest([b0, b1, b2, b3, b4, b5]) AS c FROM nr14) SELECT feature, round(c, 5) AS coefficient FROM named""")
 def soft_label_bridge(spark, d):
     w, b = reliability.fit_bridge(_scored(spark, d).withColumn("v_image", F.col("conf_seq")), weight=None)
-    return spark.createDataFrame([(n, float(x)) for n, x in zip([*reliability.FEATURES, "intercept"], [*w, b], strict=True)], "feature string, coefficient double")
+    rows = spark.createDataFrame([(n, float(x)) for n, x in zip([*reliability.FEATURES, "intercept"], [*w, b], strict=True)], "feature string, coefficient double")
+    return rows.withColumn("coefficient", F.round("coefficient", 5))
 
 
 @query("spearman_gate", """WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0e0 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0e0 AS b FROM part)
@@ -417,16 +494,11 @@ def cosine_to_centroid(spark, d):
 # ---------------------------------------------------------------- sources, streams
 
 
-def _scratch(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/aspectdrift"
-    return f"{base.rstrip('/')}/query-{uuid.uuid4().hex}"
-
-
 @query("jsonl_roundtrip", "SELECT doc_id, lang, n_chars, md5(text) AS text_md5 FROM documents")
 def jsonl_roundtrip(spark, d):
     from aspectdrift.sources import jsonl
 
-    docs, path = _t(spark, d, "documents"), _scratch(spark)
+    docs, path = _t(spark, d, "documents"), folder(spark) + "/table"
     jsonl.write_jsonl(docs, path)
     return jsonl.read_jsonl(spark, path, docs.schema).select("doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"))
 
@@ -439,5 +511,5 @@ def stream_cells(spark, d):
     # A stream reads a folder; here the one that holds the table, by the table's name.
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    cells.run_available(cells.windowed(stream, "ts", ["event_type"], "value"), name, _scratch(spark))
+    cells.run_available(cells.windowed(stream, "ts", ["event_type"], "value"), name, folder(spark) + "/table")
     return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,14 +31,40 @@ def write_jsonl(df: DataFrame, path: str, gzip: bool = True) -> int:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """A result of a few rows as one JSON file; non-ASCII text is kept as it is."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+    """A result of a few rows as one JSON document, a list of objects, in the single file `path`; non-ASCII text is kept as it is."""
+    rows = [json.loads(r) for r in report.toJSON().collect()]
+    jvm = report.sparkSession.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(report.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(json.dumps(rows, ensure_ascii=False, indent=2).encode()))
+    out.close()
+
+
+def read_report(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Rows of a report written by write_report."""
+    return read_lookup(spark, path, schema)
+
+
+def write_generated(units: DataFrame, generate: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, path: str) -> int:
+    """Write what a model makes of units, batch by batch as it runs, as gzipped JSON lines; returns the number of rows."""
+    return write_jsonl(units.mapInPandas(generate, schema), path)
 
 
-def with_line(df: DataFrame, start: int = 1) -> DataFrame:
-    """Adds line, counting rows in file order from start; file sources keep their order of splits."""
-    indexed = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + start))
-    return df.sparkSession.createDataFrame(indexed, StructType([*df.schema.fields]).add("line", "long"))
+def with_line(df: DataFrame, start: int = 1, column: str = "line") -> DataFrame:
+    """df with the number of each row, counted from start in order of partitions; a column of that name is replaced.
+
+    Rows are numbered inside their partition, and partitions add the counts of those before them.
+    """
+    numbered = df.withColumn(column, F.monotonically_increasing_id())
+    counts = numbered.groupBy(F.shiftright(column, 33).alias("__p")).agg(F.count("*").alias("__n"))  # a row a partition
+    before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    rows = numbered.join(F.broadcast(before), F.shiftright(column, 33) == F.col("__p"))
+    return rows.withColumn(column, F.col(column).bitwiseAND(F.lit((1 << 33) - 1).cast("long")) + F.col("__before") + start).select(*[c for c in df.columns if c != column], column)
+
+
+def head(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows in order of partitions; no more partitions are read than it takes."""
+    return df.limit(n)
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
@@ -57,3 +87,14 @@ def load_model(spark: SparkSession, path: str, features: list[str]) -> tuple[lis
     if list(row.features) != list(features):
         raise ValueError(f"the model was fitted on {row.features}, not {features}")
     return list(row.coefficients), row.intercept
+
+
+def publish_model(spark: SparkSession, path: str, coefficients: list[float], intercept: float, features: list[str], verdict: str) -> str:
+    """Save under `path` with GO; otherwise beside it, and take away what stood there, so no one uses it. Returns where it is."""
+    if verdict == "GO":
+        save_model(spark, path, coefficients, intercept, features, verdict)
+        return path
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    save_model(spark, f"{path}.refused", coefficients, intercept, features, verdict)
+    return f"{path}.refused"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aspectdrift import config
 from aspectdrift.functions import calendar, parse, strata, text
-from aspectdrift.operators import aggregate, codec, evaluate, inference, inject, posterior, reliability, sampling, selftrain, series, store
+from aspectdrift.operators import aggregate, codec, evaluate, inference, inject, lexicon, posterior, reliability, sampling, selftrain, series, store
 from aspectdrift.plans import drift, harness
 from aspectdrift.sources import jsonl
 
@@ -219,7 +219,7 @@ def test_leak_flags_match_nested_loops(spark):
     words = ["phòng sạch", "bể bơi", "x" * 150, "ok", ""]
     pool = [(i, rng.choice("ab"), rng.choice(words), rng.choice(words), f"2022-0{rng.randrange(1, 9)}-01") for i in range(120)]
     gold = [(rng.choice("ab"), rng.choice(words) + " " + rng.choice(words), f"2022-0{rng.randrange(1, 4)}-01") for _ in range(3)]
-    got = store.leak_flags(spark.createDataFrame(pool, "i int, hotel string, pos string, neg string, d string"), spark.createDataFrame(gold, "hotel string, text string, d string"), "i", "hotel", "pos", "neg", "d")
+    got = store.leak_flags(spark.createDataFrame(pool, "i int, hotel string, pos string, neg string, d string"), spark.createDataFrame(gold, "hotel string, text string, d string"), "hotel", "pos", "neg", "d")
     key = lambda s: " ".join(s.split())[:120]
     for r in got.collect():
         want = any(h == r.hotel and (d == r.d or any(t and key(t) == key(g) for t in (r.pos, r.neg, f"{r.pos} {r.neg}".strip()))) for h, g, d in gold)
@@ -350,3 +350,113 @@ def test_cli_runs_a_step_once(spark, tmp_path):
     go = lambda **kw: cli.run(spark, "drift", f"file://{tmp_path}/quads", f"file://{tmp_path}/out", n_perm=19, **kw)
     assert go() and not go() and go(force=True)
     assert spark.read.parquet(f"{tmp_path}/out").where("channel = 'val_adj'").count() == 1
+
+
+# ---------------------------------------------------------------- parsing of any script, fits, ranks, models
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("ngày\u00a05 tháng\u20036\u00a0năm\u30002024", "2024-06-05"), ("ngày ٥ tháng ٦ năm ٢٠٢٤", "2024-06-05"), ("２０２４-０６-０５", "2024-06-05"), ("5\u00a0/6/2024", None), ("ngày5 tháng 6 năm 2024", None),
+])
+def test_dates_with_any_blanks_and_digits(spark, raw, want):
+    assert one(spark, parse.review_date(F.lit(raw))["iso_date"]) == want
+
+
+def test_nights_and_scores_of_any_script(spark):
+    assert one(spark, parse.nights(F.lit("2\u00a0đêm"))) == 2 and one(spark, parse.nights(F.lit("١٢ đêm"))) == 12 and one(spark, parse.score(F.lit("Đạt điểm ９,５"))) == 9.5
+
+
+def test_fields_with_any_blanks(spark):
+    got = one(spark, codec.parse_linearized(F.lit("<quad> a |\tAM_POOL\t|\u00a0b | positive\n</quad>")))
+    assert [(q.aspect_term, q.taxonomy_code, q.opinion_term, q.sentiment) for q in got] == [("a", "AM_POOL", "b", "positive")]
+
+
+def test_logistic_fit_is_the_minimum(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((400, 3))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [1.5, -2, 0] + 0.3)))).astype(float)
+    w = rng.random(400) + 0.1
+    table = spark.createDataFrame([(*map(float, r), float(a), float(b)) for r, a, b in zip(x, y, w, strict=True)], "a double, b double, c double, y double, w double")
+    coefficients, bias = reliability.fit_logistic(table, ["a", "b", "c"], "y", "w")
+    p = 1 / (1 + np.exp(-(x @ coefficients + bias)))
+    slope = x.T @ (w * (p - y)) + coefficients
+    assert np.abs(slope).max() < 1e-6 and abs((w * (p - y)).sum()) < 1e-6
+    with pytest.raises(ValueError, match="one class"):
+        reliability.fit_logistic(table.withColumn("y", F.lit(1.0)), ["a"], "y")
+
+
+def test_ranks_and_areas_match_plain_sorting(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(40), rng.gauss(0, 1) if k % 3 else float(rng.randrange(5)), rng.randrange(2), "hot" if k % 4 else "b") for k in range(600)]
+    table = spark.createDataFrame(rows, "a int, s double, y int, slice string")
+    ranks = lambda v: [sum(u < x for u in v) + (sum(u == x for u in v) + 1) / 2 for x in v]
+    ra, rs = ranks([r[0] for r in rows]), ranks([r[1] for r in rows])
+    ma, ms = sum(ra) / 600, sum(rs) / 600
+    rho = sum((p - ma) * (q - ms) for p, q in zip(ra, rs, strict=True)) / (sum((p - ma) ** 2 for p in ra) * sum((q - ms) ** 2 for q in rs)) ** 0.5
+    got = evaluate.spearman(table, "a", "s").first()
+    assert got.n == 600 and got.rho == pytest.approx(rho)
+    for r in evaluate.auc(table, "s", "y", "slice").collect():
+        own = [x for x in rows if x[3] == r.slice]
+        pos, neg = [x[1] for x in own if x[2]], [x[1] for x in own if not x[2]]
+        assert r.auc == pytest.approx(sum((p > q) + (p == q) / 2 for p in pos for q in neg) / len(pos) / len(neg)) and r.n == len(own)
+    assert evaluate.gate(table.limit(10), "a", "s", 30, -1.0).first().verdict == "NO-GO"
+    assert evaluate.spearman(table.limit(0), "a", "s").first().n == 0 and evaluate.auc(table.where("y = 1"), "s", "y").first().auc is None
+
+
+def test_audit_takes_the_last_mark(spark):
+    quads_ = spark.createDataFrame([("u", 1), ("v", 2), ("w", 3)], "quad_uid string, x int")
+    audit = spark.createDataFrame([("u", 0, 1), ("u", 1, 2), ("v", None, 1), ("z", 1, 1)], "quad_uid string, correct int, at int")
+    assert [(r.quad_uid, r.correct) for r in reliability.audited(quads_, audit, "at").collect()] == [("u", 1)]
+
+
+def test_review_of_a_quad(spark):
+    for name, want in (("r1_Q2", "r1"), ("a_Q1_Q12", "a_Q1"), ("r_Q1Q2", "r"), ("none", "none")):
+        assert one(spark, reliability.review_of(F.lit(name))) == want
+
+
+def test_refused_models_take_the_live_one_away(spark, tmp_path):
+    path = f"file://{tmp_path}/bridge"
+    assert jsonl.publish_model(spark, path, [1.0], 0.5, ["f"], "GO") == path and jsonl.load_model(spark, path, ["f"]) == ([1.0], 0.5)
+    assert jsonl.publish_model(spark, path, [2.0], 0.5, ["f"], "NO-GO") == path + ".refused"
+    assert not (tmp_path / "bridge").exists() and jsonl.load_model(spark, path + ".refused", ["f"]) is None
+
+
+def test_lines_are_numbered_in_order(spark, tmp_path):
+    rows = jsonl.with_line(spark.range(0, 1000, 1, 7).withColumn("line", F.lit("old")))
+    assert [(r.id, r.line) for r in rows.orderBy("line").collect()] == [(k, k + 1) for k in range(1000)] and rows.columns == ["id", "line"]
+    n = jsonl.write_generated(spark.range(50), lambda it: (b.assign(text="é") for b in it), "id long, text string", f"file://{tmp_path}/made")
+    assert n == 50 and jsonl.read_jsonl(spark, f"file://{tmp_path}/made", "id long, text string").where("text = 'é'").count() == 50
+    assert jsonl.head(spark.range(100), 3).count() == 3
+
+
+def test_extractor_and_enrichment(spark):
+    units = spark.createDataFrame([("u", "POS", "The pool and the food"), ("v", "NEG", "No food, no pools"), ("w", "POS", None)], "review_uid string, phi string, text string")
+    got = lexicon.extract(units, {"AM_POOL": ["pool"], "AM_FOOD": ["food", "the food"]})
+    assert sorted((r.review_uid, r.taxonomy_code, r.aspect_term, r.sentiment) for r in got.collect()) == [("u", "AM_FOOD", "the food", "positive"), ("u", "AM_POOL", "pool", "positive"), ("v", "AM_FOOD", "food", "negative")]
+    rows = {r.review_uid + r.taxonomy_code: r for r in posterior.enriched(got).collect()}
+    assert rows["vAM_FOOD"].sentiment == "negative" and not rows["vAM_FOOD"].p_model_exact and rows["uAM_POOL"].conf_seq == 1.0 and not rows["uAM_POOL"].provenance_flip
+
+
+def test_poisson_draws_have_mean_and_variance_one(spark):
+    r = spark.range(20000).select(inference.poisson_times((F.col("id") + 0.5) / 20000).alias("k")).agg(F.avg("k").alias("m"), F.var_pop("k").alias("v")).first()
+    assert r.m == pytest.approx(1, abs=1e-3) and r.v == pytest.approx(1, abs=1e-2)
+
+
+def test_final_runs_need_recall_and_permutations(spark):
+    from aspectdrift.plans.drift import drift
+
+    none = spark.createDataFrame([], "hotel_id string")
+    with pytest.raises(ValueError, match="recall"):
+        drift(none, final=True)
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from aspectdrift.sources import scratch
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://a:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.folder(fake)

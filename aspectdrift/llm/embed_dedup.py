@@ -337,7 +337,7 @@ def _links(d: DataFrame, rows: int, threshold: float, reach: float, block: int,
 
 
 def near_vectors(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, reach: float = 0.215, block: int = 2048, most: int = 4096,
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, reach: float = 0.215, block: int = 512, most: int = 4096,
 ) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept. reach is a share of the code's bits."""
     rows, distinct = nodes(vectors, id_col, vec_col)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aspectdrift.plans import core_queries, model_queries
+from aspectdrift.plans import core_queries, model_queries, signal_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = core_queries.QUERIES | model_queries.QUERIES
-ORACLE_SQL: dict[str, str] = core_queries.ORACLE | model_queries.ORACLE
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = core_queries.QUERIES | model_queries.QUERIES | signal_queries.QUERIES
+ORACLE_SQL: dict[str, str] = core_queries.ORACLE | model_queries.ORACLE | signal_queries.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

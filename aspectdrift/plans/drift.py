@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aspectdrift import config
+from aspectdrift.functions.strata import length_bin
 from aspectdrift.operators import aggregate, inference, series
 from aspectdrift.sources.scratch import staged
 
 
+def recalled(quads: DataFrame, recall: DataFrame) -> DataFrame:
+    """quads with weights divided by how often quads of their sentiment and length are found: recall(sentiment, length_bin, rho)."""
+    rows = quads.withColumn("__w", aggregate.weight(quads)).withColumn("length_bin", length_bin(F.col("n_words")))
+    return rows.join(recall, ["sentiment", "length_bin"], "left").withColumn("w", F.col("__w") / F.coalesce("rho", F.lit(1.0))).drop("__w", "rho", "length_bin")
+
+
 def channels(cell: DataFrame, prior_share: float = config.PRIOR_SHARE, prior_valence: float = config.PRIOR_VALENCE) -> DataFrame:
     """(aspect, channel, period, value): raw and adj are log-ratios of complaint shares, val_raw and val_adj valences.
 
@@ -43,10 +50,7 @@ def drift(
             raise ValueError("the cohort has no hotel")
         quads = quads.join(cohort.select("hotel_id").distinct(), "hotel_id", "left_semi")
     if recall is not None:
-        from aspectdrift.functions.strata import length_bin
-
-        quads = quads.withColumn("__w", aggregate.weight(quads)).withColumn("length_bin", length_bin(F.col("n_words")))
-        quads = quads.join(recall, ["sentiment", "length_bin"], "left").withColumn("w", F.col("__w") / F.coalesce("rho", F.lit(1.0))).drop("__w", "rho", "length_bin")
+        quads = recalled(quads, recall)
     cell = staged(aggregate.cells(quads, level))
     if cell.isEmpty():
         raise ValueError("no quad with a weight and a code of the taxonomy")

@@ -6,12 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aspectdrift import config
+from aspectdrift.functions.strata import length_bin, months_apart
+from aspectdrift.functions.text import uniform
 from aspectdrift.operators import inject
 from aspectdrift.plans.drift import drift
 
 _ADJ, _RAW = ("adj", "val_adj"), ("raw", "val_raw")
 
 
+# Terms that make a quad, the share of negative quads, and what a month adds to it for one code.
+SMOKE_TERMS = {"AM_FOOD": "breakfast", "FAC_ROOM": "room", "AM_WIFI": "wifi", "SER_ATTITUDE": "staff", "AM_POOL": "pool"}
+SMOKE_CODE, SMOKE_BASE, SMOKE_SLOPE = "AM_FOOD", 0.35, 0.012
+
+
+def smoke_quads(reviews: DataFrame, seed: int = config.SEED, window: tuple[str, str] = config.WINDOW) -> DataFrame:
+    """Quads with a known trend out of the negative texts of a store: one for each term that occurs in one, its
+    sentiment drawn; only SMOKE_CODE turns more negative month by month."""
+    low = F.lower("text_neg")
+    found = F.filter(F.array(*[F.struct(F.lit(c).alias("taxonomy_code"), F.contains(low, F.lit(t)).alias("hit")) for c, t in SMOKE_TERMS.items()]), lambda x: x["hit"])
+    rows = reviews.where(F.col("period").between(*window)).withColumn("taxonomy_code", F.explode(F.transform(found, lambda x: x["taxonomy_code"])))
+    month = months_apart(F.col("period"), F.lit(window[0]))
+    chance = F.lit(SMOKE_BASE) + F.when(F.col("taxonomy_code") == SMOKE_CODE, month * SMOKE_SLOPE).otherwise(0.0)
+    draw = lambda k: uniform(seed + k, F.col("review_uid"), F.col("taxonomy_code"))
+    rows = rows.withColumn("sentiment", F.when(draw(0) < chance, "negative").otherwise("positive"))
+    return rows.select(
+        "review_uid", "hotel_id", "period", F.concat_ws("|", "country_bloc", "traveller", length_bin(F.col("n_words"))).alias("stratum"), F.when(F.col("sentiment") == "negative", "NEG").otherwise("POS").alias("phi"),
+        "taxonomy_code", "sentiment", (0.6 + 0.39 * draw(1)).alias("conf_seq"), F.lit(1.0).alias("w"), "n_words", F.lit(0.9).alias("p_posterior"), F.lit(False).alias("provenance_flip"))
+
+
 def composition_test(quads: DataFrame, home: Column, key: tuple[str, ...], seed: int = config.SEED, **run) -> DataFrame:
     """One row: over shuffled periods with a shifting mix of strata nothing adjusted may be significant.
 

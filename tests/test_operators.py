@@ -460,3 +460,38 @@ def test_scratch_folder_must_be_shared_on_a_cluster():
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://a:7077"))
     with pytest.raises(ValueError, match="checkpoint"):
         scratch.folder(fake)
+
+
+def raw_reviews(spark, n=1500):
+    """Reviews of all months of the window, two hotels, some without date, some twice."""
+    rng, rows = random.Random(8), []
+    words = ["the breakfast", "our room", "wifi", "the staff", "a pool", "noise"]
+    for k in range(n):
+        y, m = divmod(2 + k % 36, 12)
+        date = None if k % 97 == 0 else f"ngày {k % 28 + 1} tháng {m + 1} năm {2022 + y}"
+        rows.append((f"h{k % 2}", f"guest {k}", date, " ".join(rng.sample(words, 2)) + " was fine", " and ".join(rng.sample(words, 3)) + " were bad", "Đạt điểm 9,0", rng.choice(["Pháp", "Việt Nam"]), "Nhóm", "2 đêm", None))
+    schema = "hotel_id string, name string, review_date string, review_positive string, review_negative string, review_score string, country string, state string, date string, room string"
+    return spark.createDataFrame([*rows, *rows[:50]], schema)
+
+
+def test_all_steps_from_raw_reviews_to_verdicts(spark, tmp_path):
+    from aspectdrift import cli
+
+    raw_reviews(spark).repartition(3).write.parquet(f"{tmp_path}/raw")
+    spark.createDataFrame([("h0", "r1", "the breakfast was fine"), ("h1", "r2", "x")], "hotel_id string, source_review_id string, text string").write.parquet(f"{tmp_path}/meta")
+    spark.createDataFrame([("r1", "train"), ("r2", "test")], "source_review_id string, split string").write.parquet(f"{tmp_path}/splits")
+    terms = [("breakfast", "AM_FOOD"), ("room", "FAC_ROOM"), ("staff", "SER_ATTITUDE"), ("pool", "AM_POOL")]
+    spark.createDataFrame([x for x in terms for _ in range(4)], "aspect_term string, taxonomy_code string").write.parquet(f"{tmp_path}/quads")
+    engine = config.EngineConfig(level="category", permutations=19, work_dir=f"file://{tmp_path}/work")
+    go = lambda: cli.run_all(spark, f"file://{tmp_path}/raw", engine, f"file://{tmp_path}/quads", gold=f"file://{tmp_path}/meta", splits=f"file://{tmp_path}/splits")
+    assert all(go().values()) and not any(go().values())
+    read = lambda name: spark.read.parquet(engine.table(name))
+    assert read("store").count() == 1500 - 16 and read("drift").where("channel = 'adj'").count() == 3 and read("verdicts").count() >= 1
+    assert read("audit").count() > 0 and read("weights").where("w_source = 'conf_seq' AND w > 0").count() == read("extract").count()
+    report = f"file://{tmp_path}/report.json"
+    assert cli.run(spark, "store-report", f"file://{tmp_path}/raw", report, gold=f"file://{tmp_path}/meta", splits=f"file://{tmp_path}/splits")
+    got = spark.read.option("multiLine", True).json(report).first()
+    assert (got.read, got.drop_no_date, got.drop_dup, got.written) == (1550, 17, 49, 1484)
+    quads_ = harness.smoke_quads(read("store"))
+    late, early = (quads_.where(f"taxonomy_code = 'AM_FOOD' AND {c}").agg(F.avg((F.col("sentiment") == "negative").cast("double"))).first()[0] for c in ("period > '2024-08'", "period < '2022-09'"))
+    assert late > early + 0.15 and quads_.select("taxonomy_code").distinct().count() == 5

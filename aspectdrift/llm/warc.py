@@ -3,7 +3,9 @@
 A bundle is a row of independent Zstandard frames, each with whole WARC/1.1 records up to about
 `frame_bytes`, and a last skippable frame: the seek table with every frame's compressed and plain size. An
 index row maps a record's identifier to its bundle, frame and offset inside the plain frame, so
-a record is read by decompressing one frame. Equal payloads of at least `least` bytes are stored once:
+a record is read by decompressing one frame. Bundles begin with a warcinfo record; a response's block is an HTTP
+response whose body is the payload. Identifiers follow from the page id, or from the place too where an id repeats
+or is null, so each names one record. Equal payloads of at least `least` bytes are stored once:
 the smallest page id is the response, the others are revisit records without a block.
 
 Tasks write bundles of their own, named by task attempt, to any file system that Arrow opens; an index row
@@ -32,34 +34,61 @@ from aspectdrift.llm.common import scratch_dir, staged
 # Fixed values of the seekable format.
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
+#: Revisits and rows of repeated ids, about 60 bytes each, that are sent to all executors; more are joined by their key.
+MOST_SENT = 500_000
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_at long, frame_size long, offset long, length long"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, place: str | None = None) -> str:
+    """The name of a page's record; with place, that of one of several records of a repeated or null id."""
+    name = f"page:{page_id}" if place is None else f"page:{page_id}:{place}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record; with refers_to a revisit, whose block is empty."""
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+
+
+def info(bundle: str) -> bytes:
+    """The record that a bundle begins with."""
+    block = b"format: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n"
+    head = [
+        "WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, bundle)}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Filename: {posixpath.basename(bundle)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", "",
+    ]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, name: str | None = None, named: bool = True) -> bytes:
+    """One WARC record: a response, whose block is the payload behind an HTTP head, or with refers_to a revisit without a block.
+
+    named: whether the id of the page referred to names one record only.
+    """
     revisit = refers_to is not None
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"X-Payload-Length: {len(payload)}", "Content-Type: text/html",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name or record_id(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response",
     ]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if url:
         head.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
-    block = b"" if revisit else payload
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        if named:
+            head.append(f"WARC-Refers-To: {record_id(refers_to)}")
+    block = b"" if revisit else HTTP % len(payload) + payload
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def payload_of(block: bytes) -> bytes:
+    """What stands behind the HTTP head of a response."""
+    return block[block.index(b"\r\n\r\n") + 4 :]
+
+
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers (lower-case names), block, and where the next record starts."""
     stop = data.index(b"\r\n\r\n", at)
@@ -136,14 +165,17 @@ def _writer(folder: str, frame_bytes: int, bundle_bytes: int, level: int):
 
         size = 0
         for batch in batches:
-            for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, url, html, refers, own, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     bundle = f"{folder}/{name}-{number:04d}.warc.zst"
                     system, path = _file_system(bundle)
                     system.create_dir(posixpath.dirname(path), recursive=True)
-                    out, size = system.open_output_stream(path, compression=None), 0
-                data = record(page, url, html or b"", refers)
-                rows.append((page, record_id(page), size, len(data)))
+                    out = system.open_output_stream(path, compression=None)
+                    plain.append(info(bundle))
+                    size = len(plain[0])
+                rid = record_id(page) if own else record_id(page, f"{bundle}:{len(frames)}:{size}")
+                data = record(page, url, html or b"", refers, rid, named)
+                rows.append((page, rid, size, len(data)))
                 plain.append(data)
                 size += len(data)
                 if size >= frame_bytes:
@@ -164,12 +196,18 @@ def archive(
 ) -> DataFrame:
     """Write the bundles to folder (a URI); returns their index, staged, one row a record."""
     html = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("sha"))
-    sums = staged(rows.select("page_id", "sha", F.octet_length("html").alias("n")).distinct())
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.unhex(F.sha2(html, 256)).alias("sha"))
+    sums = staged(rows.groupBy("page_id", "sha", F.octet_length("html").alias("n")).agg(F.count("*").alias("c")))
     first = sums.where(F.col("n") >= least).groupBy("sha").agg(F.min("page_id").alias("first")).withColumnRenamed("sha", "s")
-    # Only rows that do revisit are joined, by their own id and digest: no hot key meets the payloads.
-    again = sums.join(first, F.col("sha") == F.col("s")).where("first IS NOT NULL AND NOT page_id <=> first").select(F.col("page_id").alias("p"), "s", "first")
-    dealt = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left").select("page_id", "url", "html", F.col("first").alias("refers_to"))
+    many = sums.groupBy("page_id").agg(F.sum("c").alias("rows")).where("page_id IS NULL OR rows > 1").select(F.col("page_id").alias("m"))
+    # Only rows that revisit or whose id doesn't name them alone need a mark; few are sent to all, so payloads stay where they are.
+    marks = sums.join(first, F.col("sha") == F.col("s"), "left").withColumn("first", F.expr("CASE WHEN NOT page_id <=> first THEN first END"))
+    marks = marks.join(many, F.col("page_id").eqNullSafe(F.col("m")), "left").withColumn("own", F.expr("NOT (page_id IS NULL OR m IS NOT NULL)")).where("first IS NOT NULL OR NOT own")
+    marks = marks.select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "first", "own").join(many.select(F.col("m").alias("f")), F.col("first") == F.col("f"), "left")
+    marks = staged(marks.select("p", "s", "first", "own", F.col("f").isNull().alias("named")))
+    marks = F.broadcast(marks) if marks.count() <= MOST_SENT else marks
+    dealt = rows.join(marks, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left")
+    dealt = dealt.select("page_id", "url", "html", F.col("first").alias("refers_to"), F.coalesce("own", F.lit(True)).alias("own"), F.coalesce("named", F.lit(True)).alias("named"))
     return staged(dealt.mapInArrow(_writer(folder, frame_bytes, bundle_bytes, level), INDEX))
 
 
@@ -188,14 +226,18 @@ def _reader(batches):
                     while place < len(data):
                         head, block, after = parse(data, place)
                         kind = head["warc-type"]
+                        place, at_ = after, place
+                        if kind == "warcinfo":
+                            continue
+                        payload = payload_of(block) if kind == "response" else b""
                         digest = head["warc-payload-digest"].removeprefix("sha1:")
-                        if kind == "response" and payload_digest(block) != digest:
-                            raise ValueError(f"payload of {bundle} frame {k} offset {place} doesn't match its digest")
+                        if kind == "response" and payload_digest(payload) != digest:
+                            raise ValueError(f"payload of {bundle} frame {k} offset {at_} doesn't match its digest")
                         page, refers = head.get("x-page-id"), head.get("x-refers-to-page")
-                        n = len(block) if kind == "response" else int(head["x-payload-length"])
-                        rows.append((page and int(page), n, digest, kind, refers and int(refers), bundle, k, place))
-                        place = after
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        n = len(payload) if kind == "response" else int(head["x-payload-length"])
+                        rows.append((page and int(page), n, digest, kind, refers and int(refers), bundle, k, at_))
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def records(index: DataFrame) -> DataFrame:
@@ -206,14 +248,14 @@ def records(index: DataFrame) -> DataFrame:
 
 
 def read_record(bundle: str, frame_at: int, frame_size: int, offset: int) -> tuple[dict[str, str], bytes]:
-    """One record by its index row: a single frame is read."""
+    """Headers and payload of one record by its index row: a single frame is read."""
     import zstandard
 
     system, path = _file_system(bundle)
     with system.open_input_file(path) as f:
         data = zstandard.ZstdDecompressor().decompressobj().decompress(f.read_at(frame_size, frame_at))
     head, block, _ = parse(data, offset)
-    return head, block
+    return head, payload_of(block) if head["warc-type"] == "response" else block
 
 
 def op10(pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -342,10 +342,15 @@ def test_archives(spark, tmp_path):
     key = lambda t: tuple((x is None, x) for x in t)
     assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=key) == sorted(want, key=key)
     assert by_sql(warc.ORACLE, "pages", ["page_id", "url", "html"], [tuple(r) for r in rows]) == sorted(map(str, want))
+    assert index.select("record_id").distinct().count() == len(rows)
+    by_id = {r.record_id: r for r in index.collect()}
     html = {r.page_id: (r.html or "").encode() for r in rows}
     for r in index.where("page_id % 40 = 1 OR page_id = 90005").collect():
         head, block = warc.read_record(r.bundle, r.frame_at, r.frame_size, r.offset)
-        assert head["x-page-id"] == str(r.page_id) and (block == html[r.page_id] or head["warc-type"] == "revisit")
+        assert head["x-page-id"] == str(r.page_id) and head["warc-record-id"] == r.record_id and (block == html[r.page_id] or head["warc-type"] == "revisit")
+        if head["warc-type"] == "revisit":
+            other = by_id[head["warc-refers-to"]]
+            assert warc.read_record(other.bundle, other.frame_at, other.frame_size, other.offset)[1] == html[r.page_id]
     assert warc.op10(pages.limit(0)).count() == 0
 
 
@@ -357,7 +362,39 @@ def test_bundles_are_plain_zstandard(spark, tmp_path):
     path = index[0].bundle.removeprefix("file://")
     with open(path, "rb") as f:
         plain = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
-    assert plain.startswith(b"WARC/1.1\r\n") and len({r.frame for r in index if r.bundle == index[0].bundle}) > 1
+    assert plain.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and len({r.frame for r in index if r.bundle == index[0].bundle}) > 1
+    # Read by the format's own rules: headers, a block of Content-Length bytes, two line ends; the block of a response is HTTP.
+    import email
+    import http.client
+    import io
+
+    at, seen = 0, []
+    while at < len(plain):
+        stop = plain.index(b"\r\n\r\n", at) + 4
+        version, _, rest = plain[at:stop].partition(b"\r\n")
+        head = email.message_from_bytes(rest)
+        assert version == b"WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(head.keys())
+        block = plain[stop : (at := stop + int(head["Content-Length"]))]
+        assert plain[at : at + 4] == b"\r\n\r\n"
+        at += 4
+        if head["WARC-Type"] == "response":
+            assert head["Content-Type"] == "application/http; msgtype=response"
+            sock = type("Sock", (), {"makefile": lambda self, mode, b=block: io.BytesIO(b)})()
+            answer = http.client.HTTPResponse(sock)
+            answer.begin()
+            body = answer.read()
+            assert answer.status == 200 and "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode() == head["WARC-Payload-Digest"]
+            seen.append(int(head["X-Page-Id"]))
+    assert sorted(seen) == sorted(r.page_id for r in index if r.bundle == index[0].bundle)
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_marks_may_be_many(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(warc, "MOST_SENT", most)
+    rows = [(1, "u", "x"), (1, "u", "x"), (2, "u", "x"), (None, "u", "x"), (None, None, "own"), (3, "u", None), (4, "u", "")]
+    got = warc.op10(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w").collect()
+    want = [(1, "response", None), (1, "response", None), (2, "revisit", 1), (3, "response", None), (4, "revisit", 3), (None, "response", None), (None, "revisit", 1)]
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
 
 
 # ---------------------------------------------------------------- pipeline

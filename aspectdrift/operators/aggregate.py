@@ -47,6 +47,13 @@ def complaints(cell: DataFrame) -> DataFrame:
     return cell.where("n_complaints > 0").select("period", "stratum", "aspect", F.col("complaint").alias("w"))
 
 
+def collapsed(cell: DataFrame, least: float, other: str = "other") -> DataFrame:
+    """cell with all strata of less than `least` weight in any period put into one."""
+    small = cell.groupBy("stratum", "period").agg(F.sum("total").alias("t")).groupBy("stratum").agg((F.min("t") < least).alias("__small"))
+    rows = cell.join(F.broadcast(small), "stratum").withColumn("stratum", F.when(F.col("__small"), other).otherwise(F.col("stratum")))  # a row a stratum
+    return rows.groupBy("period", "stratum", "aspect").agg(*[F.sum(c).alias(c) for c in ("total", "neg", "complaint", "n_complaints")])
+
+
 def reference(cell: DataFrame, column: str) -> DataFrame:
     """(stratum, wref): its share of all the weight in `column`."""
     rows = cell.groupBy("stratum").agg(F.sum(column).alias("w"))

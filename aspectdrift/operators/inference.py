@@ -68,8 +68,8 @@ def poisson_times(u: Column) -> Column:
     return reduce(Column.__add__, parts)
 
 
-def bootstrap_slopes(vectors: DataFrame, ref: DataFrame, aspects: DataFrame, replicates: int, seed: int = config.SEED, prior: float = config.PRIOR_SHARE) -> DataFrame:
-    """(b, aspect, slope): slopes of the adjusted shares' log-ratios with reviews redrawn within period and stratum.
+def bootstrap_shares(vectors: DataFrame, ref: DataFrame, aspects: DataFrame, replicates: int, seed: int = config.SEED, prior: float = config.PRIOR_SHARE) -> DataFrame:
+    """(b, period, aspect, adj): adjusted shares with reviews redrawn within period and stratum.
 
     vectors(period, stratum, review_uid, aspect, w). Every review of a cell counts as often as a Poisson draw of its own
     says, which is drawing with replacement without fixing the cell's total; all aspects share a review's
@@ -84,7 +84,14 @@ def bootstrap_slopes(vectors: DataFrame, ref: DataFrame, aspects: DataFrame, rep
     drawn = draws.groupBy("b", "period", "stratum", "aspect").agg(F.sum(F.col("times") * F.col("w")).alias("w"))
     # A replicate is one more level of the period, so the shares of all replicates are one plan.
     one = drawn.withColumn("period", F.concat_ws("#", "period", "b")).drop("b")
-    logs = aggregate.clr(aggregate.shares(one, ref, aspects, prior), "adj")
+    parts = F.split("period", "#")
+    return aggregate.shares(one, ref, aspects, prior).select(parts[1].cast("int").alias("b"), parts[0].alias("period"), "aspect", "adj")
+
+
+def bootstrap_slopes(vectors: DataFrame, ref: DataFrame, aspects: DataFrame, replicates: int, seed: int = config.SEED, prior: float = config.PRIOR_SHARE) -> DataFrame:
+    """(b, aspect, slope): slopes of the log-ratios of bootstrap_shares."""
+    drawn = bootstrap_shares(vectors, ref, aspects, replicates, seed, prior).select(F.concat_ws("#", "period", "b").alias("period"), "aspect", "adj")
+    logs = aggregate.clr(drawn, "adj")
     parts = F.split("period", "#")
     rows = logs.select(F.concat_ws("#", "aspect", parts[1]).alias("series_id"), parts[0].alias("period"), F.col("clr_adj").alias("value"))
     slopes = series.trend(series.deseason(series.points(rows, 1)))
@@ -92,11 +99,11 @@ def bootstrap_slopes(vectors: DataFrame, ref: DataFrame, aspects: DataFrame, rep
     return slopes.select(name[1].cast("int").alias("b"), name[0].alias("aspect"), F.col("slope_per_year").alias("slope"))
 
 
-def interval(slopes: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """(aspect, lo, hi): the sorted slopes at places floor(p n). A group has one row a replicate."""
-    rows = slopes.groupBy("aspect").agg(F.sort_array(F.collect_list("slope")).alias("s"))
+def interval(rows: DataFrame, low: float = 0.025, high: float = 0.975, value: str = "slope", by: tuple[str, ...] = ("aspect",)) -> DataFrame:
+    """(by..., lo, hi): the sorted values at places floor(p n). A group has one row a replicate."""
+    sorted_ = rows.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("s"))
     at = lambda p: F.element_at("s", F.floor(F.lit(p) * F.size("s")).cast("int") + 1)
-    return rows.select("aspect", at(low).alias("lo"), at(high).alias("hi"))
+    return sorted_.select(*by, at(low).alias("lo"), at(high).alias("hi"))
 
 
 def fdr(rows: DataFrame, p: str = "p", grid: str = "grid") -> DataFrame:

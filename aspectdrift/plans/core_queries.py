@@ -200,6 +200,20 @@ def bootstrap_ci(spark, d):
     return inference.interval(slopes).select("aspect", *r6("lo", "hi"))
 
 
+@query("series_intervals", f"""{CAT}, {boot(N_BOOT, SEED)}, sh AS (SELECT b, period, aspect, adj / sum(adj) OVER (PARTITION BY b, period) AS v FROM ba), o AS (SELECT period, aspect, list_sort(list(v)) AS s FROM sh GROUP BY ALL)
+SELECT period, aspect, round(s[CAST(floor(0.025 * len(s)) AS INT) + 1], 6) AS lo, round(s[CAST(floor(0.975 * len(s)) AS INT) + 1], 6) AS hi FROM o""")
+def series_intervals(spark, d):
+    rows, cell = quads(spark, d), cells_once(spark, d)
+    drawn = inference.bootstrap_shares(aggregate.review_vectors(rows, "category"), aggregate.reference(cell, "complaint"), cell.select("aspect").distinct(), N_BOOT, SEED)
+    return inference.interval(drawn, value="adj", by=("period", "aspect")).select("period", "aspect", *r6("lo", "hi"))
+
+
+@query("collapsed_strata", f"""{CAT}, sm AS (SELECT stratum FROM (SELECT stratum, period, sum(total) AS t FROM cells GROUP BY ALL) GROUP BY stratum HAVING min(t) < 4)
+SELECT period, CASE WHEN sm.stratum IS NULL THEN c.stratum ELSE 'other' END AS stratum, aspect, round(sum(total), 6) AS total, round(sum(complaint), 6) AS complaint, CAST(sum(n_complaints) AS BIGINT) AS n FROM cells c LEFT JOIN sm USING (stratum) GROUP BY ALL""")
+def collapsed_strata(spark, d):
+    return aggregate.collapsed(category_cells(spark, d), 4).select("period", "stratum", "aspect", *r6("total", "complaint"), F.col("n_complaints").alias("n"))
+
+
 # ---------------------------------------------------------------- tests of many series
 
 P_OF_PARTS = """p AS (SELECT p_brand AS name, 'g' || (min(p_partkey) % 2) AS grid, (sum(p_size) % 997 + 1) / 1000.0e0 AS p FROM part GROUP BY p_brand),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectdrift import config
@@ -274,6 +276,12 @@ def prf_slices(spark, d):
     return evaluate.sliced(*_bags(spark, d))
 
 
+@query("slice_covers", "SELECT s AS slice, true AS covers FROM (VALUES ('language'), ('length'), ('category'), ('polarity_quad')) t(s)")
+def slice_covers(spark, d):
+    report = staged(evaluate.sliced(*_bags(spark, d)))
+    return reduce(DataFrame.unionByName, [evaluate.covers(report, s).select(F.lit(s).alias("slice"), "covers") for s in ("language", "length", "category", "polarity_quad")])
+
+
 @query("bag_intersection", f"{BAGS} SELECT s AS sentiment, CAST(sum(hits) AS BIGINT) AS hits FROM bags GROUP BY s HAVING sum(hits) > 0")
 def bag_intersection(spark, d):
     gold, predicted, _ = _bags(spark, d)

@@ -495,3 +495,16 @@ def test_all_steps_from_raw_reviews_to_verdicts(spark, tmp_path):
     quads_ = harness.smoke_quads(read("store"))
     late, early = (quads_.where(f"taxonomy_code = 'AM_FOOD' AND {c}").agg(F.avg((F.col("sentiment") == "negative").cast("double"))).first()[0] for c in ("period > '2024-08'", "period < '2022-09'"))
     assert late > early + 0.15 and quads_.select("taxonomy_code").distinct().count() == 5
+
+
+def test_images_of_all_kinds(spark):
+    heads = {b"\xff\xd8\xff" + bytes(9): True, b"\x89PNG\r\n\x1a\n" + bytes(4): True, b"GIF87a" + bytes(6): True, b"GIF89a" + bytes(6): True, b"BM" + bytes(10): True, b"RIFF\0\0\0\0WEBP": True,
+             b"RIFF\0\0\0\0WAVE": False, b"\xff\xd8\xff": False, b"<html>" + bytes(20): False, b"": False}
+    rows = spark.createDataFrame([(bytearray(k), v) for k, v in heads.items()], "content binary, want boolean")
+    assert rows.where(reliability.is_image(F.col("content")) != F.col("want")).count() == 0
+
+
+def test_intervals_and_collapsing(spark):
+    cell = spark.createDataFrame([("p", "a", "x", 5.0, 1.0, 1.0, 1), ("p", "b", "x", 1.0, 1.0, 1.0, 2), ("p", "c", "x", 2.0, 0.0, 1.0, 1)], "period string, stratum string, aspect string, total double, neg double, complaint double, n_complaints long")
+    got = {r.stratum: (r.total, r.neg, r.n_complaints) for r in aggregate.collapsed(cell, 3).collect()}
+    assert got == {"a": (5.0, 1.0, 1), "other": (3.0, 1.0, 3)}

@@ -166,9 +166,11 @@ def _coded(model: Quantiser, leaders: np.ndarray, radius: float):
                 continue
             x = _unit(batch.column(1))
             words = model.codes(x).view(np.int64)
-            angle = _angles(x, leaders)
-            ball = angle.argmin(axis=1)
-            angle = angle[np.arange(len(x)), ball]
+            ball, angle = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for lo in range(0, len(x), 2048):  # so many rows by LEADERS numbers at a time
+                near = x[lo : lo + 2048] @ leaders.T
+                ball[lo : lo + 2048] = best = near.argmax(axis=1)
+                angle[lo : lo + 2048] = np.arccos(np.clip(near[np.arange(len(near)), best], -1.0, 1.0))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(np.ascontiguousarray(w)) for w in words.T), pa.array(ball, pa.int64(), mask=angle > radius), pa.array(angle)],
                 names=["node", *(f"w{i}" for i in range(words.shape[1])), "ball", "angle"])

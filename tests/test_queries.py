@@ -27,11 +27,6 @@ def test_query_matches_oracle(spark, con, name):
     assert oracle.compare(spark, con, name, catalog.QUERIES[name], catalog.ORACLE_SQL[name], SF) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - SLOW))
-def test_other_query_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
-
-
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 
@@ -78,6 +73,6 @@ def test_nothing_else_imports_the_optional_part():
 
 
 def test_entry_point_without_the_optional_part():
-    code = "import sys; sys.modules['aspectdrift.llm'] = None\nimport __spark_entry__ as e\nassert len(e.queries()) > 50 and not any(q.startswith('op') for q in e.queries())"
+    code = "import sys; sys.modules['aspectdrift.llm'] = None\nimport __spark_entry__ as e\nassert len(e.queries()) > 50 and not any(q[:2] == 'op' and q[2].isdigit() for q in e.queries())"
     root = Path(__file__).resolve().parent.parent
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)

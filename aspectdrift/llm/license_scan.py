@@ -189,18 +189,20 @@ class Templates:
 
     def __init__(self, templates: dict[str, list[str]]) -> None:
         self.by = {name: [[grams(w, n) for n in (1, 2, 3)] for w in map(words_of, texts)] for name, texts in templates.items()}
+        self.pairs = set().union(*(by[1] for own in self.by.values() for by in own))
 
     def shared(self, words: list[str], name: str) -> float:
         """The largest share of the notice's n-grams, or of the template's if it has fewer, that a template of the family has too."""
-        best = 0.0
+        best, mine = 0.0, [grams(words, n) for n in (1, 2, 3)]
         for by in self.by[name]:
             n = min(3, len(words), next((k for k in (3, 2) if by[k - 1]), 1))
-            own, other = grams(words, n), by[n - 1]
+            own, other = mine[n - 1], by[n - 1]
             best = max(best, len(own & other) / max(1, min(len(own), len(other))))
         return best
 
     def any_shared(self, words: list[str]) -> float:
-        return max(self.shared(words, name) for name in self.by)
+        """The same of all families, of two words or more; without a pair in common it is none."""
+        return max(self.shared(words, name) for name in self.by) if grams(words, 2) & self.pairs else 0.0
 
 
 def features(text: str) -> np.ndarray:

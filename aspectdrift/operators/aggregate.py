@@ -103,7 +103,12 @@ def clr(rows: DataFrame, column: str, eps: float = 1e-6) -> DataFrame:
     return rows.withColumn(f"clr_{column}", log - F.avg(log).over(Window.partitionBy("period")))
 
 
+def complaint_rows(quads: DataFrame, level: str = "taxonomy_code") -> DataFrame:
+    """(period, stratum, review_uid, aspect, w): the quads that are complaints, one row each."""
+    rows = quads.withColumn("__w", weight(quads)).where((F.col("__w") > 0) & F.col("category").isNotNull() & ((F.col("phi") == "NEG") | (F.col("sentiment") == "negative")))
+    return rolled_up(rows, level).select("period", "stratum", "review_uid", "aspect", F.col("__w").alias("w"))
+
+
 def review_vectors(quads: DataFrame, level: str = "taxonomy_code") -> DataFrame:
     """(period, stratum, review_uid, aspect, w): each review's complaint weight by aspect."""
-    rows = quads.withColumn("__w", weight(quads)).where((F.col("__w") > 0) & F.col("category").isNotNull() & ((F.col("phi") == "NEG") | (F.col("sentiment") == "negative")))
-    return rolled_up(rows, level).groupBy("period", "stratum", "review_uid", "aspect").agg(F.sum("__w").alias("w"))
+    return complaint_rows(quads, level).groupBy("period", "stratum", "review_uid", "aspect").agg(F.sum("w").alias("w"))

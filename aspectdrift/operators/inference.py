@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aspectdrift import config
 from aspectdrift.operators import aggregate, series
+from aspectdrift.sources.scratch import staged
 
 
 def _statistics(y: np.ndarray, months: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,32 +61,87 @@ def permutation_p(rows: DataFrame, n_perm: int = config.PERMUTATIONS, seed: int
     return rows.select("series_id", "period", "value").groupBy("series_id").applyInPandas(run, "series_id string, p_trend double, p_split double")
 
 
-def poisson_times(u: Column) -> Column:
-    """How often a row counts in a replicate: a Poisson draw of mean 1 from a uniform number."""
-    total, term, parts = 0.0, math.exp(-1), []
+def _poisson_steps() -> list[float]:
+    """A uniform number gives as many as it reaches of these."""
+    total, term, steps = 0.0, math.exp(-1), []
     for k in range(10):
         total += term
         term /= k + 1
-        parts.append((u >= total).cast("int"))
-    return reduce(Column.__add__, parts)
+        steps.append(total)
+    return steps
+
+
+def poisson_times(u: Column) -> Column:
+    """How often a row counts in a replicate: a Poisson draw of mean 1 from a uniform number."""
+    return reduce(Column.__add__, [(u >= s).cast("int") for s in _poisson_steps()])
+
+
+def poisson_counts(bits: np.ndarray) -> np.ndarray:
+    """poisson_times of 32 bits each, exactly as of bits / 2^32."""
+    times = np.zeros(bits.shape, np.uint8)
+    for s in _poisson_steps():
+        times += bits >= math.ceil(s * (1 << 32))
+    return times
+
+
+#: So many numbers a task holds at once: rows x replicates at work, cells x replicates summed up.
+AT_ONCE, HELD = 1 << 21, 1 << 23
+
+
+def _drawn(batches: Iterator[pa.RecordBatch], replicates: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Rows (period, stratum, aspect, review_uid, w) to cells with a sum for each replicate; a cell may come several times."""
+    cells, sums, most = {}, np.zeros((0, replicates)), max(HELD // replicates, 1)
+    heads = [f"{seed}|{four}".encode() for four in range((replicates + 3) // 4)]
+
+    def times(uids: list[str | None]) -> np.ndarray:
+        tails = [b"" if u is None else b"|" + u.encode() for u in uids]
+        bits = np.frombuffer(b"".join([hashlib.md5(head + tail).digest() for tail in tails for head in heads]), ">u4").reshape(len(uids), -1)
+        return poisson_counts(bits[:, :replicates].astype(np.uint32))
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys = list(cells)
+        for at in range(0, len(keys), step := max(AT_ONCE // replicates, 1)):
+            part = keys[at:at + step]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * replicates, pa.int32()), pa.array(sums[at:at + len(part)].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in part], pa.string()) for i in range(3)), lists], ["period", "stratum", "aspect", "sums"])
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, step := max(AT_ONCE // replicates, 1)):
+            batch = whole.slice(at, step)
+            keys = [c.dictionary_encode("encode") for c in batch.columns[:3]]
+            flat, names = np.zeros(batch.num_rows, np.int64), [k.dictionary.to_pylist() for k in keys]
+            for k, n in zip(keys, names, strict=True):
+                flat = flat * len(n) + k.indices.to_numpy()
+            order = np.argsort(flat, kind="stable")
+            found, first = np.unique(flat[order], return_index=True)
+            a, b, c = found // (len(names[1]) * len(names[2])), found // len(names[2]) % len(names[1]), found % len(names[2])
+            places = [cells.setdefault((names[0][x], names[1][y], names[2][z]), len(cells)) for x, y, z in zip(a, b, c, strict=True)]
+            if len(cells) > len(sums):
+                sums = np.vstack([sums, np.zeros((max(len(cells), min(2 * len(sums), most)) - len(sums), replicates))])
+            reviews = batch.column(3).dictionary_encode("encode")
+            counts, w = times(reviews.dictionary.to_pylist())[reviews.indices.to_numpy()[order]], batch.column(4).to_numpy(zero_copy_only=False)[order]
+            sums[places] += np.add.reduceat(counts * w[:, None], first, axis=0)
+            if len(cells) >= most:
+                yield from out()
+                cells, sums = {}, np.zeros((0, replicates))
+    yield from out()
 
 
 def bootstrap_shares(vectors: DataFrame, ref: DataFrame, aspects: DataFrame, replicates: int, seed: int = config.SEED, prior: float = config.PRIOR_SHARE) -> DataFrame:
     """(b, period, aspect, adj): adjusted shares with reviews redrawn within period and stratum.
 
-    vectors(period, stratum, review_uid, aspect, w). Every review of a cell counts as often as a Poisson draw of its own
-    says, which is drawing with replacement without fixing the cell's total; all aspects share a review's
-    draw. Draws are parts of a hash of seed, every four replicates and review, made where the row lies and summed to
-    cells before anything moves: only replicates x cells are shuffled.
+    vectors(period, stratum, review_uid, aspect, w), in any number of rows a review and aspect. Every review of a cell
+    counts as often as a Poisson draw of its own says, which is drawing with replacement without fixing the cell's total;
+    all aspects share a review's draw. Draws are parts of a hash of seed, every four replicates and review, made where the
+    row lies, for all replicates at once, and summed to cells before anything moves: only replicates x cells are shuffled,
+    and written once.
     """
-    fours = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)))
-    draws = vectors.withColumn("four", fours).withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("four").cast("string"), F.col("review_uid").cast("string"))))
-    part = lambda k: F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("double") / float(1 << 32)
-    draws = draws.select("period", "stratum", "aspect", "w", F.inline(F.array(*[F.struct((F.col("four") * 4 + k + 1).alias("b"), part(k).alias("u")) for k in range(4)])))
-    draws = draws.where(F.col("b") <= replicates).withColumn("times", poisson_times(F.col("u"))).where("times > 0")
-    drawn = draws.groupBy("b", "period", "stratum", "aspect").agg(F.sum(F.col("times") * F.col("w")).alias("w"))
+    keys = ["period", "stratum", "aspect"]
+    rows = vectors.select(*[F.col(k).cast("string") for k in (*keys, "review_uid")], F.col("w").cast("double"))
+    drawn = rows.mapInArrow(lambda batches: _drawn(batches, replicates, seed), "period string, stratum string, aspect string, sums array<double>")
+    drawn = drawn.repartition(*keys).select(*keys, F.posexplode("sums").alias("b", "w")).where("w <> 0")
     # A replicate is one more level of the period, so the shares of all replicates are one plan.
-    one = drawn.withColumn("period", F.concat_ws("#", "period", "b")).drop("b")
+    one = staged(drawn.groupBy(*keys, "b").agg(F.sum("w").alias("w")).withColumn("period", F.concat_ws("#", "period", F.col("b") + 1)).drop("b"))
     parts = F.split("period", "#")
     return aggregate.shares(one, ref, aspects, prior).select(parts[1].cast("int").alias("b"), parts[0].alias("period"), "aspect", "adj")
 

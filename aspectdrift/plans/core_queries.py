@@ -204,7 +204,7 @@ def bootstrap_ci(spark, d):
 SELECT period, aspect, round(s[CAST(floor(0.025 * len(s)) AS INT) + 1], 6) AS lo, round(s[CAST(floor(0.975 * len(s)) AS INT) + 1], 6) AS hi FROM o""")
 def series_intervals(spark, d):
     rows, cell = quads(spark, d), cells_once(spark, d)
-    drawn = inference.bootstrap_shares(aggregate.review_vectors(rows, "category"), aggregate.reference(cell, "complaint"), cell.select("aspect").distinct(), N_BOOT, SEED)
+    drawn = inference.bootstrap_shares(aggregate.complaint_rows(rows, "category"), aggregate.reference(cell, "complaint"), cell.select("aspect").distinct(), N_BOOT, SEED)
     return inference.interval(drawn, value="adj", by=("period", "aspect")).select("period", "aspect", *r6("lo", "hi"))
 
 

@@ -196,7 +196,7 @@ INTERVALS = "SELECT series_id AS aspect, list_sort(list(slope_per_year)) AS s FR
 SELECT aspect, round(s[CAST(floor(0.025 * len(s)) AS INT) + 1], 6) AS lo, round(s[CAST(floor(0.975 * len(s)) AS INT) + 1], 6) AS hi FROM o""")
 def bootstrap_ci(spark, d):
     rows, cell = quads(spark, d), cells_once(spark, d)
-    slopes = inference.bootstrap_slopes(aggregate.review_vectors(rows, "category"), aggregate.reference(cell, "complaint"), cell.select("aspect").distinct(), N_BOOT, SEED)
+    slopes = inference.bootstrap_slopes(aggregate.complaint_rows(rows, "category"), aggregate.reference(cell, "complaint"), cell.select("aspect").distinct(), N_BOOT, SEED)
     return inference.interval(slopes).select("aspect", *r6("lo", "hi"))
 
 

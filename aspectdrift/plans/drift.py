@@ -74,7 +74,7 @@ def drift(
     v = lambda r, a: inference.verdict(of(r, "significant"), of(a, "significant"), of(r, "slope_per_year"), of(a, "slope_per_year"))
     out = stats.withColumn("verdict", v("raw", "adj")).withColumn("verdict_val", v("val_raw", "val_adj"))
     if n_boot:
-        slopes = inference.bootstrap_slopes(aggregate.review_vectors(quads, level), aggregate.reference(cell, "complaint"), cell.select("aspect").distinct(), n_boot, seed, prior_share)
+        slopes = inference.bootstrap_slopes(aggregate.complaint_rows(quads, level), aggregate.reference(cell, "complaint"), cell.select("aspect").distinct(), n_boot, seed, prior_share)
         out = out.join(inference.interval(slopes).select("aspect", F.lit("adj").alias("channel"), F.bround("lo", 4).alias("lo"), F.bround("hi", 4).alias("hi")), ["aspect", "channel"], "left")
     return out.drop("grid").orderBy(F.abs("t_stat").desc(), "aspect", "channel")
 

@@ -38,9 +38,15 @@ def _forms(s: pd.Series) -> pd.DataFrame:
 STABLE = r"\x00-\x7F\u00A1\u00A7\u00AB\u00B0\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u1EA0-\u1EF9"
 
 
+def unstable(text: Column) -> Column:
+    """Whether text has other than STABLE characters. A long class is slow to match, so only what is beyond ASCII meets it."""
+    beyond = F.regexp_replace(text, r"[\x00-\x7F]++", "")
+    return (F.length(text) < F.octet_length(text)) & beyond.rlike(f"[^{STABLE}]")
+
+
 def unicode_forms(text: Column) -> Column:
     """struct(nfc, nfkc). Text of STABLE characters is its own form; only other texts are sent to Python."""
-    made = _forms(F.when(text.rlike(f"[^{STABLE}]"), text))
+    made = _forms(F.when(unstable(text), text))
     return F.struct(F.coalesce(made["nfc"], text).alias("nfc"), F.coalesce(made["nfkc"], text).alias("nfkc"))
 
 
@@ -65,6 +71,17 @@ def norm_text(text: Column, forms: bool = True) -> Column:
     return words_only(unicode_forms(text)["nfkc"] if forms else text)
 
 
+def norm_start(text: Column, n: int, forms: bool = True) -> Column:
+    """The first n characters of norm_text, from the first 3 n where these tell: STABLE characters don't change by what
+    follows, so if more than n come out of them, the whole text gives the same. All other texts are normalised whole."""
+    text = F.coalesce(text, F.lit(""))
+    start = F.substring(text, 1, 3 * n)
+    short = words_only(start)
+    tells = (start != text) & (F.length(short) > n + 1) & ~unstable(start)
+    rest = F.when(~tells, text)  # null where the start tells, so nothing is normalised there
+    return F.substring(F.when(tells, short).otherwise(words_only(unicode_forms(rest)["nfkc"] if forms else rest)), 1, n)
+
+
 def joined(*normed: Column) -> Column:
     """norm_text of texts put together with a sign or space between, from their normal forms."""
     return F.array_join(F.filter(F.array(*normed), lambda x: x != ""), " ")

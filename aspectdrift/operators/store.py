@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from aspectdrift import config
 from aspectdrift.functions import parse, strata, text
@@ -20,35 +21,42 @@ def first_wins(rows: DataFrame, key: Column, *order: str) -> DataFrame:
 
 
 def leak_key(t: Column, forms: bool = True) -> Column:
-    return F.substring(text.norm_text(t, forms), 1, LEAK_CHARS)
+    return text.norm_start(t, LEAK_CHARS, forms)
 
 
 def flagged(pool: DataFrame, gold: DataFrame, gate: str, keys: list[Column], date: str | None = None, forms: bool = True) -> DataFrame:
     """pool with in_gold: same gate and date as a gold row, or same gate and one of the keys (null or empty ones match nothing).
 
     gold(gate, text[, date]). Every alternative is an equi-join on a full key that the row carries along, with a
-    distinct side, so rows neither multiply nor are read twice, and no pair that shares only the gate is formed.
+    distinct side, so rows neither multiply nor are read twice, and no pair that shares only the gate is formed. Keys are
+    made before anything moves, so whole texts travel only if pool has them; rows without a key are spread over all tasks.
     """
     known = gold.select(F.col(gate).alias("__g"), leak_key(F.col("text"), forms).alias("__k")).where("__k <> ''").distinct()
     sides = [(known, k) for k in keys]
     if date:
         sides.append((gold.where(F.col(date).isNotNull()).select(F.col(gate).alias("__g"), F.col(date).alias("__k")).distinct(), F.col(date)))
-    out, marks = pool, []
-    for i, (side, key) in enumerate(sides):
-        side = side.withColumnsRenamed({"__g": f"__g{i}", "__k": f"__k{i}"})
-        out = out.withColumn(f"__own{i}", key).join(side, (F.col(gate) == F.col(f"__g{i}")) & (F.col(f"__own{i}") == F.col(f"__k{i}")), "left")
+    apart = F.xxhash64(*[f.name for f in pool.schema if not isinstance(f.dataType, MapType)])
+    none = [F.coalesce(key == "", F.lit(True)) for _, key in sides]
+    out = pool.withColumns({f"__own{i}": F.when(~none[i], key) for i, (_, key) in enumerate(sides)})
+    # A row without a key goes where its hash says; the hash is no part of a key, so it meets nothing there.
+    out, marks = out.withColumn("__apart", apart), []
+    for i, (side, _) in enumerate(sides):
+        side = side.withColumnsRenamed({"__g": f"__g{i}", "__k": f"__k{i}"}).withColumn(f"__s{i}", F.lit(0).cast("long"))
+        salt = F.when(F.col(f"__own{i}").isNull(), F.col("__apart")).otherwise(F.lit(0))
+        own = F.coalesce(F.col(f"__own{i}"), F.lit(""))
+        out = out.join(side, (F.col(gate) == F.col(f"__g{i}")) & (own == F.col(f"__k{i}")) & (salt == F.col(f"__s{i}")), "left")
         marks.append(F.col(f"__k{i}").isNotNull())
     return out.withColumn("in_gold", reduce(Column.__or__, marks)).select(*pool.columns, "in_gold")
 
 
 def leak_flags(pool: DataFrame, gold: DataFrame, gate: str, pos: str, neg: str, date: str | None = None, forms: bool = True) -> DataFrame:
     """pool with in_gold by the leading characters of the normalised pos, neg or both, or by date."""
-    normed = [text.norm_text(F.col(c), forms) for c in (pos, neg)]
-    rows = pool.withColumn("__pos", normed[0]).withColumn("__neg", normed[1])
+    rows = pool.withColumn("__pos", leak_key(F.col(pos), forms)).withColumn("__neg", leak_key(F.col(neg), forms))
     return flagged(rows, gold, gate, _leak_keys(F.col("__pos"), F.col("__neg")), date, forms).drop("__pos", "__neg")
 
 
 def _leak_keys(pos: Column, neg: Column) -> list[Column]:
+    """Of the starts of both texts; what is joined of them starts like the joined whole texts."""
     return [F.substring(k, 1, LEAK_CHARS) for k in (pos, neg, text.joined(pos, neg))]
 
 
@@ -63,7 +71,8 @@ def gold_sides(meta: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame
 def status(reviews: DataFrame, window: tuple[str, str] = config.WINDOW, forms: bool = True) -> DataFrame:
     """reviews (with line, the order they came in) with parsed columns and status: no_date, window, dup or kept.
 
-    norm_pos and norm_neg are the normalised texts, made once; the deduplication key and leak keys are put together from them.
+    The normalised texts are made once; the deduplication key is put together from them, and leak_pos and leak_neg, the
+    starts that leak keys need, go along in their place.
     """
     rows = reviews.withColumn("d", parse.review_date(F.col("review_date")))
     rows = rows.withColumn("iso_date", F.col("d.iso_date")).withColumn("period", F.col("d.period")).drop("d")
@@ -74,9 +83,10 @@ def status(reviews: DataFrame, window: tuple[str, str] = config.WINDOW, forms: b
     early = F.when(F.col("iso_date").isNull(), "no_date").when(~F.col("period").between(*window), "window")
     named = text.norm_text(F.coalesce(F.col("name"), F.lit("None")), forms)
     key = F.md5(text.joined(text.norm_text(F.col("hotel_id").cast("string"), forms), named, text.words_only(F.col("iso_date")), F.col("norm_pos"), F.col("norm_neg")))
+    rows = rows.withColumn("__key", key).withColumns({f"leak_{c}": F.substring(f"norm_{c}", 1, LEAK_CHARS) for c in ("pos", "neg")}).drop("norm_pos", "norm_neg")
     # Rows that left before take no part; their null keys are spread by line instead of meeting in one group.
-    rows = first_wins(rows, F.when(early.isNull(), key).otherwise(F.concat(F.lit("line "), F.col("line").cast("string"))), "line")
-    return rows.withColumn("status", F.coalesce(early, F.when(F.col("is_first"), "kept").otherwise("dup"))).drop("is_first")
+    rows = first_wins(rows, F.when(early.isNull(), F.col("__key")).otherwise(F.concat(F.lit("line "), F.col("line").cast("string"))), "line")
+    return rows.withColumn("status", F.coalesce(early, F.when(F.col("is_first"), "kept").otherwise("dup"))).drop("is_first", "__key")
 
 
 def store(reviews: DataFrame, gold: DataFrame, hotel_split: DataFrame, window: tuple[str, str] = config.WINDOW, forms: bool = True) -> DataFrame:
@@ -87,7 +97,7 @@ def store(reviews: DataFrame, gold: DataFrame, hotel_split: DataFrame, window: t
 def stored(statuses: DataFrame, gold: DataFrame, hotel_split: DataFrame, forms: bool = True) -> DataFrame:
     """The store from rows with their status."""
     kept = statuses.where("status = 'kept'")
-    kept = flagged(kept, gold, "hotel_id", _leak_keys(F.col("norm_pos"), F.col("norm_neg")), "iso_date" if "iso_date" in gold.columns else None, forms)
+    kept = flagged(kept, gold, "hotel_id", _leak_keys(F.col("leak_pos"), F.col("leak_neg")), "iso_date" if "iso_date" in gold.columns else None, forms)
     kept = kept.join(hotel_split.select(F.col("hotel_id").alias("__h"), F.col("split").alias("gold_split")), F.col("hotel_id") == F.col("__h"), "left").drop("__h")
     n = text.word_count(F.concat_ws(" ", "text_pos", "text_neg"))
     photos = F.col("review_photo") if "review_photo" in kept.columns else F.lit(None).cast("map<string,string>")

@@ -1,12 +1,14 @@
 """What must not grow faster than the input: rows are read once, work is shared, tasks stay small."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from aspectdrift.operators import inference
+from aspectdrift.functions import text
+from aspectdrift.operators import inference, sampling, store
 
 
 def counted(spark, df):
@@ -68,3 +70,41 @@ def test_poisson_counts_are_the_columns(spark):
     bits = np.array([0, 1, 1580030168, 1580030169, 3160060337, 4294967295, 4294967000], np.uint32)
     rows = spark.createDataFrame([(int(b),) for b in bits], "b long").select("b", inference.poisson_times(F.col("b") / float(1 << 32)).alias("k"))
     assert {r.b: r.k for r in rows.collect()} == dict(zip(map(int, bits), map(int, inference.poisson_counts(bits)), strict=True))
+
+
+def test_stratified_sample_reads_its_rows_once(spark):
+    rows, seen = counted(spark, spark.range(500).select("id", (F.col("id") % 7).alias("cell")))
+    assert len(sampling.stratified(rows, ["cell"], 30, 1, "id").collect()) == 28 and seen.value == 500
+
+
+ODD = ["", "a", "x" * 500, "é, " * 400, "Ångström ﬁ " * 90, "-" * 500 + "late words", "a\u0301" * 300, "word " * 71 + "e\u0301 after", "Σ" * 130 + "ΑΣ", "İ" * 200, "日本語。" * 100, "ﬀ" * 500, "a" * 359 + "\u0301b", "! a" * 200]
+
+
+def test_start_of_a_normal_form_is_that_of_the_whole(spark):
+    draw = random.Random(3)
+    texts = ODD + ["".join(draw.choice(["a", "B", " ", "é", ".", "ﬁ", "\u0301", "_", "9", "word"]) for _ in range(draw.randrange(600))) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(text.norm_start(F.col("t"), 120).alias("a"), F.substring(text.norm_text(F.col("t")), 1, 120).alias("b"), text.unstable(F.col("t")).alias("u"), F.col("t").rlike(f"[^{text.STABLE}]").alias("v")).collect()
+    assert all(r.a == r.b and r.u == r.v for r in got)
+
+
+def test_rows_without_a_leak_key_do_not_meet_in_one_task(spark):
+    pool = spark.range(4000).select("id", F.lit("h").alias("hotel"), F.concat(F.lit("text "), "id").alias("pos"), F.lit("").alias("neg"))
+    gold = spark.createDataFrame([("h", "text 7"), ("h", "")], "hotel string, text string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = store.leak_flags(pool, gold, "hotel", "pos", "neg")
+        assert [r.id for r in out.where("in_gold").collect()] == [7]
+        cut = store.flagged(pool.withColumn("k", F.lit("")), gold, "hotel", [F.col("k")])  # the last join is the only one
+        assert cut.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_statuses_carry_starts_of_normal_forms_only(spark):
+    rows = spark.createDataFrame([(1, "h", "n", "2023-01-05", "Good " * 300, None)], "line long, hotel_id string, name string, review_date string, review_positive string, review_negative string")
+    got = store.status(rows)
+    assert not {"norm_pos", "norm_neg"} & set(got.columns) and got.select(F.length("leak_pos")).first()[0] == store.LEAK_CHARS

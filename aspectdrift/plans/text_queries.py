@@ -131,7 +131,7 @@ def store_rows(spark, d):
 SELECT CAST("read" AS BIGINT) AS "read", CAST(drop_no_date AS BIGINT) AS drop_no_date, CAST(drop_window AS BIGINT) AS drop_window, CAST(drop_dup AS BIGINT) AS drop_dup, CAST(count(*) AS BIGINT) AS written, CAST(count(*) FILTER (in_gold) AS BIGINT) AS flag_gold_leak,
   CAST(count(*) FILTER (pos <> '' OR neg <> '') AS BIGINT) AS has_text, CAST(count(*) FILTER (pos = '' AND neg = '') AS BIGINT) AS no_text, CAST(count(DISTINCT lang) AS BIGINT) AS hotels FROM st, a GROUP BY ALL""")
 def store_report(spark, d):
-    statuses = staged(store.status(_reviews(spark, d)))
+    statuses = staged(store.status(_reviews(spark, d)).drop("review_positive", "review_negative"))  # text_pos and text_neg hold them
     return store.report(statuses, store.stored(statuses, *_gold(spark, d)))
 
 

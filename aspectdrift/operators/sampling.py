@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aspectdrift.functions.strata import conf_band, length_bin
 from aspectdrift.functions.text import draw_order
+from aspectdrift.sources.scratch import staged
 
 
 def reservoir(rows: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
@@ -21,7 +22,11 @@ def per_cell(rows: DataFrame, cells: list[str], k: int | Column, seed: int, *key
 
 
 def stratified(rows: DataFrame, cells: list[str], n: int, seed: int, *key: str, cap: int = 10**9) -> DataFrame:
-    """About n rows, the same number from each cell (at least one, at most cap), cut at n in hash order."""
+    """About n rows, the same number from each cell (at least one, at most cap), cut at n in hash order.
+
+    rows are worked out once: min(cap, n) of each cell are written, and show how many cells there are.
+    """
+    rows = staged(per_cell(rows, cells, min(cap, max(1, n)), seed, *key))
     count = max(rows.select(*cells).distinct().count(), 1)
     return reservoir(per_cell(rows, cells, min(cap, max(1, n // count)), seed, *key), n, seed + 1, *key)
 

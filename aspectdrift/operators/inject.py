@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aspectdrift.functions.strata import months_apart
 from aspectdrift.functions.text import draw_order, uniform
+from aspectdrift.sources.scratch import staged
 
 
 def composition(quads: DataFrame, home: Column, seed: int, *key: str) -> DataFrame:
@@ -27,9 +28,9 @@ def shuffle(quads: DataFrame, seed: int) -> DataFrame:
     """Permutes the periods among reviews; all quads of a review move together.
 
     A permutation needs places over all reviews. They are given within hash buckets that are known beforehand:
-    bucket counts, then ranks inside buckets, so no task sorts all reviews.
+    bucket counts, then ranks inside buckets, so no task sorts all reviews. Reviews are written once.
     """
-    reviews = quads.groupBy("review_uid").agg(F.min("period").alias("period"))
+    reviews = staged(quads.groupBy("review_uid").agg(F.min("period").alias("period")))
     source = _placed(reviews, F.md5("review_uid"), "review_uid").select("place", "review_uid")
     target = _placed(reviews, draw_order(seed, F.col("review_uid")), "review_uid").select("place", F.col("period").alias("__period"))
     moved = source.join(target, "place").select("review_uid", "__period")

@@ -10,6 +10,7 @@ from aspectdrift.functions.strata import length_bin, months_apart
 from aspectdrift.functions.text import uniform
 from aspectdrift.operators import inject
 from aspectdrift.plans.drift import drift
+from aspectdrift.sources.scratch import staged
 
 _ADJ, _RAW = ("adj", "val_adj"), ("raw", "val_raw")
 
@@ -34,6 +35,15 @@ def smoke_quads(reviews: DataFrame, seed: int = config.SEED, window: tuple[str,
         "taxonomy_code", "sentiment", (0.6 + 0.39 * draw(1)).alias("conf_seq"), F.lit(1.0).alias("w"), "n_words", F.lit(0.9).alias("p_posterior"), F.lit(False).alias("provenance_flip"))
 
 
+# What a run reads of quads; an injection may read its key as well.
+READ = ("review_uid", "hotel_id", "period", "stratum", "taxonomy_code", "category", "reportable", "sentiment", "phi", "w", "conf_seq", "n_words")
+
+
+def _once(quads: DataFrame, *key: str) -> DataFrame:
+    """The columns that runs and injections read, written once for all runs."""
+    return staged(quads.select(*[c for c in quads.columns if c in {*READ, *key}]))
+
+
 def composition_test(quads: DataFrame, home: Column, key: tuple[str, ...], seed: int = config.SEED, **run) -> DataFrame:
     """One row: over shuffled periods with a shifting mix of strata nothing adjusted may be significant.
 
@@ -60,7 +70,7 @@ def valence_sweep(quads: DataFrame, code: str, start: str, key: tuple[str, ...],
 
 def shuffle_control(quads: DataFrame, repeats: int = 5, alpha: float = config.ALPHA, seed: int = config.SEED, **run) -> DataFrame:
     """One row: mean share of adjusted tests that are significant on shuffled periods; PASS up to twice alpha."""
-    rates = []
+    rates, quads = [], _once(quads)
     for r in range(repeats):
         rows = drift(inject.shuffle(quads, seed + r), alpha=alpha, seed=seed + r, **run).where(F.col("channel").isin(*_ADJ))
         rates.append(rows.agg(F.avg(F.col("significant").cast("double"))).first()[0] or 0.0)

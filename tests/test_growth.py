@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from aspectdrift import catalog
 from aspectdrift.functions import text
-from aspectdrift.operators import inference, sampling, store
+from aspectdrift.operators import evaluate, inference, reliability, sampling, store
+from aspectdrift.plans import harness, quad_view, text_queries
 
 
 def counted(spark, df):
@@ -108,3 +110,47 @@ def test_statuses_carry_starts_of_normal_forms_only(spark):
     rows = spark.createDataFrame([(1, "h", "n", "2023-01-05", "Good " * 300, None)], "line long, hotel_id string, name string, review_date string, review_positive string, review_negative string")
     got = store.status(rows)
     assert not {"norm_pos", "norm_neg"} & set(got.columns) and got.select(F.length("leak_pos")).first()[0] == store.LEAK_CHARS
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["slice_covers", "prf_slices", "audit_gate"])
+def test_query_joins_the_star_once(spark, monkeypatch, name):
+    rows, seen = counted(spark, quad_view.quads(spark, SF))
+    monkeypatch.setattr(text_queries, "quads", lambda *_: rows)
+    assert catalog.QUERIES[name](spark, SF).collect() and seen.value == quad_view.quads(spark, SF).count()
+
+
+@pytest.mark.parametrize("run", [
+    lambda q: harness.shuffle_control(q), lambda q: harness.valence_sweep(q, "SMALL_1", "1998-06", text_queries.KEY), lambda q: harness.composition_test(q, F.col("bloc") == "ASIA", text_queries.KEY)])
+def test_injected_runs_read_quads_once(spark, monkeypatch, run):
+    def drift(q, **_):
+        return q.groupBy(F.lit("adj").alias("channel"), F.lit("SMALL_1").alias("aspect"), F.lit("1998-06").alias("changepoint")).agg((F.count("*") < 0).alias("significant"))
+
+    rows, seen = counted(spark, quad_view.quads(spark, SF))
+    monkeypatch.setattr(harness, "drift", drift)
+    run(rows).collect()
+    # a sweep first looks whether the code is there at all
+    assert quad_view.quads(spark, SF).count() <= seen.value < 2 * quad_view.quads(spark, SF).count() + 1
+
+
+def test_pairs_and_ranks_read_their_rows_once(spark):
+    quads, seen = counted(spark, spark.range(60).select(F.concat(F.col("id") % 9, F.lit("_Q"), "id").alias("quad_id"), F.concat(F.lit("c"), F.col("id") % 4).alias("category")))
+    images = spark.range(9).select(F.col("id").cast("string").alias("review"), F.col("id").cast("string").alias("image"))
+    cats, splits = spark.createDataFrame([(f"c{i}",) for i in range(9)], "category string"), spark.createDataFrame([("1", "test")], "review string, split string")
+    assert reliability.verifier_pairs(images, quads, splits, cats, 1).count() and seen.value == 60
+    pairs, seen = counted(spark, spark.range(50).select("id", (F.col("id") % 7).alias("b")))
+    assert evaluate.spearman(pairs, "id", "b").first().n == 50 and seen.value == 50
+    scored, seen = counted(spark, spark.range(50).select("id", (F.col("id") % 2).cast("int").alias("y")))
+    assert evaluate.auc(scored, "id", "y").first().n == 50 and seen.value == 50
+
+
+def test_bags_move_before_they_are_counted_and_nulls_equal_nothing(spark):
+    gold = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", None), ("b", "y")], "i string, k string")
+    predicted = spark.createDataFrame([("a", "x"), ("a", None), ("c", "y")], "i string, k string")
+    counts = evaluate.bag_counts(gold, predicted, "i", "k")
+    assert sorted(map(str, counts.collect())) == sorted(map(str, (spark.createDataFrame([("a", "x", 2, 1, 1), ("a", None, 1, 0, 0), ("a", None, 0, 1, 0), ("b", "y", 1, 0, 0), ("c", "y", 0, 1, 0)], "i string, k string, gold long, pred long, hits long").collect())))
+    for rows in (counts, catalog.QUERIES["quad_names"](spark, SF), catalog.QUERIES["bag_intersection"](spark, SF)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan and "FullOuter" not in plan and "ReplicateRows" not in plan

@@ -58,7 +58,7 @@ def valence_sweep(quads: DataFrame, code: str, start: str, key: tuple[str, ...],
     """One row a delta: whether the code's valence is found significant with its split within three months of start."""
     if quads.where((F.col("taxonomy_code") == code) & F.col("reportable")).isEmpty():
         raise ValueError(f"{code} is not reported on its own, so it can't be found")
-    out = []
+    out, quads = [], _once(quads, *key)
     for i, delta in enumerate(deltas):
         rows = drift(inject.valence(quads, code, delta, start, seed + i, *key), seed=seed, **run).where((F.col("aspect") == code) & F.col("channel").isin(*_ADJ))
         found = F.col("significant") & inject.detected(F.col("changepoint"), F.lit(start))

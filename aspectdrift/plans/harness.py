@@ -49,7 +49,9 @@ def composition_test(quads: DataFrame, home: Column, key: tuple[str, ...], seed:
 
     FAIL if something is, PASS if a raw series is, INCONCLUSIVE if neither.
     """
-    base = inject.composition(inject.shuffle(quads, seed), home, seed + 1, *key)
+    quads = _once(quads.withColumn("__home", home), "__home", *key)
+    moved = staged(inject.shuffle(quads, seed))  # its periods are counted before its rows are dropped
+    base = inject.composition(moved, F.col("__home"), seed + 1, *key)
     s = drift(base, seed=seed, **run).agg(F.count_if(F.col("significant") & F.col("channel").isin(*_ADJ)).alias("n_adj"), F.count_if(F.col("significant") & F.col("channel").isin(*_RAW)).alias("n_raw"))
     return s.withColumn("outcome", F.when(F.col("n_adj") > 0, "FAIL").when(F.col("n_raw") > 0, "PASS").otherwise("INCONCLUSIVE"))
 

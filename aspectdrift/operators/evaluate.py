@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aspectdrift.sources.scratch import staged
+
 
 def bag_counts(gold: DataFrame, predicted: DataFrame, *keys: str) -> DataFrame:
-    """(keys..., gold, pred, hits): sizes of both bags and of their intersection, by equal keys."""
-    g = gold.groupBy(*keys).agg(F.count("*").alias("gold"))
-    p = predicted.groupBy(*keys).agg(F.count("*").alias("pred"))
-    rows = g.join(p, list(keys), "full").fillna(0, ["gold", "pred"])
-    return rows.withColumn("hits", F.least("gold", "pred"))
+    """(keys..., gold, pred, hits): sizes of both bags and of their intersection, by equal keys; null keys equal nothing.
+
+    Both bags are counted in one aggregation. Most keys occur once, so rows move first: no task counts in a table as long as its
+    input, only in one as long as its part of the shuffle.
+    """
+    apart = F.when(reduce(Column.__or__, [F.col(k).isNull() for k in keys]), F.col("__gold"))
+    side = lambda rows, n: rows.select(*keys, F.lit(n).alias("__gold"))
+    rows = side(gold, 1).unionByName(side(predicted, 0)).withColumn("__apart", apart).repartition(*keys, "__apart")
+    rows = rows.groupBy(*keys, "__apart").agg(F.count_if(F.col("__gold") == 1).alias("gold"), F.count_if(F.col("__gold") == 0).alias("pred"))
+    return rows.drop("__apart").withColumn("hits", F.least("gold", "pred"))
 
 
 def prf(rows: DataFrame, *by: str) -> DataFrame:
@@ -56,6 +65,7 @@ def totals_below(rows: DataFrame, value: str, amounts: list[str], *by: str, buck
     Values are dealt to buckets by about equal quantiles, summed inside each, and buckets add up what lies before
     them, so no task sorts all values of a hot slice.
     """
+    rows = staged(rows)  # three passes read it
     splits = sorted(set(rows.stat.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.002)))  # `buckets` numbers
     own = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s <= F.col(value))) if splits else F.lit(0)
     rows = rows.withColumn("__b", own)
@@ -76,6 +86,7 @@ def mean_ranks(rows: DataFrame, column: str) -> DataFrame:
 def spearman(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(n, rho) of numeric pairs without nulls."""
     rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    rows = staged(rows)  # the ranks of both and the pairs themselves read it
     ranked = rows.join(mean_ranks(rows, "a").withColumnRenamed("rank", "ra"), "a").join(mean_ranks(rows, "b").withColumnRenamed("rank", "rb"), "b")
     return ranked.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
 

@@ -254,7 +254,7 @@ PRF = """CAST(sum(gold) AS BIGINT) AS gold, CAST(sum(pred) AS BIGINT) AS pred, C
 
 
 def _bags(spark, d):
-    rows = quads(spark, d).select(F.col("review_uid").alias("instance_id"), F.col("taxonomy_code").alias("key"), "sentiment", "category", "part", "bloc")
+    rows = staged(quads(spark, d).select(F.col("review_uid").alias("instance_id"), F.col("taxonomy_code").alias("key"), "sentiment", "category", "part", "bloc"))
     predicted = rows.where("part % 5 <> 0").withColumn("sentiment", F.when(F.col("part") % 7 == 0, "neutral").otherwise(F.col("sentiment")))
     n = F.count("*")
     language = evaluate.language_bucket(F.when(F.min("bloc") == "ASIA", "en").when(F.min("bloc") == "EUROPE", "vi").otherwise("ko"))
@@ -285,7 +285,8 @@ def slice_covers(spark, d):
 @query("bag_intersection", f"{BAGS} SELECT s AS sentiment, CAST(sum(hits) AS BIGINT) AS hits FROM bags GROUP BY s HAVING sum(hits) > 0")
 def bag_intersection(spark, d):
     gold, predicted, _ = _bags(spark, d)
-    return gold.select("instance_id", "key", "sentiment").intersectAll(predicted.select("instance_id", "key", "sentiment")).groupBy("sentiment").agg(F.count("*").alias("hits"))
+    counts = evaluate.bag_counts(gold, predicted, "instance_id", "key", "sentiment")
+    return counts.where("hits > 0").groupBy("sentiment").agg(F.sum("hits").alias("hits"))
 
 
 # ---------------------------------------------------------------- self-training

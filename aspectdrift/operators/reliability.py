@@ -128,7 +128,7 @@ def verifier_pairs(images: DataFrame, quads: DataFrame, splits: DataFrame, categ
     images(review, image), quads(quad_id, category), splits(review, split), categories(category); reviews without a split train.
     """
     of = quads.select(review_of(F.col("quad_id")).alias("review"), "category").distinct()
-    positives = images.select("review", "image").distinct().join(of, "review")
+    positives = staged(images.select("review", "image").distinct().join(of, "review"))  # owners, categories and rows read it
     owner = positives.select("review", "image").distinct()
     wrong = sampling.negatives(positives.select("image", "category"), categories, positives.select("image", "category"), "image", seed).join(owner, "image")
     rows = positives.withColumn("y", F.lit(1)).unionByName(wrong.withColumn("y", F.lit(0)))

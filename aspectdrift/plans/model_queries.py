@@ -182,6 +182,7 @@ k AS (SELECT rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2
 SELECT CAST(count(*) AS BIGINT) AS n, round(corr(x, y), 4) AS rho, CASE WHEN count(*) >= 30 AND corr(x, y) >= 0.3 THEN 'GO' ELSE 'NO-GO' END AS verdict FROM k""")
 def audit_gate(spark, d):
     rows = text_queries._scored(spark, d).withColumn("quad_uid", F.concat_ws("-", "review_uid", "line", "part", "hotel_id"))
+    rows = staged(rows.select("quad_uid", "review_uid", "line", "part", "conf_seq", "p_posterior", "phi", "n_words", "provenance_flip"))  # rows and their marks
     audit = rows.where("part % 4 = 1").select("quad_uid", F.expr(MARKED).cast("int").alias("correct"), F.lit(2).alias("at"))
     earlier = audit.withColumn("correct", 1 - F.col("correct")).withColumn("at", F.lit(1))  # a mark that was changed later
     return reliability.bridge_gate(rows, audit.unionByName(earlier), text_queries.MODEL, "at").withColumn("rho", F.round("rho", 4))

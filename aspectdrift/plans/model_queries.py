@@ -66,7 +66,7 @@ p AS (SELECT review_uid AS i, {text_queries.NORM.format("aspect_term")} AS a, ta
 b AS (SELECT coalesce(gold, 0) AS gold, coalesce(pred, 0) AS pred, least(coalesce(gold, 0), coalesce(pred, 0)) AS hits FROM g FULL JOIN p USING (i, a, c, o, s)) SELECT {text_queries.PRF} FROM b""")
 def prf_by_term(spark, d):
     """Predictions write terms in capitals and with other signs; the match key doesn't mind."""
-    rows = quads(spark, d).withColumn("instance_id", F.col("review_uid"))
+    rows = staged(quads(spark, d).select(F.col("review_uid").alias("instance_id"), "aspect_term", "taxonomy_code", "opinion_term", "sentiment", "part"))
     key = lambda a, o, s: text.match_key(a, F.col("taxonomy_code"), o, s).alias("key")
     gold = rows.select("instance_id", key(F.col("aspect_term"), F.col("opinion_term"), F.col("sentiment")))
     loud = F.concat(F.lit("¡"), F.upper("aspect_term"), F.lit("! "))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,3 +116,27 @@ def complaint_rows(quads: DataFrame, level: str = "taxonomy_code") -> DataFrame:
 def review_vectors(quads: DataFrame, level: str = "taxonomy_code") -> DataFrame:
     """(period, stratum, review_uid, aspect, w): each review's complaint weight by aspect."""
     return complaint_rows(quads, level).groupBy("period", "stratum", "review_uid", "aspect").agg(F.sum("w").alias("w"))
+
+
+def _hashed(batches):
+    """Sorted rows (number, term) to (number, n, md5). Only the states of the hashes are held, and a batch's terms are hashed at once, as they lie in its buffer."""
+    held = {}
+    for b in batches:
+        number, terms = b["number"].to_numpy(zero_copy_only=False), b["term"].cast(pa.large_binary())
+        for g in np.unique(number):
+            own = terms.filter(pa.array(number == g)) if number[0] != g or (number != g).any() else terms
+            state = held.setdefault(int(g), [0, hashlib.md5()])
+            ends = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
+            state[1].update(memoryview(own.buffers()[2])[ends[0] + (state[0] == 0) : ends[-1]])  # without the first separator
+            state[0] += len(own)
+    if held:
+        yield pa.RecordBatch.from_pydict({"number": pa.array(list(held), pa.int32()), "n": pa.array([n for n, _ in held.values()], pa.int64()), "md5": [h.hexdigest() for _, h in held.values()]})
+
+
+def joined_md5(rows: DataFrame, groups: int, order: list[str], term: Column) -> DataFrame:
+    """(number, n, md5) of groups 0 to groups - 1: rows, and the md5 of their terms joined by semicolons in the given order.
+
+    For few and large groups: a task sorts one, which may spill, and hashes it as it streams by, so no group is held whole.
+    """
+    sorted_rows = rows.withColumn("number", F.col("number").cast("int")).repartitionById(groups, F.col("number")).sortWithinPartitions(*order)
+    return sorted_rows.select("number", F.concat(F.lit(";"), term).alias("term")).mapInArrow(_hashed, "number int, n long, md5 string")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +26,6 @@ def escape(term: Column) -> Column:
     return term
 
 
-def unescape(term: Column) -> Column:
-    for plain, code in reversed(ESCAPES):
-        term = F.replace(term, F.lit(code), F.lit(plain))
-    return term
-
-
 def linearize(quads: Column) -> Column:
     """quads: array of struct(aspect_term, taxonomy_code, opinion_term, sentiment). Null and empty terms are NULL."""
     term = lambda t: F.coalesce(escape(F.nullif(t, F.lit(""))), F.lit(NULL))
@@ -36,43 +33,58 @@ def linearize(quads: Column) -> Column:
     return F.array_join(F.transform(quads, one), " ")
 
 
+def parsed(target: pa.Array, table: dict[str, str]) -> pa.Array:
+    """Targets of one batch as lists of quads; see parse_linearized. Each step runs over the whole batch."""
+    codes = pa.array(list(table), pa.string())
+    places = lambda lists: pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    split = pc.split_pattern(target, OPEN)
+    owner = places(split)
+    inside = np.append(False, owner[1:] == owner[:-1])[: len(owner)]  # what is before the first tag is no quad
+    chunks, owner = split.flatten().filter(pa.array(inside)), owner[inside]
+    fields = pc.split_pattern(pc.list_element(pc.split_pattern(chunks, CLOSE, max_splits=1), 0), "|")
+    n = fields.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    last = np.cumsum(n) - 1
+    first = last - n + 1
+    values, of = pc.utf8_trim(fields.flatten(), text.SPACES), places(fields)
+    known = pc.is_in(values, codes).to_numpy(zero_copy_only=False)
+    own = np.flatnonzero(known & (np.arange(len(values)) != last[of]))  # codes before the last field
+    at = np.zeros(len(n), np.int64)
+    at[of[own]] = own
+    at = np.where(n == 4, first + 1, at)
+    ok = (n == 4) | (n > 4) & (np.bincount(of[own], minlength=len(n)) == 1)
+    ok[ok] = known[at[ok]] & pc.is_in(values.take(pa.array(last[ok])), pa.array(config.SENTIMENTS)).to_numpy(zero_copy_only=False)
+    values, owner = values.filter(pa.array(ok[of])), owner[ok]
+    end = np.cumsum(n[ok])
+    cuts = np.stack([end - n[ok], end - 1 - (last - at)[ok], end - (last - at)[ok], end - 1], axis=1).ravel()  # the quad's terms lie around its code and end before its sentiment
+    parts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(cuts, len(values)), pa.int32()), values), " | ")
+    a, c, o, s = (parts.take(pa.array(np.arange(i, len(parts), 4))) for i in range(4))
+    a, o = (pc.utf8_trim(t, " ") for t in (a, o))
+    for plain, code in reversed(ESCAPES):
+        a, o = (pc.replace_substring(t, code, plain) for t in (a, o))
+    whole = pc.and_(pc.not_equal(a, ""), pc.not_equal(o, ""))
+    a, c, o, s = (t.filter(whole) for t in (a, c, o, s))
+    counts = np.bincount(owner[whole.to_numpy(zero_copy_only=False)], minlength=len(target))
+    category = pa.array(list(table.values()), pa.string()).take(pc.index_in(c, codes))
+    empty = [pc.equal(t, NULL) for t in (a, o)]
+    term = lambda t, e: pc.if_else(e, pa.scalar(None, pa.string()), t)
+    quads = pa.StructArray.from_arrays([term(a, empty[0]), c, category, term(o, empty[1]), s, *empty], ["aspect_term", "taxonomy_code", "aspect_category", "opinion_term", "sentiment", "aspect_implicit", "opinion_implicit"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), quads)
+
+
 def parse_linearized(target: Column, taxonomy: dict[str, str] | None = None) -> Column:
     """Array of parsed quads, in order; malformed ones are left out.
 
     Four fields are read by position. With more, a raw bar is inside a term: the sentiment is the last
     field, the code the only field of the taxonomy before it, and the terms are what lies around it.
+    Read in Arrow batches: as column functions every field is a string of its own, trimmed and searched one by one.
     """
     table = taxonomy or config.code_to_category()
-    codes = F.array(*map(F.lit, table))
-    category = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    chunks = F.slice(F.split(target, OPEN), 2, 1_000_000)
-
-    # One-element arrays bind values to lambda variables; a plain expression would be worked out anew at each use.
-    def bound(value: Column, then) -> Column:
-        return F.element_at(F.transform(F.array(value), then), 1)
-
-    def placed(fields: Column) -> Column:
-        n = F.size(fields)
-        places = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_contains(codes, F.get(fields, i - 1)))
-        only = bound(places, lambda p: F.when(F.size(p) == 1, F.get(p, F.lit(0))))
-        return bound(F.when(n == 4, 2).when(n > 4, only), lambda at: named(fields, n, at))
-
-    def named(fields: Column, n: Column, at: Column) -> Column:
-        a = F.array_join(F.slice(fields, 1, F.greatest(at - 1, F.lit(0))), " | ")
-        o = F.array_join(F.slice(fields, at + 1, F.greatest(n - at - 1, F.lit(0))), " | ")
-        code, sentiment = F.get(fields, at - 1), F.get(fields, n - 1)
-        ok = at.isNotNull() & F.array_contains(codes, code) & sentiment.isin(*config.SENTIMENTS)
-        return F.struct(ok.alias("ok"), unescape(text.trim(a)).alias("a"), code.alias("c"), unescape(text.trim(o)).alias("o"), sentiment.alias("s"))
-
-    def read(chunk: Column) -> Column:
-        return bound(F.transform(F.split(text.trim(F.element_at(F.split(chunk, CLOSE), 1)), r"\|"), text.trim), placed)
-
-    found = F.filter(F.transform(chunks, read), lambda q: F.coalesce(q["ok"], F.lit(False)) & (q["a"] != "") & (q["o"] != ""))
-    term = lambda t: F.when(t != NULL, t)
-    out = F.transform(found, lambda q: F.struct(
-        term(q["a"]).alias("aspect_term"), q["c"].alias("taxonomy_code"), F.element_at(category, q["c"]).alias("aspect_category"),
-        term(q["o"]).alias("opinion_term"), q["s"].alias("sentiment"), (q["a"] == NULL).alias("aspect_implicit"), (q["o"] == NULL).alias("opinion_implicit")))
-    return F.coalesce(out, F.array().cast(PARSED))
+
+    @F.arrow_udf(PARSED)
+    def read(batch: pa.Array) -> pa.Array:
+        return parsed(batch.cast(pa.string()), table)
+
+    return read(F.make_valid_utf8(target.cast("string")))
 
 
 def training_rows(segments: DataFrame) -> DataFrame:

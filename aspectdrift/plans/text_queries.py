@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aspectdrift import config
 from aspectdrift.functions import parse, strata, text
-from aspectdrift.operators import codec, evaluate, inject, lexicon, posterior, reliability, sampling, selftrain, store
+from aspectdrift.operators import aggregate, codec, evaluate, inject, lexicon, posterior, reliability, sampling, selftrain, store
 from aspectdrift.plans import harness, sql_parts
 from aspectdrift.plans.quad_view import SQL as QUADS
 from aspectdrift.plans.quad_view import quads
@@ -233,9 +233,11 @@ def _spoiled(spark, d):
 FROM quads WHERE line % 7 <> 3 AND line % 7 <> 5 GROUP BY ALL""")
 def codec_parse(spark, d):
     rows = _spoiled(spark, d).select("review_uid", "line", "part", F.explode(codec.parse_linearized(F.col("target"), TAXONOMY)).alias("q")).select("review_uid", "line", "part", "q.*")
-    one = F.struct("review_uid", "line", "part", "aspect_term", "opinion_term")
-    by = rows.groupBy("taxonomy_code", F.col("aspect_category").alias("category"), "sentiment").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(one)).alias("t"))
-    return by.select("taxonomy_code", "category", "sentiment", "n", F.md5(F.array_join(F.transform("t", lambda x: F.concat_ws("/", x["aspect_term"], x["opinion_term"])), ";")).alias("terms"))
+    place = lambda values, c: F.array_position(F.array(*map(F.lit, values)), F.col(c)) - 1
+    kinds = F.array(*[F.struct(*map(F.lit, (code, category, s))) for code, category in TAXONOMY.items() for s in config.SENTIMENTS])
+    numbered = rows.withColumn("number", place(TAXONOMY, "taxonomy_code") * len(config.SENTIMENTS) + place(config.SENTIMENTS, "sentiment"))
+    by = aggregate.joined_md5(numbered, len(TAXONOMY) * len(config.SENTIMENTS), ["review_uid", "line", "part", "aspect_term", "opinion_term"], F.concat_ws("/", "aspect_term", "opinion_term"))
+    return by.select(F.get(kinds, F.col("number")).alias("k"), "n", F.col("md5").alias("terms")).select(*[F.col(f"k.col{i}").alias(c) for i, c in ((1, "taxonomy_code"), (2, "category"), (3, "sentiment"))], "n", "terms")
 
 
 @query("codec_roundtrip", f"WITH {QUADS} SELECT CAST(count(*) AS BIGINT) AS n_quads, CAST(count(*) AS BIGINT) AS n_parsed FROM quads")

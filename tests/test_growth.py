@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aspectdrift import catalog
 from aspectdrift.functions import text
-from aspectdrift.operators import evaluate, inference, reliability, sampling, store
+from aspectdrift.operators import aggregate, codec, evaluate, inference, reliability, sampling, store
 from aspectdrift.plans import harness, quad_view, text_queries
 
 
@@ -154,3 +154,68 @@ def test_bags_move_before_they_are_counted_and_nulls_equal_nothing(spark):
     for rows in (counts, catalog.QUERIES["quad_names"](spark, SF), catalog.QUERIES["bag_intersection"](spark, SF)):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_COL" in plan and "FullOuter" not in plan and "ReplicateRows" not in plan
+
+
+def test_codec_parse_holds_no_group_and_parses_in_batches(spark):
+    plan = text_queries.QUERIES["codec_parse"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "sort_array" not in plan and "lambda" not in plan
+
+
+def test_joined_md5_is_that_of_the_sorted_terms(spark):
+    rows = [(i % 3, str(i * 7919 % 1000), f"é{i}" if i % 5 else None) for i in range(400)] + [(4, "1", "only")]
+    df = spark.createDataFrame(rows, "number int, k string, t string").repartition(5)
+    got = {r.number: (r.n, r.md5) for r in aggregate.joined_md5(df, 6, ["k"], F.concat_ws("/", "k", "t")).collect()}
+    want = {}
+    for g in (0, 1, 2, 4):
+        terms = ["/".join(filter(None, r[1:])) for r in sorted((r for r in rows if r[0] == g), key=lambda r: r[1])]
+        want[g] = len(terms), hashlib.md5(";".join(terms).encode()).hexdigest()
+    assert got == want
+
+
+def test_joined_md5_takes_groups_in_turn_over_batches():
+    import pyarrow as pa
+
+    whole = pa.RecordBatch.from_pydict({"number": pa.array([2, 2, 1, 2, 1, 1], pa.int32()), "term": [";a", ";", ";é", ";b", ";c", ";d"]})
+    out = [r for b in aggregate._hashed(iter([whole.slice(0, 2), whole.slice(2, 3), whole.slice(5), whole.slice(6)])) for r in b.to_pylist()]
+    assert {r["number"]: (r["n"], r["md5"]) for r in out} == {2: (3, hashlib.md5(b"a;;b").hexdigest()), 1: (3, hashlib.md5("é;c;d".encode()).hexdigest())}
+    assert list(aggregate._hashed(iter([whole.slice(6)]))) == []
+
+
+def parsed_by_hand(target, table):
+    out = []
+    for chunk in target.split("<quad>")[1:] if target is not None else []:
+        f = [x.strip(text.SPACES) for x in chunk.split("</quad>")[0].strip(text.SPACES).split("|")]
+        at = [1] if len(f) == 4 else [i for i, x in enumerate(f[:-1]) if x in table]
+        if len(f) < 4 or len(at) != 1 or f[at[0]] not in table or f[-1] not in ("positive", "neutral", "negative"):
+            continue
+        a, o = (" | ".join(x).strip(text.SPACES) for x in (f[: at[0]], f[at[0] + 1 : -1]))
+        for plain, code in reversed(codec.ESCAPES):
+            a, o = a.replace(code, plain), o.replace(code, plain)
+        if a and o:
+            out.append((None if a == "NULL" else a, f[at[0]], table[f[at[0]]], None if o == "NULL" else o, f[-1], a == "NULL", o == "NULL"))
+    return out
+
+
+def test_parser_reads_as_by_hand(spark):
+    table, rng = {"C_1": "C", "D": "É"}, random.Random(3)
+    piece = ["<quad>", "</quad>", "|", "|", "|", "C_1", "D", "positive", "negative", "x", "é\U0001F600", " ", "\t", "\u3000", "\x1c", "&amp;", "&#124;", "&lt;quad&gt;", "&amp;lt;quad&gt;", "NULL", "<", "quad>"]
+    good = ["<quad>", " ", "a", " ", "|", "\u00a0", "C_1", " ", "|", "b", "|", "\n", "positive", "\u3000", "</quad>"]
+    made = ["".join(rng.choice(piece) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    for _ in range(3000):  # nearly whole ones
+        parts = good * rng.randrange(1, 4)
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(parts))
+            parts[i : i + rng.randrange(2)] = [rng.choice(piece)]
+        made.append("".join(parts))
+    made += [None, "", "<quad>", "a | C_1 | b | positive", None]
+    df = spark.createDataFrame(list(enumerate(made)), "i int, t string").select("i", codec.parse_linearized(F.col("t"), table).alias("q"))
+    assert df.schema["q"].dataType.simpleString() == codec.PARSED
+    got = {r.i: [tuple(q) for q in r.q] for r in df.collect()}
+    want = {i: parsed_by_hand(t, table) for i, t in enumerate(made)}
+    assert got == want and sum(map(len, want.values())) > 1000 and any("|" in q[0] for qs in want.values() for q in qs if q[0])
+
+
+def test_parser_takes_empty_batches_and_broken_utf8(spark):
+    assert codec.parsed(codec.pa.array([], "string"), {"C": "C"}).to_pylist() == [] and codec.parsed(codec.pa.array([None, "x"]), {"C": "C"}).to_pylist() == [[], []]
+    raw = spark.sql("SELECT CAST(X'3C717561643E61FF7C437C627C706F736974697665' AS STRING) AS t")
+    assert [tuple(q)[:2] for q in raw.select(codec.parse_linearized(F.col("t"), {"C": "C"})).first()[0]] == [("a\ufffd", "C")]
